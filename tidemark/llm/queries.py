@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op9_bpe
 from tidemark.llm.language import op4_language
+from tidemark.llm.merkle import op8_merkle
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
+from tidemark.llm.quality import op3_quality
 from tidemark.llm.sharding import op2_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
+    "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op8_merkle": op8_merkle,
     "op9_bpe": op9_bpe,
 }
 
