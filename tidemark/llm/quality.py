@@ -35,10 +35,10 @@ CLASSES = {
 COMMON_WORDS = 16
 MAX_LANGUAGES = 128
 #: Distances above these fail; tests on fewer characters or words pass.
-MAX_CHAR_DISTANCE = 0.22
-MAX_WORD_DISTANCE = 0.45
+MAX_CHAR_DISTANCE = 0.27
+MAX_WORD_DISTANCE = 0.46
 MIN_CHARS = 200
-MIN_WORDS = 80
+MIN_WORDS = 60
 #: Base rules.
 MIN_BASE_WORDS = 50
 MAX_REPEAT_PERCENT = 50

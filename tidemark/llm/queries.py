@@ -10,6 +10,7 @@ from tidemark.llm.bpe import op9_bpe
 from tidemark.llm.language import op4_language
 from tidemark.llm.merkle import op8_merkle
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
+from tidemark.llm.neardup import op6_minhash
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.sharding import op2_sharding
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op6_minhash": op6_minhash,
     "op8_merkle": op8_merkle,
     "op9_bpe": op9_bpe,
 }
