@@ -13,6 +13,7 @@ from tidemark.llm.mixing import OP1_SQL, op1_mixing
 from tidemark.llm.neardup import op6_minhash
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.sharding import op2_sharding
+from tidemark.llm.substring import op7_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op6_minhash": op6_minhash,
+    "op7_substring": op7_substring,
     "op8_merkle": op8_merkle,
     "op9_bpe": op9_bpe,
 }
