@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op9_bpe
+from tidemark.llm.hmm import op5_hmm
 from tidemark.llm.language import op4_language
 from tidemark.llm.merkle import op8_merkle
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_hmm": op5_hmm,
     "op6_minhash": op6_minhash,
     "op7_substring": op7_substring,
     "op8_merkle": op8_merkle,
