@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe import op9_bpe
 from tidemark.llm.hmm import op5_hmm
 from tidemark.llm.language import op4_language
+from tidemark.llm.lines import op10_lines
 from tidemark.llm.merkle import op8_merkle
 from tidemark.llm.mixing import OP1_SQL, op1_mixing
 from tidemark.llm.neardup import op6_minhash
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring": op7_substring,
     "op8_merkle": op8_merkle,
     "op9_bpe": op9_bpe,
+    "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL}
