@@ -2,18 +2,20 @@
 
 A document is compared with the reference of its language: the histogram of
 character classes and that of the language's most common words (all others in
-one class), both counted over the whole corpus. The Jensen-Shannon distance
+one class), both summed over the whole corpus. The Jensen-Shannon distance
 (base 2, 0..1) to each must not exceed its threshold. A histogram of too few
 characters or words says nothing, so each test has a minimum length below which
 it passes. Base rules on length and repetition come first.
 
-All work is done by SQL functions. References are collected: ``MAX_LANGUAGES`` x
-(classes + common words) values at most; more languages raise an error.
+All work is done by SQL functions: one job counts words, one measures every
+document; the measures are checkpointed, and references are their sums. What is
+broadcast has a row for each language, ``MAX_LANGUAGES`` at most; more raise an
+error.
 
-Defined cases: a null text has no words, and fails the base rules; a null
-language is held against the pooled reference of the corpus; words of equal
-count go in code point order; repeated rows count and return as they are; an
-empty table gives no rows; extra columns pass through.
+Defined cases: a null text has no words, and fails the base rules; documents
+without a language are a language of their own; words of equal count go in
+code point order; repeated rows count and return as they are; an empty table
+gives no rows; columns other than the text pass through.
 """
 
 from __future__ import annotations
@@ -21,14 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, WORD, bound, read_table
+from tidemark.llm.common import SPACE, WORD, bound, cut, read_table
 
-#: Character classes of the histogram; what is left over is one more class.
+#: Character classes of the histogram, with white space; all others (lower-case and caseless letters) are one more class.
 CLASSES = {
-    "lower": r"\p{Ll}",
     "upper": r"\p{Lu}",
     "digit": r"\p{N}",
-    "space": r"\s",
     "stop": r"[.,;:!?'\"()-]",
     "symbol": r"[#*$%&|<>=+@^~/_\\\[\]{}`]",
 }
@@ -36,7 +36,7 @@ COMMON_WORDS = 16
 MAX_LANGUAGES = 128
 #: Distances above these fail; tests on fewer characters or words pass.
 MAX_CHAR_DISTANCE = 0.27
-MAX_WORD_DISTANCE = 0.46
+MAX_WORD_DISTANCE = 0.42
 MIN_CHARS = 200
 MIN_WORDS = 60
 #: Base rules.
@@ -57,14 +57,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def class_counts(text: Column) -> Column:
-    """Array of long: each class of ``CLASSES``, then the rest."""
-    return bound(
-        F.array(*[F.regexp_count(text, F.lit(p)).cast("long") for p in CLASSES.values()]),
-        lambda c: F.concat(c, F.array(F.length(text).cast("long") - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))),
-    )
-
-
 def repeat_words(w: Column) -> Column:
     """Words in 3-word windows that occur twice or more in ``w``."""
 
@@ -121,27 +113,18 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(ref_lang, ref_chars, ref_words, ref_counts), '' being the pooled reference."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = len(CLASSES) + 1
-    counted = rows.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n)])
-    by_word = rows.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    total = by_word.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = by_word.where(F.col("lang").isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= COMMON_WORDS)
-    pooled = by_word.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
-    classes = {r["lang"]: [r[f"c{i}"] or 0 for i in range(n)] for r in counted.limit(MAX_LANGUAGES + 2).collect()}
-    if len([x for x in classes if x is not None]) > MAX_LANGUAGES:
+def common_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(ref_lang, common): the most frequent words of each language, MAX_LANGUAGES rows at most."""
+    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("ref_lang"), F.explode(words(F.lower(text_col))).alias("word"))
+    counted = rows.groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("ref_lang").orderBy(F.desc("n"), "word")
+    top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COMMON_WORDS).select("ref_lang", "r", "word")
+    found: dict[str, list[str]] = {}
+    for lang, _, word in sorted(top.limit(MAX_LANGUAGES * COMMON_WORDS + 1).collect()):
+        found.setdefault(lang, []).append(word)
+    if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    common: dict = {}
-    for r in top.select("lang", "word", "n", "r").orderBy("lang", "r").collect():
-        common.setdefault(r["lang"], []).append((r["word"], r["n"]))
-    totals = {r["lang"]: r["total"] for r in total.collect()}
-    common = {k: v for k, v in common.items() if k is not None}
-    out = [(k, classes[k], [w for w, _ in common.get(k, [])], [c for _, c in common.get(k, [])] + [totals.get(k, 0) - sum(c for _, c in common.get(k, []))]) for k in classes if k is not None]
-    everything = [sum(c[i] for c in classes.values()) for i in range(n)]
-    out.append(("", everything, [r["word"] for r in pooled], [r["n"] for r in pooled] + [sum(totals.values()) - sum(r["n"] for r in pooled)]))
-    return docs.sparkSession.createDataFrame(out, "ref_lang string, ref_chars array<long>, ref_words array<string>, ref_counts array<long>")
+    return docs.sparkSession.createDataFrame(list(found.items()), "ref_lang string, common array<string>")
 
 
 def common_counts(w: Column, common: Column) -> Column:
@@ -155,11 +138,11 @@ def common_counts(w: Column, common: Column) -> Column:
     )
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with the base counts, base_failed, char_distance, word_distance and kept."""
-    refs = references(docs, text_col, lang_col)
+def measure(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """The columns of ``docs`` but its text, ref_lang, and ``m``: counts and the two histograms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.join(F.broadcast(refs), F.coalesce(F.col(lang_col), F.lit("")) == F.col("ref_lang"), "left")
+    common = common_words(docs, text_col, lang_col)
+    rows = docs.join(F.broadcast(common), F.coalesce(F.col(lang_col), F.lit("")) == F.col("ref_lang"), "left")
     measures = bound(
         words(text),
         lambda w: F.struct(
@@ -168,25 +151,53 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             dup_lines(text).alias("n_dup_lines"),
             repeat_words(w).alias("n_repeat_words"),
-            js_distance(class_counts(text), F.col("ref_chars")).alias("char_distance"),
-            js_distance(common_counts(w, F.col("ref_words")), F.col("ref_counts")).alias("word_distance"),
-            F.length(text).alias("n_chars"),
+            F.length(text).cast("long").alias("n_chars"),
+            F.array(*[F.regexp_count(text, F.lit(p)).cast("long") for p in CLASSES.values()]).alias("classes"),
+            common_counts(w, F.coalesce("common", F.array().cast("array<string>"))).alias("commons"),
         ),
     )
-    rows = rows.withColumn("m", measures)
-    failed = (F.col("m.n_words") < MIN_BASE_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
-    chars_ok = (F.col("m.n_chars") < MIN_CHARS) | (F.coalesce(F.col("m.char_distance"), F.lit(0.0)) <= MAX_CHAR_DISTANCE)
-    words_ok = (F.col("m.n_words") < MIN_WORDS) | (F.coalesce(F.col("m.word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    return rows.select(*[docs[c] for c in docs.columns if c != text_col], F.coalesce(F.col(lang_col), F.lit("")).alias("ref_lang"), measures.alias("m"))
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the text, with the base counts, base_failed, kept, char_distance and word_distance."""
+    m = F.col("m")
+    chars = F.concat(
+        m["classes"],
+        F.array(m["n_chars"] - m["word_chars"], m["word_chars"] - F.aggregate(m["classes"], F.lit(0).cast("long"), lambda a, x: a + x)),
+    )
+    measured = cut(measure(docs, text_col, lang_col).withColumn("chars", chars))
+    width, depth = len(CLASSES) + 2, COMMON_WORDS + 1
+
+    def sums(col: Column, n: int) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.get(col, F.lit(i))), F.lit(0)) for i in range(n)])
+
+    refs = measured.groupBy(F.col("ref_lang").alias("r_lang")).agg(sums(F.col("chars"), width).alias("ref_chars"), sums(m["commons"], depth).alias("ref_commons"))
+    known = refs.limit(MAX_LANGUAGES + 2).collect()
+    if len(known) > MAX_LANGUAGES + 1:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    refs = docs.sparkSession.createDataFrame([tuple(r) for r in known], "r_lang string, ref_chars array<long>, ref_commons array<long>")
+    rows = measured.join(F.broadcast(refs), F.col("ref_lang") == F.col("r_lang"), "left")
+    # A language with fewer common words than asked for has a shorter histogram.
+    rows = rows.withColumns(
+        {
+            "char_distance": js_distance(F.col("chars"), F.col("ref_chars")),
+            "word_distance": js_distance(m["commons"], F.slice("ref_commons", F.lit(1), F.size(m["commons"]))),
+        }
+    )
+    failed = (m["n_words"] < MIN_BASE_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    chars_ok = (m["n_chars"] < MIN_CHARS) | (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE)
+    words_ok = (m["n_words"] < MIN_WORDS) | (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return rows.select(
-        *[docs[c] for c in docs.columns],
-        *[F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        *[measured[c] for c in docs.columns if c != text_col],
+        *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"),
         (~failed & chars_ok & words_ok).alias("kept"),
-        F.col("m.char_distance"),
-        F.col("m.word_distance"),
+        "char_distance",
+        "word_distance",
     )
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs).drop("text", "lang")
+    return judge(docs).drop("lang")
