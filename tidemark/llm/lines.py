@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bound, cut, free_name, read_table
 from tidemark.llm.hashing import Words, mix, slices
-from tidemark.llm.substring import _bit_set
+from tidemark.llm.bits import bit_set as _bit_set
 
 PERCENT = 80
 COUNTER_BITS = 20

@@ -7,21 +7,21 @@ has about two entries for each ``window - gram`` words. The index is a list of
 immutable runs, each sorted by hash:
 
 * ``texts``: digest of a whole word sequence -> least document,
-* ``anchors``: anchor -> documents that have it (one is enough to know, more make it hot),
-* ``windows``: 128-bit window digest -> least document, for windows under hot anchors.
-
-A batch merge-joins its anchors with the anchor runs. Anchors that occur in
-more than one distinct text become candidates; a text of the history that was
-alone with such an anchor until now gives its windows too. Candidate windows
-are then verified by their digests against each other and the window runs.
-The batch's own runs are added, and runs of one kind are compacted into one
-when there are ``fanout`` of them.
-
-Candidate anchors reach the tasks as a bit set of at most ``MAX_BITS`` bits. A
-false hit only adds windows that match nothing, so results don't depend on it.
-Within a task all but the least document of a window are known to repeat it;
-only that one goes through the shuffle, so a passage that a third of all rows
-share costs a row for each task.
+* ``anchors``: window hash -> number of distinct texts that have it.
+
+A batch merge-joins its hashes with the runs. Anchors in two distinct texts or
+more become candidates, which are verified on the words of the batch and of the
+history in two steps. A span is all windows in a row under one anchor: spans of
+equal 128-bit digests repeat each other as a whole. Only where an anchor has
+several distinct spans, one document of each gives its single windows, which
+are compared by digests of their own. The batch's own runs are then added, and
+runs of one kind are compacted into one when there are ``fanout`` of them.
+
+Candidates reach the tasks as bit sets of at most 2^``MAX_BITS`` bits. A false hit
+only adds rows that match nothing, so results don't depend on it. Within a task
+all but the least document of a span or window are known to repeat it; only
+that one goes through the shuffle, so a passage that a third of all rows share
+costs a row for each task.
 
 Defined cases: null or empty texts have no words; texts with fewer words than a
 window lose none; a null id is neither matched nor indexed; rows with one id
@@ -39,15 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bits import bit_set, bit_table, has
 from tidemark.llm.common import cut, ensure_checkpoint_dir, read_table
 from tidemark.llm.hashing import Words, mix, powers, slices
 
 WINDOW = 50
 GRAM = 8
 FANOUT = 4
-MIN_BITS, MAX_BITS = 20, 26
-#: Windows that a task holds before it sends them on.
-TASK_WINDOWS = 1_000_000
+#: Spans or windows that a task holds before it sends them on.
+TASK_ROWS = 1_000_000
+MAX_SPAN = 1 << 20
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -109,6 +110,28 @@ class Windows:
         at = self.at[pick]
         return mix(_rolling(self.words.hash, window, _C1)[at] ^ np.uint64(1)), mix(_rolling(self.words.hash, window, _C2)[at])
 
+    def spans(self, pick: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """Of the windows ``pick``: first window of each span, windows in it, two digests of its words."""
+        at, anchor, text = self.at[pick], self.anchor[pick], self.text[pick]
+        new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (at[1:] - at[:-1] > 1)))
+        begin = np.flatnonzero(new)
+        # A stretch under one anchor ends after MAX_SPAN windows.
+        begin = np.flatnonzero(new | ((np.arange(len(pick)) - np.repeat(begin, np.diff(np.append(begin, len(pick))))) % MAX_SPAN == 0))
+        count = np.diff(np.append(begin, len(pick)))
+        lo = at[begin]
+        hi = lo + count + window - 1
+        out = []
+        for c in (_C1, _C2):
+            up = np.full(len(self.words.hash) + 1, c, np.uint64)
+            up[0] = 1
+            down = np.full(len(self.words.hash) + 1, np.uint64(pow(int(c), -1, 1 << 64)), np.uint64)
+            down[0] = 1
+            np.multiply.accumulate(up, out=up)
+            np.multiply.accumulate(down, out=down)
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(self.words.hash * up[:-1], dtype=np.uint64)))
+            out.append(mix((sums[hi] - sums[lo]) * down[lo] + count.astype(np.uint64)))
+        return pick[begin], count, out[0], out[1]
+
 
 def text_digests(w: Words, n: int) -> list[bytes]:
     """16 bytes for the word sequence of each of ``n`` texts."""
@@ -158,64 +181,72 @@ def _sketch_rows(window: int, gram: int):
     return run
 
 
-def _pack(start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    return start.astype(np.int64) << 24 | length
+def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Start word and number of windows of a stretch; a span has fewer than 2^24."""
+    return start.astype(np.int64) << 24 | count.astype(np.int64)
+
 
+ROW_NAMES = ["d1", "d2", "anchor", "doc_id", "tie", "at"]
+ROW_SCHEMA = ", ".join(f"{n} long" for n in ROW_NAMES)
 
-def _window_rows(window: int, gram: int, bits, fresh: bool):
-    """(doc_id, text) -> (d1, d2, doc_id, tie, at) of windows whose anchor is in the bit set.
 
-    at >= 0 asks whether a smaller document has the window; at < 0 is the
+def _leasts(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows (d1, d2, anchor, doc, tie, start, windows): one of the least document for each digest, and the others as known repeats.
+
+    at >= 0 asks whether a smaller document has the digest; at < 0 is the
     complement of a stretch of windows already known to repeat one.
     """
+    d1, d2, anchor, doc, tie, start, count = (np.concatenate([h[i] for h in held]) for i in range(7))
+    order = np.lexsort((start, tie, doc, d2, d1))
+    d1, d2, anchor, doc, tie, start, count = (x[order] for x in (d1, d2, anchor, doc, tie, start, count))
+    first = np.concatenate(([True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])))
+    least = doc[first][np.cumsum(first) - 1]
+    ask, known = doc == least, doc > least
+    out = [x[ask] for x in (d1, d2, anchor, doc, tie)] + [_pack(start[ask], count[ask])]
+    if known.any():
+        doc, tie, start, count = doc[known], tie[known], start[known], count[known]
+        spread = mix(doc.view(np.uint64) ^ mix(start.view(np.uint64))).view(np.int64)
+        out = [np.concatenate(x) for x in zip(out, (spread, tie, spread, doc, tie, ~_pack(start, count)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=ROW_NAMES)
+
+
+def _span_rows(window: int, gram: int, anchors, spans=None):
+    """(doc_id, text) -> rows of the spans under the candidate anchors; with ``spans``, of the single windows of those spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
-        mask = np.uint64(len(table) - 1)
+        hot, hot_mask = bit_table(anchors)
+        own, own_mask = (None, None) if spans is None else bit_table(spans)
         held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            d1, d2, doc, tie, start = (np.concatenate([h[i] for h in held]) for i in range(5))
-            order = np.lexsort((start, doc, d2, d1))
-            d1, d2, doc, tie, start = d1[order], d2[order], doc[order], tie[order], start[order]
-            first = np.concatenate(([True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])))
-            least = doc[first][np.cumsum(first) - 1]
-            ask = doc == least
-            ask &= np.concatenate(([True], (first | (doc != np.roll(doc, 1)) | (tie != np.roll(tie, 1)) | (start != np.roll(start, 1)))[1:]))
-            out = [x[ask] for x in (d1, d2, doc, tie)] + [_pack(start[ask], 1)]
-            known = doc > least
-            if fresh and known.any():
-                doc, tie, start = doc[known], tie[known], start[known]
-                order = np.lexsort((start, tie, doc))
-                doc, tie, start = doc[order], tie[order], start[order]
-                begin = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] - start[:-1] > 1))))
-                end = np.concatenate((begin[1:], [len(start)])) - 1
-                at = ~_pack(start[begin], np.minimum(start[end] - start[begin] + 1, (1 << 24) - 1))
-                spread = mix(doc[begin].view(np.uint64) ^ start[begin].view(np.uint64)).view(np.int64)
-                out = [np.concatenate(x) for x in zip(out, (spread, tie[begin], doc[begin], tie[begin], at), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["d1", "d2", "doc_id", "tie", "at"])
-
-        count = 0
+        total = 0
         for batch in batches:
             for lo_row in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo_row, 2000)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = _encoded(part.column(1))
                 for lo, hi in slices(texts):
                     x = Windows(texts[lo:hi], window, gram)
-                    pick = np.flatnonzero(table[(mix(x.anchor) & mask).astype(np.int64)]) if len(x.anchor) else []
+                    pick = np.flatnonzero(has(hot, hot_mask, x.anchor)) if len(x.anchor) else []
                     if not len(pick):
                         continue
-                    d1, d2 = x.digests(pick, window)
+                    at, count, d1, d2 = x.spans(pick, window)
+                    if own is not None:
+                        doc = ids[lo:hi][x.text[at]]
+                        good = has(own, own_mask, d1 ^ doc.view(np.uint64))
+                        at, count = at[good], count[good]
+                        at = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                        if not len(at):
+                            continue
+                        d1, d2 = x.digests(at, window)
+                        count = np.ones(len(at), np.int64)
+                    t = x.text[at]
                     tie = np.array([int.from_bytes(d[:8], "big", signed=True) for d in text_digests(x.words, hi - lo)], np.int64)
-                    t = x.text[pick]
-                    held.append((d1.view(np.int64), d2.view(np.int64), ids[lo:hi][t].astype(np.int64), tie[t], x.start[pick]))
-                    count += len(pick)
-                    if count >= TASK_WINDOWS:
-                        yield flush()
-                        held, count = [], 0
+                    held.append((d1.view(np.int64), d2.view(np.int64), x.anchor[at].view(np.int64), ids[lo:hi][t], tie[t], x.start[at], count))
+                    total += len(at)
+                    if total >= TASK_ROWS:
+                        yield _leasts(held)
+                        held, total = [], 0
         if held:
-            yield flush()
+            yield _leasts(held)
 
     return run
 
@@ -224,11 +255,10 @@ def _in_bits(bits):
     """Rows whose long first column is in the bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
-        mask = np.uint64(len(table) - 1)
+        table, mask = bit_table(bits)
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(table[(mix(key) & mask).astype(np.int64)]))
+            yield batch.filter(pa.array(has(table, mask, key)))
 
     return run
 
@@ -270,27 +300,10 @@ def _strip_rows(window: int):
     return run
 
 
-def _bit_set(keys: DataFrame, column: str):
-    """A broadcast bit set of the column's hashes, sized by their number within fixed bounds."""
-    spark = keys.sparkSession
-    n = keys.count()
-    size = min(MAX_BITS, max(MIN_BITS, (16 * max(1, n)).bit_length()))
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64((1 << size) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (h & np.uint64(63))).view(np.int64))], names=["w", "b"])
-
-    got = keys.select(F.col(column).cast("long")).mapInArrow(words_of, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros((1 << size) // 64, np.int64)
-    table[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return spark.sparkContext.broadcast(table.tobytes())
-
-
 class FingerprintIndex:
     """Runs in a folder that all executors share. Batches must come in ascending order of ids."""
 
-    KINDS = {"texts": ["digest"], "anchors": ["anchor"], "windows": ["d1", "d2"]}
+    KINDS = {"texts": ["digest"], "anchors": ["anchor"]}
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
         if not 0 < gram <= window:
@@ -346,8 +359,8 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, history: DataFrame | None = None, last: bool = False) -> DataFrame:
         """Indexes (doc_id, text) rows; a row for each: doc_id, n_words, n_removed, kept_sha256, kept (text, null if all is kept).
 
-        ``history`` has the rows indexed before, ``last`` leaves the window run
-        unwritten. The result is materialised.
+        ``history`` has the rows indexed before, ``last`` adds no runs. The result
+        is materialised.
         """
         window, gram = self.window, self.gram
         batch = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -375,31 +388,29 @@ class FingerprintIndex:
             counts = counts.join(self._merged("anchors", seen).withColumnRenamed("n", "before"), "anchor", "left").withColumn("before", F.coalesce("before", F.lit(0)))
         else:
             counts = counts.withColumn("before", F.lit(0).cast("long"))
-        hot = cut(counts.where("n + before > 1").select("anchor", "before"))
+        hot = cut(counts.where("n + before > 1").select("anchor"))
         if not last:
             self._write("anchors", counts.select("anchor", "n"))
-        rows = known.mapInArrow(_window_rows(window, gram, _bit_set(hot, "anchor"), True), "d1 long, d2 long, doc_id long, tie long, at long")
-        if history is not None:
-            alone = hot.where("before = 1")
-            older = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-            late = older.mapInArrow(_window_rows(window, gram, _bit_set(alone, "anchor"), False), "d1 long, d2 long, doc_id long, tie long, at long")
-            rows = rows.unionAll(late.withColumn("at", F.lit(None).cast("long")))
-        filed = self.runs("windows")
-        if filed is not None:
-            rows = rows.unionAll(filed.select("d1", "d2", F.col("least").alias("doc_id"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("long").alias("at")))
-        checked = rows.withColumn("least", F.min("doc_id").over(Window.partitionBy("d1", "d2")))
-        if not last:
-            path = f"{self.path}/checked-{uuid.uuid4().hex[:8]}"
-            checked.where("at is not null or doc_id = least").write.parquet(path)
-            checked = self.spark.read.parquet(path)
-            self._write("windows", checked.where("(at is null or at >= 0) and doc_id = least").select("d1", "d2", "least").distinct())
-        covered = cut(checked.where("at < 0 or at >= 0 and doc_id > least").groupBy("doc_id", "tie").agg(F.collect_list("at").alias("ats")))
-        if not last:
-            p, fs = self._fs(path)
-            fs.delete(p, True)
+        older = None if history is None else history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+
+        def checked(*bits) -> DataFrame:
+            rows = known.mapInArrow(_span_rows(window, gram, *bits), ROW_SCHEMA).withColumn("fresh", F.lit(True))
+            if older is not None:
+                rows = rows.unionAll(older.mapInArrow(_span_rows(window, gram, *bits), ROW_SCHEMA).where("at >= 0").withColumn("fresh", F.lit(False)))
+            return rows.withColumn("least", F.min("doc_id").over(Window.partitionBy("d1", "d2")))
+
+        def repeats(rows: DataFrame) -> DataFrame:
+            return rows.where("fresh and (at < 0 or doc_id > least)").select("doc_id", "tie", "at")
+
+        spans = cut(checked(bit_set(hot, "anchor")))
+        leads = spans.where("at >= 0 and doc_id = least").select("anchor", "d1", "d2", "doc_id").distinct()
+        split = cut(leads.select("anchor", "d1", "d2").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+        own = leads.join(split, "anchor").select(F.col("d1").bitwiseXOR(F.col("doc_id")).alias("own"))
+        windows = checked(bit_set(split, "anchor"), bit_set(own, "own"))
+        covered = cut(repeats(spans).unionAll(repeats(windows)).groupBy("doc_id", "tie").agg(F.collect_list("at").alias("ats")))
 
         # Only documents that lose a part are read again.
-        some = known.mapInArrow(_in_bits(_bit_set(covered.select("doc_id").distinct(), "doc_id")), "doc_id long, text string")
+        some = known.mapInArrow(_in_bits(bit_set(covered.select("doc_id").distinct(), "doc_id")), "doc_id long, text string")
         parts = covered.withColumnRenamed("doc_id", "c_id")
         stripped = some.join(parts, F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "tie", "ats").mapInArrow(
             _strip_rows(window), "doc_id long, tie long, n_removed long, kept_sha256 string, kept string"
