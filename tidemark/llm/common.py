@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,18 @@ def free_name(df: DataFrame, base: str) -> str:
 def bound(value: Column, body) -> Column:
     """``let value in body(value)``: evaluates ``value`` once per row, also within lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sealed(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns renamed in_0, in_1, ... so that no name of an operator can clash.
+
+    Also gives a function from names to the new names, and one that gives a result
+    its names back; new columns get underscores in front where they clash.
+    """
+    inner = {c: f"in_{i}" for i, c in enumerate(df.columns)}
+    outer = {v: k for k, v in inner.items()}
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{c}`").alias(outer[c] if c in outer else free_name(df, c)) for c in out.columns])
+
+    return df.toDF(*inner.values()), inner.__getitem__, restore

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,12 @@ import numpy as np
 #: Text bytes that are hashed at once; a longer text is hashed alone.
 SLICE_BYTES = 2 << 20
 
-_RANDOM = np.random.default_rng(20240501)
-_LETTER = _RANDOM.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+#: Words over so many bytes are hashed one by one.
+LONG_WORD = 256
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Keeps the first 0 to 8 bytes of a little-endian chunk.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -50,12 +54,25 @@ class Words:
         if not len(self.begin):
             self.hash = np.empty(0, np.uint64)
             return
+        # Eight bytes of all words at a time.
+        padded = self.raw + bytes(8)
+        chunks = np.ndarray((len(self.raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
         size = self.end - self.begin
-        letters = _LETTER[b[solid]]
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        place = np.arange(len(letters)) - np.repeat(starts, size)
-        letters *= powers(int(size.max()))[place]
-        self.hash = mix(np.add.reduceat(letters, starts) + size.astype(np.uint64))
+        h = mix(size.astype(np.uint64) + _BASE)
+        at, left = self.begin, np.minimum(size, LONG_WORD)
+        who = None
+        while len(at):
+            x = chunks[at] & _FIRST_BYTES[np.minimum(left, 8)]
+            if who is None:
+                h = mix(h * _BASE ^ x)
+            else:
+                h[who] = mix(h[who] * _BASE ^ x)
+            more = np.flatnonzero(left > 8)
+            at, left = at[more] + 8, left[more] - 8
+            who = more if who is None else who[more]
+        for i in np.flatnonzero(size > LONG_WORD):
+            h[i] = int.from_bytes(hashlib.blake2b(self.raw[self.begin[i] : self.end[i]], digest_size=8).digest(), "little")
+        self.hash = h
 
 
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -15,7 +15,9 @@ The pairs that are left are verified on the words of both lines.
 
 Lines of equal sets meet in the same place; within a task all but the first are
 dropped before the shuffle, so a line that a third of all rows share costs a
-row for each task. A line needs one earlier match only: pairs are made with
+row for each task. Tasks deal their rows to parts by word and send each part as
+one block of columns, which spares the JVM tens of rows for each line; the
+number of parts grows with the input. A line needs one earlier match only: pairs are made with
 its ``FIRST`` earliest candidates, and with all others only for the lines that
 stay unmatched, so groups of near copies make no quadratic lists.
 
@@ -30,23 +32,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound, cut, free_name, read_table
+from tidemark.llm.bits import bit_set, bit_table, has
+from tidemark.llm.common import bound, cut, read_table, sealed
 from tidemark.llm.hashing import Words, mix, slices
-from tidemark.llm.bits import bit_set as _bit_set
 
 PERCENT = 80
 COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
 CHUNK = 1 << 14
 #: Pairs of a line and a shared word in the first round.
-FIRST = 2
+FIRST = 4
 #: Lines that a task holds before it drops repeats and sends the rest on.
 TASK_LINES = 200_000
 LINE_BITS = 20
+#: Text bytes for each part that the words are dealt to.
+PART_BYTES = 12 << 20
 _HASH_BITS = 64 - 8 - LINE_BITS
 
 
@@ -120,10 +125,8 @@ class LineSets:
         self.owner = owner
         if n_lines:
             self.set_id = mix(np.add.reduceat(mix(self.word), self.first) + self.size.astype(np.uint64))
-            spread = mix(self.word ^ np.uint64(0xABCDEF))
-            self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (spread & np.uint64(63)), self.first)
         else:
-            self.set_id = self.parity = np.empty(0, np.uint64)
+            self.set_id = np.empty(0, np.uint64)
 
 
 def _line_slices(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes], int]]:
@@ -144,44 +147,106 @@ def _line_slices(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes], in
                 yield lo + i, lo + i + 1, [b"\n".join(lines[at : at + limit])], at
 
 
-NAMES = ["word", "set_id", "doc_id", "spot", "size_place", "parity"]
-PREFIX_SCHEMA = "word long, set_id long, doc_id long, spot long, size_place long, parity long"
+#: A row of a block: a word of a line's prefix. size 0: a line known to repeat an earlier one.
+#: Sizes and places stop at the greatest number of their type, which weakens filters and loses nothing.
+COLUMNS = {"word": "<u8", "set_id": "<u4", "parity": "<u8", "doc": "<i8", "line": "<u4", "tie": "<u2", "size": "<u2", "place": "u1"}
+#: Longer lines have wider parity sketches: (least size, words of 64 bits). A wider one folds into a narrower one.
+WIDTHS = ((1, 1), (90, 2), (200, 8))
+BLOCK_SCHEMA = "part int, block binary"
 
 
-def _prefix_rows(percent: int, levels):
-    """(doc_id, text, tie) -> prefix rows; size_place < 0: a line known to repeat an earlier one."""
+def width_class(size: np.ndarray) -> np.ndarray:
+    return np.searchsorted([n for n, _ in WIDTHS], size, side="right") - 1
+
+
+def to_block(columns: dict[str, np.ndarray], parity: np.ndarray) -> bytes:
+    """Rows of one width class: count, class, then the columns as byte planes, which compress well."""
+    n, width = parity.shape
+    planes = [np.ascontiguousarray(columns[c], t).view(np.uint8).reshape(n, -1) for c, t in COLUMNS.items() if c != "parity"]
+    planes.append(np.ascontiguousarray(parity, "<u8").view(np.uint8).reshape(n, -1))
+    return n.to_bytes(4, "little") + width.to_bytes(4, "little") + b"".join([p.T.tobytes() for p in planes])
+
+
+def from_block(raw: bytes) -> dict[str, np.ndarray]:
+    n, width, at, out = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little"), 8, {}
+    for c, t in COLUMNS.items():
+        if c == "parity":
+            continue
+        k = np.dtype(t).itemsize
+        out[c] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * k, at).reshape(k, n).T).view(t).reshape(n)
+        at += n * k
+    wide = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8 * width, at).reshape(8 * width, n).T).view("<u8").reshape(n, width)
+    # All rows as wide as the widest; the first column is the fold of all.
+    out["wide"] = np.zeros((n, WIDTHS[-1][1]), np.uint64)
+    out["wide"][:, :width] = wide
+    out["parity"] = np.bitwise_xor.reduce(wide, axis=1) if n else np.empty(0, np.uint64)
+    out["width"] = np.full(n, width, np.int64)
+    return out
+
+
+def wide_parity(word: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Lines x ``width``: bit i is the parity of the words that hash to i."""
+    bit = mix(word ^ np.uint64(0xABCDEF)) & np.uint64(64 * width - 1)
+    out = np.empty((len(first), width), np.uint64)
+    for i in range(width):
+        own = np.where(bit >> np.uint64(6) == i, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+        out[:, i] = np.bitwise_xor.reduceat(own, first)
+    return out
+
+
+def _prefix_rows(percent: int, levels, parts: int, words=None):
+    """(doc_id, text, tie) -> blocks of prefix rows, one for each part and width; with ``words`` only of words in that bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
+        wanted = None if words is None else bit_table(words)
+        #: For each width class: prefix rows (word, line number in heads, place) and parities of its lines.
         held: list[tuple[np.ndarray, ...]] = []
         heads: list[tuple[np.ndarray, ...]] = []
+        sketches: list[list[np.ndarray]] = [[] for _ in WIDTHS]
         count = 0
 
-        def flush() -> pa.RecordBatch:
-            set_id, doc, spot = (np.concatenate([h[i] for h in heads]) for i in range(3))
-            order = np.lexsort((spot, doc, set_id))
+        def flush() -> list[tuple[int, bytes]]:
+            set_id, doc, line, tie, size = (np.concatenate([h[i] for h in heads]) for i in range(5))
+            klass = width_class(size)
+            order = np.lexsort((tie, line, doc, set_id))
             s = set_id[order]
-            same = np.concatenate(([False], s[1:] == s[:-1]))
-            # The same spot twice is the same row twice.
-            later = same & np.concatenate(([False], (doc[order][1:] != doc[order][:-1]) | (spot[order][1:] != spot[order][:-1])))
-            start = np.flatnonzero(~same)
-            lead = np.repeat(start, np.diff(np.append(start, len(s))))
-            later &= (doc[order] != doc[order][lead]) | (spot[order] != spot[order][lead])
+            start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            lead = order[np.repeat(start, np.diff(np.append(start, len(s))))]
+            # The same place twice is the same row twice.
+            gone = order[(doc[order] != doc[lead]) | (line[order] != line[lead]) | (tie[order] != tie[lead])]
             keep = np.zeros(len(set_id), bool)
             keep[order[start]] = True
-            word, line, size_place, parity = (np.concatenate([h[i] for h in held]) for i in range(4))
-            pick = keep[line]
-            line = line[pick]
-            gone = order[later]
-            columns = [
-                np.concatenate([word[pick], mix(set_id[gone] ^ doc[gone].view(np.uint64)).view(np.int64)]),
-                np.concatenate([set_id[line], set_id[gone]]).view(np.int64),
-                np.concatenate([doc[line], doc[gone]]),
-                np.concatenate([spot[line], spot[gone]]),
-                np.concatenate([size_place[pick], np.full(len(gone), -1)]),
-                np.concatenate([parity[pick], np.zeros(len(gone), np.int64)]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
+            word, own, place = (np.concatenate([h[i] for h in held]) for i in range(3))
+            pick = keep[own]
+            word, own, place = word[pick], own[pick], place[pick]
+            rows = {"word": word, "set_id": set_id[own] & np.uint64(0xFFFFFFFF), "doc": doc[own], "line": line[own], "tie": tie[own], "size": np.minimum(size[own], 65535), "place": np.minimum(place, 255)}
+            if wanted is None and len(gone):
+                spread = mix(set_id[gone] ^ doc[gone].view(np.uint64))
+                zero = np.zeros(len(gone), np.int64)
+                more = {"word": spread, "set_id": set_id[gone] & np.uint64(0xFFFFFFFF), "doc": doc[gone], "line": line[gone], "tie": tie[gone], "size": zero, "place": zero}
+                rows = {c: np.concatenate([v, more[c].astype(v.dtype)]) for c, v in rows.items()}
+            row_class = np.concatenate([klass[own], np.zeros(len(rows["word"]) - len(own), np.int64)])
+            part = (mix(rows["word"]) % np.uint64(parts)).astype(np.int64)
+            at_class = np.zeros(len(size), np.int64)
+            out = []
+            for k in range(len(WIDTHS)):
+                lines = np.flatnonzero(klass == k)
+                at_class[lines] = np.arange(len(lines))
+                parity = np.concatenate(sketches[k]) if sketches[k] else np.zeros((0, WIDTHS[k][1]), np.uint64)
+                mine = np.flatnonzero(row_class == k)
+                mine = mine[np.argsort(part[mine], kind="stable")]
+                ends = np.searchsorted(part[mine], np.arange(parts + 1))
+                for i in np.flatnonzero(np.diff(ends)):
+                    r = mine[ends[i] : ends[i + 1]]
+                    real = r < len(own)
+                    p = np.zeros((len(r), WIDTHS[k][1]), np.uint64)
+                    p[real] = parity[at_class[own[r[real]]]]
+                    out.append((int(i), to_block({c: v[r] for c, v in rows.items()}, p)))
+            return out
+
+        def batch_of(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "block"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -194,152 +259,213 @@ def _prefix_rows(percent: int, levels):
                         continue
                     prefix = x.size - need(x.size, percent) + 1
                     pick = np.flatnonzero(x.place < prefix[x.owner])
-                    o = x.owner[pick]
-                    held.append((x.word[pick].view(np.int64), o + count, x.size[o].astype(np.int64) << 32 | x.place[pick], x.parity[o].view(np.int64)))
-                    heads.append((x.set_id, ids[lo + x.text].astype(np.int64), (x.line + skipped).astype(np.int64) << 32 | (ties[lo + x.text] & 0xFFFFFFFF)))
+                    if wanted is not None:
+                        pick = pick[has(*wanted, x.word[pick])]
+                    held.append((x.word[pick], x.owner[pick] + count, x.place[pick]))
+                    heads.append((x.set_id, ids[lo + x.text].astype(np.int64), x.line + skipped, ties[lo + x.text].astype(np.int64), x.size))
+                    klass = width_class(x.size)
+                    for k, (_, width) in enumerate(WIDTHS):
+                        lines = np.flatnonzero(klass == k)
+                        if len(lines):
+                            mine = klass[x.owner] == k
+                            first = np.concatenate(([0], np.cumsum(x.size[lines])[:-1]))
+                            sketches[k].append(wide_parity(x.word[mine], first, x.size[lines], width))
                     count += len(x.line)
                     if count >= TASK_LINES:
-                        yield flush()
-                        held, heads, count = [], [], 0
+                        yield batch_of(flush())
+                        held, heads, sketches, count = [], [], [[] for _ in WIDTHS], 0
         if count:
-            yield flush()
+            yield batch_of(flush())
 
     return run
 
 
-def match_run(word: np.ndarray, set_id: np.ndarray, doc: np.ndarray, spot: np.ndarray, size: np.ndarray, place: np.ndarray, parity: np.ndarray, percent: int, limit: int | None, want: np.ndarray | None):
-    """Candidates among whole runs of equal words, sorted by (word, doc, spot).
+class Rows:
+    """Prefix rows in runs of equal words, sorted by (word, doc, line, tie)."""
+
+    def __init__(self, row: dict[str, np.ndarray], percent: int):
+        self.row, self.percent = row, percent
+        self.size, self.place = row["size"].astype(np.int64), row["place"].astype(np.int64)
+
+    def same(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        r = self.row
+        return (r["set_id"][x] == r["set_id"][y]) & (r["parity"][x] == r["parity"][y]) & (self.size[x] == self.size[y])
+
+    def other_place(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        r = self.row
+        return (r["doc"][x] != r["doc"][y]) | (r["line"][x] != r["line"][y]) | (r["tie"][x] != r["tie"][y])
+
+    def fits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The length, positional and parity filters."""
+        sx, sy, p, r = self.size[x], self.size[y], self.percent, self.row
+        least = (p * (sx + sy) + 99 + p) // (100 + p)
+        ok = (np.minimum(sx - self.place[x], sy - self.place[y]) >= least) & (need(np.maximum(sx, sy), p) <= np.minimum(sx, sy))
+        spare = sx + sy - 2 * least
+        ok &= np.bitwise_count(r["parity"][x] ^ r["parity"][y]) <= spare
+        if ok.any():
+            at = np.nonzero(ok)
+            width = np.minimum(r["width"][x[at]], r["width"][y[at]])
+            for w in sorted({n for _, n in WIDTHS if n > 1}):
+                deep = np.flatnonzero(width >= w)
+                if len(deep):
+                    diff = r["wide"][x[at][deep]] ^ r["wide"][y[at][deep]]
+                    # Bits that are equal modulo 64 w fold into one.
+                    both = np.zeros((len(deep), w), np.uint64)
+                    for i in range(WIDTHS[-1][1]):
+                        both[:, i % w] ^= diff[:, i]
+                    ok[tuple(a[deep] for a in at)] &= np.bitwise_count(both).sum(axis=1) <= spare[tuple(a[deep] for a in at)]
+        return ok
+
+
+#: Rows of a run that are compared step by step; longer runs go on in squares of so many rows.
+STEPS, SQUARE = 24, 512
+
+
+def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
+    """Candidates among whole runs.
 
     Returns rows that repeat an earlier set, candidate pairs (later, earlier), and
-    rows whose list of pairs was cut at ``limit``.
+    rows whose list of pairs was cut at ``limit``. Earliest rows come first.
     """
+    word = rows.row["word"]
     n = len(word)
     start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     first = np.repeat(start, np.diff(np.append(start, n)))
-    index = np.arange(n)
-    live = index[index > first]
+    live = np.flatnonzero(np.arange(n) > first)
     if want is not None:
         live = live[want[live]]
-    made = np.zeros(n, np.int64)
-    repeat = np.zeros(n, bool)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    cut_off = np.zeros(n, bool)
-    k = 0
-    while len(live):
-        x, y = first[live] + k, live
-        same = set_id[x] == set_id[y]
-        repeat[y[same & ((doc[x] != doc[y]) | (spot[x] != spot[y]))]] = True
-        # The least overlap of sets with these sizes, and the most that the places allow.
-        least = (percent * (size[x] + size[y]) + 99 + percent) // (100 + percent)
-        fits = ~same & (np.minimum(size[x] - place[x], size[y] - place[y]) >= least) & (need(np.maximum(size[x], size[y]), percent) <= np.minimum(size[x], size[y]))
-        fits &= np.bitwise_count((parity[x] ^ parity[y]).view(np.uint64)) <= size[x] + size[y] - 2 * least
-        if fits.any():
-            pairs.append((y[fits], x[fits]))
-            made[y[fits]] += 1
-        k += 1
-        going = (first[live] + k < live) & ~repeat[live]
+    made, repeat, cut_off = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    later, earlier = [], []
+
+    def settle(y: np.ndarray) -> np.ndarray:
+        """Those of ``y`` that still want candidates."""
+        going = ~repeat[y]
         if limit is not None:
-            full = going & (made[live] >= limit)
-            cut_off[live[full]] = True
+            full = going & (made[y] >= limit)
+            cut_off[y[full]] = True
             going &= ~full
-        live = live[going]
-    later = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, np.int64)
-    earlier = np.concatenate([p[1] for p in pairs]) if pairs else np.empty(0, np.int64)
+        return y[going]
+
+    for k in range(STEPS):
+        if not len(live):
+            break
+        x, y = first[live] + k, live
+        same = rows.same(x, y)
+        repeat[y[same & rows.other_place(x, y)]] = True
+        fits = rows.fits(x, y) & ~same
+        later.append(y[fits])
+        earlier.append(x[fits])
+        made[y[fits]] += 1
+        live = settle(live[first[live] + k + 1 < live])
+    for own in np.split(live, np.flatnonzero(np.diff(first[live])) + 1) if len(live) else []:
+        for lo in range(0, len(own), SQUARE):
+            y = own[lo : lo + SQUARE]
+            at = first[y[0]] + STEPS
+            while len(y) and at < y[-1]:
+                x = np.arange(at, min(at + SQUARE, y[-1]))
+                yy, xx = np.meshgrid(y, x, indexing="ij")
+                before = xx < yy
+                same = rows.same(xx, yy) & before
+                repeat[y[(same & rows.other_place(xx, yy)).any(axis=1)]] = True
+                fits = rows.fits(xx, yy) & before & ~same
+                if limit is not None:
+                    fits &= np.cumsum(fits, axis=1) + made[y][:, None] <= limit
+                later.append(yy[fits])
+                earlier.append(xx[fits])
+                made[y] += fits.sum(axis=1)
+                at += len(x)
+                y = settle(y)
+    later = np.concatenate(later) if later else np.empty(0, np.int64)
+    earlier = np.concatenate(earlier) if earlier else np.empty(0, np.int64)
     fine = ~repeat[later]
     return np.flatnonzero(repeat), later[fine], earlier[fine], np.flatnonzero(cut_off & ~repeat)
 
 
-PAIR_NAMES = ["doc_id", "spot", "x_doc", "x_spot", "kind", "set_id"]
-PAIR_SCHEMA = "doc_id long, spot long, x_doc long, x_spot long, kind int, set_id long"
+PAIR_NAMES = ["doc_id", "spot", "x_doc", "x_spot", "kind"]
+PAIR_SCHEMA = "doc_id long, spot long, x_doc long, x_spot long, kind int"
 GONE, PAIR, CUT = 0, 1, 2
 
 
 def _match_rows(percent: int, limit: int | None, wanted=None):
-    """Prefix rows sorted by word, doc_id, spot -> lines that go, pairs, and lines with more candidates."""
+    """Blocks sorted by part -> lines that go, pairs, and lines with more candidates (their word in x_doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
-
-        def handle(a: np.ndarray) -> pa.RecordBatch:
-            word, set_id, doc, spot, size_place, parity = a
-            known = size_place < 0
-            out = [(doc[known], spot[known], doc[known], spot[known], np.full(known.sum(), GONE), set_id[known])] if limit is not None else []
-            word, set_id, doc, spot, size_place, parity = (c[~known] for c in a)
+        table = None if wanted is None else bit_table(wanted)
+
+        def handle(blocks: list[bytes]) -> pa.RecordBatch:
+            got = [from_block(b) for b in blocks]
+            row = {n: np.concatenate([g[n] for g in got]) for n in got[0]}
+            spot = row["line"].astype(np.int64) << 32 | row["tie"]
+            known = row["size"] == 0
+            out = [(row["doc"][known], spot[known], row["doc"][known], spot[known], np.full(known.sum(), GONE))] if limit is not None else []
             # Words of one line only are done.
-            twice = np.zeros(len(word), bool)
-            if len(word):
-                eq = word[1:] == word[:-1]
-                twice[1:] |= eq
-                twice[:-1] |= eq
-            word, set_id, doc, spot, size_place, parity = (c[twice] for c in (word, set_id, doc, spot, size_place, parity))
-            if len(word):
-                size, place = size_place >> 32, size_place & 0xFFFFFFFF
-                want = None if table is None else table[(mix(set_id.view(np.uint64)) & np.uint64(len(table) - 1)).astype(np.int64)]
-                rep, later, earlier, more = match_run(word, set_id, doc, spot, size, place, parity, percent, limit, want)
-                rep = rep[place[rep] == 0]
+            order = np.argsort(row["word"])
+            order = order[~known[order]]
+            w = row["word"][order]
+            eq = np.zeros(len(w) + 1, bool)
+            eq[1:-1] = w[1:] == w[:-1]
+            order = order[eq[1:] | eq[:-1]]
+            order = order[np.lexsort((spot[order], row["doc"][order], row["word"][order]))]
+            if len(order):
+                row, spot = {n: c[order] for n, c in row.items()}, spot[order]
+                doc, rows = row["doc"], Rows(row, percent)
+                want = None if table is None else has(*table, (doc ^ spot).view(np.uint64))
+                rep, later, earlier, more = match_runs(rows, limit, want)
+                rep = rep[rows.place[rep] == 0]
                 if limit is not None:
-                    out.append((doc[rep], spot[rep], doc[rep], spot[rep], np.full(len(rep), GONE), set_id[rep]))
-                    out.append((doc[more], spot[more], doc[more], spot[more], np.full(len(more), CUT), set_id[more]))
-                out.append((doc[later], spot[later], doc[earlier], spot[earlier], np.full(len(later), PAIR), set_id[later]))
-            cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(6)]
+                    out.append((doc[rep], spot[rep], doc[rep], spot[rep], np.full(len(rep), GONE)))
+                    out.append((doc[more], spot[more], row["word"][more].view(np.int64), spot[more], np.full(len(more), CUT)))
+                pairs = np.unique(np.stack([doc[later], spot[later], doc[earlier], spot[earlier]]), axis=1)
+                out.append((*pairs, np.full(pairs.shape[1], PAIR)))
+            cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(5)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 4 else pa.int64()) for i, c in enumerate(cols)], names=PAIR_NAMES)
 
-        held: list[np.ndarray] = []
+        at, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            # The last run may go on in the next batch.
-            last = int(np.searchsorted(a[0], a[0, -1]))
-            if last or (held and held[-1][0, -1] != a[0, 0]):
-                split = last if last else 0
-                done = np.concatenate([*held, a[:, :split]], axis=1) if held else a[:, :split]
-                yield handle(done)
-                held = [a[:, split:]]
-            else:
-                held.append(a)
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != at and held:
+                    yield handle(held)
+                    held = []
+                at = part
+                held.append(block.as_py())
         if held:
-            yield handle(np.concatenate(held, axis=1))
+            yield handle(held)
 
     return run
 
 
-def _needed_lines(bits, percent: int):
-    """(doc_id, text, tie) -> (doc_id, spot, words) of lines whose hash is in the bit set."""
+def _needed_lines(doc_bits, spot_bits):
+    """(doc_id, text, tie) -> (doc_id, spot, words: 64-bit hashes) of the lines in the bit sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
-        mask = np.uint64(len(table) - 1)
+        doc_table, spot_table = bit_table(doc_bits), bit_table(spot_bits)
         for batch in batches:
-            ids, ties = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            hit = table[(mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & mask).astype(np.int64)]
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ties = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = batch.column(1)
-            docs, spots, words = [], [], []
-            for i in np.flatnonzero(hit):
-                text = texts[int(i)].as_py()
-                for no, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
-                    w = line.split()
-                    if w:
-                        docs.append(ids[i])
-                        spots.append(no << 32 | ties[i] & 0xFFFFFFFF)
-                        words.append([x.decode("utf-8") for x in dict.fromkeys(w)])
-                if len(docs) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "spot", "words"])
-                    docs, spots, words = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "spot", "words"])
+            docs, spots, lines = [], [], []
+            for i in np.flatnonzero(has(*doc_table, ids.view(np.uint64))):
+                own = texts[int(i)].as_py().encode("utf-8", "replace").lower().split(b"\n")
+                spot = np.arange(len(own), dtype=np.int64) << 32 | ties[i]
+                for no in np.flatnonzero(has(*spot_table, (spot ^ ids[i]).view(np.uint64))):
+                    docs.append(ids[i])
+                    spots.append(spot[no])
+                    lines.append(own[no])
+            w = Words(lines) if lines else None
+            words = [np.unique(w.hash[w.first[k] : w.first[k + 1]]).view(np.int64) for k in range(len(lines))]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "spot", "words"])
 
     return run
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, spot) of the later lines of pairs that are similar."""
-    ends = pairs.select("doc_id").unionAll(pairs.select(F.col("x_doc").alias("doc_id"))).distinct()
-    lines = rows.mapInArrow(_needed_lines(_bit_set(ends, "doc_id"), percent), "doc_id long, spot long, words array<string>")
-    spots = pairs.select("doc_id", "spot").unionAll(pairs.select("x_doc", "x_spot")).distinct()
-    lines = cut(lines.join(spots, ["doc_id", "spot"]).dropDuplicates(["doc_id", "spot"]))
-    y = lines.withColumnRenamed("words", "y_words")
+    spots = cut(pairs.select("doc_id", "spot").unionAll(pairs.select("x_doc", "x_spot")).distinct())
+    bits = bit_set(spots.select("doc_id").distinct(), "doc_id"), bit_set(spots.select(F.col("doc_id").bitwiseXOR(F.col("spot")).alias("own")), "own")
+    lines = cut(rows.mapInArrow(_needed_lines(*bits), "doc_id long, spot long, words array<long>"))
+    ends = lines.select("doc_id", "spot", F.col("words").alias("y_words"))
     x = lines.select(F.col("doc_id").alias("x_doc"), F.col("spot").alias("x_spot"), F.col("words").alias("x_words"))
-    both = pairs.join(y, ["doc_id", "spot"]).join(x, ["x_doc", "x_spot"])
+    both = pairs.join(x, ["x_doc", "x_spot"]).select("doc_id", "spot", "x_words").join(ends, ["doc_id", "spot"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
     return both.where(100 * shared >= percent * (F.size("x_words") + F.size("y_words") - shared)).select("doc_id", "spot").distinct()
 
@@ -347,41 +473,64 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, first: int = FIRST) -> DataFrame:
     """(gone_id, gone_tie, gone: line numbers from 0) of the documents that lose lines."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.crc32(text.cast("binary")).alias("tie")).where("doc_id is not null and text is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).where("doc_id is not null and text is not null")
     levels = docs.sparkSession.sparkContext.broadcast(rarity_levels(rows, "text"))
-    prefixes = rows.mapInArrow(_prefix_rows(percent, levels), PREFIX_SCHEMA)
-    met = prefixes.repartition("word").sortWithinPartitions("word", "doc_id", "spot")
-    found = cut(met.mapInArrow(_match_rows(percent, first), PAIR_SCHEMA))
-    pairs = found.where(F.col("kind") == PAIR).select("doc_id", "spot", "x_doc", "x_spot").distinct()
-    gone = cut(found.where(F.col("kind") == GONE).select("doc_id", "spot").unionAll(_verified(rows, cut(pairs), percent)).distinct())
-    more = cut(found.where(F.col("kind") == CUT).select("doc_id", "spot", "set_id").distinct().join(gone, ["doc_id", "spot"], "left_anti"))
+    parts = max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+
+    def met(*words) -> DataFrame:
+        return rows.mapInArrow(_prefix_rows(percent, levels, parts, *words), BLOCK_SCHEMA).repartition(parts, "part").sortWithinPartitions("part")
+
+    found = cut(met().mapInArrow(_match_rows(percent, first), PAIR_SCHEMA))
+    pairs = cut(found.where(F.col("kind") == PAIR).select("doc_id", "spot", "x_doc", "x_spot").distinct())
+    gone = cut(found.where(F.col("kind") == GONE).select("doc_id", "spot").unionAll(_verified(rows, pairs, percent)).distinct())
+    more = cut(found.where(F.col("kind") == CUT).select("doc_id", "spot", F.col("x_doc").alias("word")).distinct().join(gone, ["doc_id", "spot"], "left_anti"))
     if more.limit(1).count():
-        wanted = _bit_set(more.select("set_id").distinct(), "set_id")
-        rest = met.mapInArrow(_match_rows(percent, None, wanted), PAIR_SCHEMA).select("doc_id", "spot", "x_doc", "x_spot").distinct()
-        rest = cut(rest.join(more.select("doc_id", "spot"), ["doc_id", "spot"], "left_semi").join(pairs, ["doc_id", "spot", "x_doc", "x_spot"], "left_anti"))
+        words = bit_set(more.select("word").distinct(), "word")
+        wanted = bit_set(more.select(F.col("doc_id").bitwiseXOR(F.col("spot")).alias("own")).distinct(), "own")
+        rest = met(words).mapInArrow(_match_rows(percent, None, wanted), PAIR_SCHEMA).select("doc_id", "spot", "x_doc", "x_spot").distinct()
+        rest = cut(rest.join(more.select("doc_id", "spot").distinct(), ["doc_id", "spot"], "left_semi").join(pairs, ["doc_id", "spot", "x_doc", "x_spot"], "left_anti"))
         gone = cut(gone.unionAll(_verified(rows, rest, percent)).distinct())
-    return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).alias("gone_tie")).agg(
+    return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("spot").bitwiseAND(F.lit(0xFFFF)).alias("gone_tie")).agg(
         F.sort_array(F.collect_list(F.shiftright("spot", 32).cast("int"))).alias("gone")
     )
 
 
+def _tie(text: Column) -> Column:
+    """Tells rows with one id apart: 16 bits of their text's checksum."""
+    return F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF))
+
+
+def _hit(bits):
+    @F.pandas_udf("boolean")
+    def run(ids: pd.Series) -> pd.Series:
+        return pd.Series(has(*bit_table(bits), ids.fillna(0).astype("int64").to_numpy().view(np.uint64)))
+
+    return run
+
+
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gone_col: str | None = None, drop_emptied: bool = False, **options) -> DataFrame:
-    """``docs`` without lines that repeat an earlier one; ``gone_col`` counts them, ``drop_emptied`` drops documents that lose all."""
-    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
-    count = gone_col or free_name(docs, "n_gone")
-    text = F.col(text_col)
-    joined = docs.join(found, (docs[id_col].cast("long") == F.col("gone_id")) & (F.crc32(text.cast("binary")) == F.col("gone_tie")), "left")
+    """``docs`` without lines that repeat an earlier one; ``gone_col`` counts them, ``drop_emptied`` drops documents that lose all.
+
+    Only documents in a bit set of those that lose lines go through the join.
+    """
+    inner, name, restore = sealed(docs)
+    key, text = F.col(name(id_col)).cast("long"), F.col(name(text_col))
+    found = cut(repeated_lines(inner, id_col=name(id_col), text_col=name(text_col), **options))
+    flagged = inner.withColumn("loses", _hit(bit_set(found.select("gone_id").distinct(), "gone_id"))(key))
+    clean = flagged.where("NOT loses").select(*inner.columns, F.lit(0).cast("long").alias("n_gone"))
+    joined = flagged.where("loses").join(found, (key == F.col("gone_id")) & (_tie(text) == F.col("gone_tie")), "left")
     kept = bound(
         F.split(text, "\n", -1),
         lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"),
     )
     out = joined.select(
-        *[F.when(F.col("gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias(count),
+        *[F.when(F.col("gone").isNull(), text).otherwise(kept).alias(c) if c == name(text_col) else c for c in inner.columns],
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_gone"),
     )
     if drop_emptied:
-        out = out.where((F.col(count) == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    return out if gone_col else out.drop(count)
+        out = out.where((F.col("n_gone") == 0) | text.rlike(r"[^\x20\x09-\x0D]"))
+    out = clean.unionByName(out)
+    return restore(out.withColumnRenamed("n_gone", gone_col)) if gone_col else restore(out.drop("n_gone"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound, cut, read_table
+from tidemark.llm.common import bound, cut, read_table, sealed
 
 #: Text bytes of an id range, and ranges at most.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 2 << 20
 MAX_RANGES = 65536
 #: A clause ends after one of these marks and a blank.
 CLAUSE = r"(?<=[.,;:!?] )"
@@ -139,6 +139,8 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, out_col: str = "next_text") -> DataFrame:
     """Adds the text of the next row in ascending id order; the last row's next is the first."""
+    outer, (docs, name, restore) = docs, sealed(docs)
+    id_col, text_col = name(id_col), name(text_col)
     key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_col)
     keyed = docs.withColumns({"range_key": key, "range_tie": tie})
     slim = cut(keyed.select("range_key", "range_tie", F.octet_length(text_col).alias("bytes")))
@@ -150,7 +152,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, out_col: str = "next_
     # The first row of each range, for the range before it: MAX_RANGES rows of three numbers at most.
     first = slim.withColumn("range_no", _range_of(F.col("range_key"), bounds)).groupBy("range_no").agg(F.min(F.struct("range_key", "range_tie")).alias("f")).orderBy("range_no").collect()
     if not first:
-        return docs.withColumn(out_col, F.col(text_col))
+        return outer.withColumn(out_col, F.lit(None).cast("string"))
     heads = [(first[i - 1]["range_no"], f["f"]["range_key"], f["f"]["range_tie"]) for i, f in enumerate(first)]
     table = docs.sparkSession.createDataFrame(heads, "for_range int, head_key long, head_tie long")
     ends = (
@@ -161,7 +163,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, out_col: str = "next_
     )
     both = ranged.withColumn("range_end", F.lit(False)).unionByName(ends)
     order = Window.partitionBy("range_no").orderBy("range_end", "range_key", "range_tie")
-    return both.withColumn(out_col, F.lead(text_col).over(order)).where(~F.col("range_end")).drop("range_key", "range_tie", "range_no", "range_end")
+    return restore(both.withColumn(out_col, F.lead(text_col).over(order)).where(~F.col("range_end")).drop("range_key", "range_tie", "range_no", "range_end"))
 
 
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cut, read_table
+from tidemark.llm.common import WORD, cut, free_name, read_table, sealed
 
 Knots = list[tuple[float, float]]
 
@@ -115,6 +115,8 @@ def plan_mix(
     that takes it, first epoch first; empty if untaken. A document is taken in an
     epoch if its middle word lies within the epoch's part of the target.
     """
+    docs, name, restore = sealed(docs)
+    id_col, text_col, source_col = name(id_col), name(text_col), name(source_col)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     rows = docs.withColumns({"mix_key": key, "mix_size": word_count(F.col(text_col)), "mix_range": F.substring(key, 1, 3), "mix_source": source})
@@ -138,19 +140,21 @@ def plan_mix(
     position = F.transform(
         epochs, lambda k: invert(F.col("segments"), F.col("weight"), F.least(F.lit(1.0), (k * F.col("source_size") + middle) / F.col("target")))
     )
-    return joined.select(
+    mixed = joined.select(
         *[F.col(f"r.`{c}`") for c in docs.columns],
         "mix_size",
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
         position.alias("mix_positions"),
     )
+    return restore(mixed)
 
 
 def mix(docs: DataFrame, schedule: Callable[[Column], Column] = ramp, **options) -> DataFrame:
     """The training set: a row of ``docs`` for each epoch that takes it, range-sorted by position."""
     planned = plan_mix(docs, schedule, **options)
-    return planned.withColumn("mix_position", F.explode("mix_positions")).orderBy("mix_position").select(*docs.columns)
+    at = free_name(planned, "mix_position")
+    return planned.withColumn(at, F.explode(planned.columns[-1])).orderBy(at).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, read_table
+from tidemark.llm.common import cut, read_table, sealed
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, powers, shingle_sets, slices
 
@@ -309,13 +309,14 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return by_set.join(reps, F.col("digest") == F.col("d2"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group; of rows with one id, one stays."""
-    id_col = options.get("id_col", "doc_id")
-    found = near_components(docs, **options)
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group; of rows with one id, one stays. Rows without an id all stay."""
+    inner, name, restore = sealed(docs)
+    found = near_components(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    key = F.col(name(id_col))
+    kept = inner.where(key.isNotNull()).join(gone, key == F.col("gone_id"), "left_anti").dropDuplicates([name(id_col)])
+    return restore(kept.unionByName(inner.where(key.isNull())))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

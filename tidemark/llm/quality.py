@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, WORD, bound, cut, read_table
+from tidemark.llm.common import SPACE, WORD, bound, cut, read_table, sealed
 
 #: Character classes of the histogram, with white space; all others (lower-case and caseless letters) are one more class.
 CLASSES = {
@@ -161,6 +161,8 @@ def measure(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the text, with the base counts, base_failed, kept, char_distance and word_distance."""
+    docs, name, restore = sealed(docs)
+    text_col, lang_col = name(text_col), name(lang_col)
     m = F.col("m")
     chars = F.concat(
         m["classes"],
@@ -188,7 +190,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     failed = (m["n_words"] < MIN_BASE_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     chars_ok = (m["n_chars"] < MIN_CHARS) | (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE)
     words_ok = (m["n_words"] < MIN_WORDS) | (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return rows.select(
+    judged = rows.select(
         *[measured[c] for c in docs.columns if c != text_col],
         *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"),
@@ -196,6 +198,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         "char_distance",
         "word_distance",
     )
+    return restore(judged)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, read_table
+from tidemark.llm.common import cut, read_table, sealed
 
 UNITS = 16384
 
@@ -75,6 +75,14 @@ def number_rows(rows: DataFrame, group: str, order: list[str], name: str, per_pa
     return numbered.join(starts, (F.col(group) == F.col("g2")) & (F.col("cell") == F.col("c2"))).withColumn(name, (F.col("start") + F.col("rn")).cast("long")).drop("cell", "g2", "c2", "start", "rn")
 
 
+def shard(docs: DataFrame, n_shards: int, *, text_col: str = "text", units: int = UNITS) -> DataFrame:
+    """``docs`` with the shard of each row; equal texts share one. Ready for ``write.partitionBy("shard")``."""
+    inner, name, restore = sealed(docs)
+    text = F.coalesce(F.col(name(text_col)), F.lit(""))
+    rows = inner.withColumns({"group_key": F.xxhash64(text), "size": (F.octet_length(text) + 1).cast("long")})
+    return restore(assign_shards(rows, "group_key", "size", n_shards, units).drop("group_key", "size"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
