@@ -35,4 +35,3 @@ def table(spark, tmp_path_factory):
     return write
 
 
-SF = "/root/testdata/sf0.001"

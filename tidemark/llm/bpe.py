@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.common import read_table
+from tidemark.llm.common import give_back, read_table
 
 #: Characters of a leaf.
 LEAF = 32768
@@ -322,6 +322,7 @@ def encode_column(docs: DataFrame, spec: str, text_col: str, *, ids_col: str | N
                     [part.column(part.schema.get_field_index(c)) for c in carried] + [pa.array(made[n], types.get(n, pa.string())).take(pick) for n, _ in fields],
                     names=carried + [n for n, _ in fields],
                 )
+        give_back()
 
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from collections.abc import Callable
@@ -67,3 +69,15 @@ def sealed(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[Da
         return out.select(*[F.col(f"`{c}`").alias(outer[c] if c in outer else free_name(df, c)) for c in out.columns])
 
     return df.toDF(*inner.values()), inner.__getitem__, restore
+
+
+def give_back() -> None:
+    """Returns a Python worker's unused memory to the machine; workers live on between tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, read_table
+from tidemark.llm.common import cut, give_back, read_table
 from tidemark.llm.hashing import Words, mix, slices
 from tidemark.llm.language import held_out
 
@@ -102,6 +102,8 @@ def _pack(block_words: int):
                         ids, held, lens, hashes, total = [], [], [], [], 0
         if ids:
             yield _block(ids, held, lens, hashes)
+        ids, held, lens, hashes = [], [], [], []
+        give_back()
 
     return run
 
@@ -117,7 +119,7 @@ class Sequences:
         first = np.concatenate(([0], np.cumsum(lens)))
         self.order = pick[np.argsort(-lens[pick], kind="stable")]
         self.n = lens[self.order] + 1
-        self.offset = np.concatenate(([0], np.cumsum(self.n)[:-1])).astype(np.int64)
+        self.offset = np.cumsum(self.n) - self.n
         self.symbols = np.full(int(self.n.sum()), END, np.int32)
         place = np.arange(len(self.symbols)) - np.repeat(self.offset, self.n)
         source = np.repeat(first[self.order], self.n) + place
@@ -184,7 +186,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         row = {}
         for name, col in zip(batch.schema.names, batch.columns, strict=True):
             x = col[i]
-            row[name] = x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) and pa.types.is_primitive(x.type.value_type) else x.as_py() if not isinstance(x, pa.ListScalar) else x.values
+            row[name] = None if not x.is_valid else x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) else x.as_py()
         yield row
 
 
@@ -249,6 +251,7 @@ def train_chain(blocks: DataFrame, background: np.ndarray, states: int = STATES,
                     s = Sequences(lens.astype(np.int64), symbols_of(vocab)[local], np.flatnonzero(~held.astype(bool)))
                     a, b, e, _ = expected_counts(c, s)
                     start, move, emit = start + a, move + b, emit + e
+            give_back()
             seen = np.flatnonzero(emit.any(axis=1))
             table = np.concatenate([emit[seen], move, start[None]])
             key = np.concatenate([seen, -1 - np.arange(k), [-1 - k]])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import read_table
+from tidemark.llm.common import give_back, read_table, sealed
 
 #: Bytes of an n-gram, hash buckets, languages at most.
 GRAM = 4
@@ -84,6 +84,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                     if len(sums) > MAX_LANGUAGES:
                         raise ValueError(f"more than {MAX_LANGUAGES} languages")
                 sums[lang] += np.bincount(gram_buckets(text), minlength=BUCKETS)
+        give_back()
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -159,48 +160,47 @@ def infer(model: Model, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return best
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (share of that language) and lang_shares (array of language and share, largest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    made = T.StructType(
-        [
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("lang_shares", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))),
-        ]
-    )
-    names = set(made.names)
-    keep = [c for c in docs.columns if c not in names]
-    # Text as asked for by the model, and whether it has a letter (JVM-side).
-    ready = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__known_text"),
-    )
-    schema = T.StructType([docs.schema[c] for c in keep] + made.fields)
+SHARES = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
+PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", SHARES)])
+
+
+def prediction(model: Model, text: Column, spark: SparkSession) -> Column:
+    """struct(lang_pred, score, lang_shares) of a text. Only texts go to Python, and no text comes back."""
+    shared = spark.sparkContext.broadcast(model)
     shares_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(PREDICTION)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(part.num_columns - 1).to_pylist()
+            pred: list = []
+            score: list = []
+            shares: list = []
+            for at in range(0, len(batch), 256):
+                texts = batch.slice(at, 256).to_pylist()
                 grams = [(i, g) for i, t in enumerate(texts) if t is not None and m.languages and len((g := gram_counts(t))[0])]
-                pred: list = [UNKNOWN] * len(texts)
-                score = [0.0] * len(texts)
-                shares: list = [[] for _ in texts]
+                found: dict[int, list] = {}
                 if grams:
                     pi = infer(m, [g for _, g in grams])
                     for k, (i, _) in enumerate(grams):
                         order = [j for j in np.argsort(-pi[:, k], kind="stable") if pi[j, k] > 0]
-                        shares[i] = [{"lang": m.languages[j], "share": float(min(1.0, pi[j, k]))} for j in order]
-                        pred[i], score[i] = shares[i][0]["lang"], shares[i][0]["share"]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(j) for j in range(len(keep))] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, shares_type)],
-                    names=schema.names,
-                )
+                        found[i] = [{"lang": m.languages[j], "share": float(min(1.0, pi[j, k]))} for j in order]
+                for i in range(len(texts)):
+                    own = found.get(i, [])
+                    pred.append(own[0]["lang"] if own else UNKNOWN)
+                    score.append(own[0]["share"] if own else 0.0)
+                    shares.append(own)
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, shares_type)], names=["lang_pred", "score", "lang_shares"])
+        give_back()
 
-    return ready.mapInArrow(run, schema)
+    return run(F.when(text.rlike(r"\p{L}"), text))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score (share of that language) and lang_shares (array of language and share, largest first)."""
+    inner, name, restore = sealed(docs)
+    found = inner.withColumn("p", prediction(model, F.col(name(text_col)), docs.sparkSession))
+    return restore(found.select(*inner.columns, "p.lang_pred", "p.score", "p.lang_shares"))
 
 
 def held_out(doc_id: Column, parts: int, which: int) -> Column:
@@ -210,8 +210,8 @@ def held_out(doc_id: Column, parts: int, which: int) -> Column:
 def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> DataFrame:
     """Rows of ``docs`` with a known main language; their columns as they were."""
     model = train(docs, text_col, lang_col)
-    found = predict(docs, model, text_col)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_share)).select(*docs.columns)
+    found = prediction(model, F.col(text_col), docs.sparkSession)
+    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= min_share))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

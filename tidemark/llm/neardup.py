@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, read_table, sealed
+from tidemark.llm.common import cut, give_back, read_table, sealed
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, powers, shingle_sets, slices
 
@@ -101,6 +101,7 @@ def _sketch_rows(shingle: int):
                     [ids, pa.array(sizes), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
                     names=["doc_id", "n_shingles", "digest", "keys", "tokens"],
                 )
+        give_back()
 
     return run
 
@@ -224,6 +225,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held and sum(len(m) for m, _ in held) > 1:
         handle(int(held_key), np.concatenate([m for m, _ in held]), np.concatenate([t for _, t in held]))
     yield _edge_batch(found)
+    give_back()
 
 
 def _exact_rows(shingle: int, percent: int):
@@ -261,6 +263,7 @@ def _exact_rows(shingle: int, percent: int):
                 yield _edge_batch(found)
                 found = set()
         yield _edge_batch(found | edges_of(group))
+        give_back()
 
     return run
 

@@ -110,7 +110,8 @@ def js_distance(a: Column, b: Column) -> Column:
         return F.when(p > 0, 0.5 * p * F.log2(p / m)).otherwise(0.0)
 
     terms = F.zip_with(share(a), share(b), lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return bound(total, lambda t: F.when(t.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))))
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bits import bit_set, bit_table, has
-from tidemark.llm.common import cut, ensure_checkpoint_dir, read_table
+from tidemark.llm.common import cut, ensure_checkpoint_dir, give_back, read_table
 from tidemark.llm.hashing import Words, mix, powers, slices
 
 WINDOW = 50
@@ -177,6 +177,7 @@ def _sketch_rows(window: int, gram: int):
                     [part.column(0), pa.array(n_words, pa.int64()), pa.array(tie, pa.int64()), pa.array(digest, pa.binary()), pa.array(sha, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
                     names=["doc_id", "n_words", "tie", "digest", "all_sha256", "anchors"],
                 )
+        give_back()
 
     return run
 
@@ -247,6 +248,7 @@ def _span_rows(window: int, gram: int, anchors, spans=None):
                         held, total = [], 0
         if held:
             yield _leasts(held)
+        give_back()
 
     return run
 
