@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.files import range_lookup
 from tidemark.schema import BYTEWISE, DEL, N_LEVELS, KeyOrder
 
 
@@ -27,14 +28,14 @@ def gc(log: DataFrame, floor: int, base_level: Column | bool = True, order: KeyO
 def with_base_level(log: DataFrame, deeper: DataFrame, order: KeyOrder = BYTEWISE) -> DataFrame:
     """Adds ``base_level``: no range of ``deeper`` (smallest, largest) covers the key.
 
-    ``deeper`` is file metadata. Its disjoint ranges are merged, so each key has
-    at most one candidate: the range with the greatest start at or before it.
+    ``deeper`` is file metadata. Its ranges are merged into disjoint ones, which
+    each task searches for its own keys.
     """
-    merged = merge_ranges(deeper).select(F.col("smallest").alias("__lo"), F.col("largest").alias("__hi"))
-    key = order.column(F.col("key"))
-    keys = log.select(key.alias("__k")).distinct()
-    covered = keys.join(merged, (F.col("__lo") <= F.col("__k")) & (F.col("__k") <= F.col("__hi")), "left_semi").withColumnRenamed("__k", "__c")
-    return log.join(covered, key == F.col("__c"), "left").withColumn("base_level", F.col("__c").isNull()).drop("__c")
+    plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
+    ranges = sorted((plain(r["smallest"]), plain(r["largest"])) for r in merge_ranges(deeper).collect())
+    if not ranges:
+        return log.withColumn("base_level", F.lit(True))
+    return log.withColumn("base_level", range_lookup(ranges)(order.column(F.col("key"))).isNull())
 
 
 def merge_ranges(files: DataFrame) -> DataFrame:

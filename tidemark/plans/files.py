@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schema import N_LEVELS
 
@@ -29,17 +34,34 @@ def find_file(files: DataFrame, key: object) -> DataFrame:
     return files.agg(F.count(F.when(F.col("largest") < F.lit(key), 1)).alias("position"))
 
 
-def find_files(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """Each key with the file of a disjoint level that may hold it (null: none).
+def range_lookup(ranges: list[tuple[object, object]]) -> Callable[[Column], Column]:
+    """A function of keys: the position of the range [smallest, largest] that holds a key, null for none.
 
-    One sort of keys and file ends: a file's end is carried back to the keys
-    before it, with no pairs made.
+    ``ranges`` are sorted and disjoint, a few values for each file. They are
+    searched where the keys are, so keys are neither sorted nor joined.
     """
-    ends = files.select(F.col("largest").alias("at"), F.lit(1).alias("kind"), F.struct("number", "smallest").alias("file"))
-    asked = keys.select(F.col("key").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(ends.schema["file"].dataType).alias("file"))
-    after = Window.orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = asked.unionByName(ends).withColumn("hit", F.first("file", ignorenulls=True).over(after)).where("kind = 0")
-    return found.select(F.col("at").alias("key"), F.when(F.col("hit.smallest") <= F.col("at"), F.col("hit.number")).alias("number"))
+    ends = [hi for _, hi in ranges]
+
+    @F.pandas_udf(T.LongType())
+    def run(keys: pd.Series) -> pd.Series:
+        out = []
+        for k in keys:
+            i = len(ends) if k is None else bisect_left(ends, bytes(k) if isinstance(k, bytearray) else k)
+            out.append(i if i < len(ends) and ranges[i][0] <= k else None)
+        return pd.Series(out, dtype="Int64")
+
+    return run
+
+
+def find_files(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each key with the number of the file of a disjoint level that may hold it (null: none)."""
+    plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
+    rows = sorted((plain(r["smallest"]), plain(r["largest"]), r["number"]) for r in files.select("smallest", "largest", "number").collect())
+    if not rows:
+        return keys.select("key", F.lit(None).cast(files.schema["number"].dataType).alias("number"))
+    at = range_lookup([(lo, hi) for lo, hi, _ in rows])(F.col("key")).cast("int")
+    numbers = F.array(*[F.lit(n) for _, _, n in rows]).cast(T.ArrayType(files.schema["number"].dataType))
+    return keys.select("key", F.get(numbers, at).alias("number"))
 
 
 def level_stats(files: DataFrame) -> DataFrame:
