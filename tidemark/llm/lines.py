@@ -17,9 +17,10 @@ Lines of equal sets meet in the same place; within a task all but the first are
 dropped before the shuffle, so a line that a third of all rows share costs a
 row for each task. Tasks deal their rows to parts by word and send each part as
 one block of columns, which spares the JVM tens of rows for each line; the
-number of parts grows with the input. A line needs one earlier match only: pairs are made with
-its ``FIRST`` earliest candidates, and with all others only for the lines that
-stay unmatched, so groups of near copies make no quadratic lists.
+number of parts grows with the input. A line needs one earlier match only: pairs
+are made with its earliest candidates, until ``SURE`` of them look alike, and
+with all others only for the lines that stay unmatched, so groups of near copies
+make no quadratic lists.
 
 Defined cases: a null text has no lines and stays null; an empty text has one
 blank line; rows with a null id lose no lines and match none; of rows with one
@@ -38,15 +39,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bits import bit_set, bit_table, has
-from tidemark.llm.common import bound, cut, read_table, sealed
+from tidemark.llm.common import bound, cut, give_back, read_table, sealed
 from tidemark.llm.hashing import Words, mix, slices
 
 PERCENT = 80
 COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
 CHUNK = 1 << 14
-#: Pairs of a line and a shared word in the first round.
-FIRST = 4
+#: In the first round a line has this many pairs for a shared word, or as many with all but equal sketches.
+FIRST, SURE = 64, 3
 #: Lines that a task holds before it drops repeats and sends the rest on.
 TASK_LINES = 200_000
 LINE_BITS = 20
@@ -67,6 +68,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(texts):
             h = Words(texts[lo:hi]).hash >> np.uint64(64 - COUNTER_BITS)
             counts += np.bincount(h.astype(np.int64), minlength=COUNTERS)
+    give_back()
     parts = counts.reshape(-1, CHUNK)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
 
@@ -94,6 +96,18 @@ def need(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def word_keys(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Word hashes with their rarity in front: their order is the order of words."""
+    level = levels[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+    return level.astype(np.uint64) << np.uint64(_HASH_BITS) | mix(h) >> np.uint64(64 - _HASH_BITS)
+
+
+def _with_words(texts: list[bytes], levels: np.ndarray, wanted) -> np.ndarray:
+    """Which texts have a word of the bit set ``wanted``."""
+    w = Words(texts)
+    return np.unique(w.text[has(*wanted, word_keys(w.hash, levels))]) if len(w.hash) else np.empty(0, np.int64)
+
+
 class LineSets:
     """The lines with a word of some texts (at most 2^LINE_BITS), their words in order of rarity."""
 
@@ -105,7 +119,6 @@ class LineSets:
         text_begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])).astype(np.int64)
         before = np.searchsorted(breaks, text_begin)
         key = (line + w.text).astype(np.int64)  # texts share no line
-        level = levels[(w.hash >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
         no = np.cumsum(new) - 1
         n_lines = int(no[-1]) + 1 if len(no) else 0
@@ -113,7 +126,7 @@ class LineSets:
             raise ValueError("too many lines at once")
         at = np.flatnonzero(new)
         self.text, self.line = w.text[at], line[at] - before[w.text[at]]
-        both = (no.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (level.astype(np.uint64) << np.uint64(_HASH_BITS)) | (mix(w.hash) >> np.uint64(64 - _HASH_BITS))
+        both = (no.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | word_keys(w.hash, levels)
         both.sort()
         if len(both):
             both = both[np.concatenate(([True], both[1:] != both[:-1]))]
@@ -253,6 +266,10 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
                 part = batch.slice(at, 2000)
                 ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
                 texts = _texts(part.column(1))
+                number = np.arange(len(texts))
+                if wanted is not None:  # few texts have any of the words
+                    number = np.concatenate([lo + _with_words(texts[lo:hi], table, wanted) for lo, hi in slices(texts)]).astype(np.int64)
+                    texts = [texts[i] for i in number]
                 for lo, _, own, skipped in _line_slices(texts):
                     x = LineSets(own, table)
                     if not len(x.line):
@@ -262,7 +279,8 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
                     if wanted is not None:
                         pick = pick[has(*wanted, x.word[pick])]
                     held.append((x.word[pick], x.owner[pick] + count, x.place[pick]))
-                    heads.append((x.set_id, ids[lo + x.text].astype(np.int64), x.line + skipped, ties[lo + x.text].astype(np.int64), x.size))
+                    row = number[lo + x.text]
+                    heads.append((x.set_id, ids[row].astype(np.int64), x.line + skipped, ties[row].astype(np.int64), x.size))
                     klass = width_class(x.size)
                     for k, (_, width) in enumerate(WIDTHS):
                         lines = np.flatnonzero(klass == k)
@@ -276,6 +294,8 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
                         held, heads, sketches, count = [], [], [[] for _ in WIDTHS], 0
         if count:
             yield batch_of(flush())
+        held, heads, sketches = [], [], []
+        give_back()
 
     return run
 
@@ -284,37 +304,41 @@ class Rows:
     """Prefix rows in runs of equal words, sorted by (word, doc, line, tie)."""
 
     def __init__(self, row: dict[str, np.ndarray], percent: int):
-        self.row, self.percent = row, percent
+        self.row, self.percent, self.parity = row, percent, row["parity"]
         self.size, self.place = row["size"].astype(np.int64), row["place"].astype(np.int64)
+        # More differing bits than this no partner of any size can make up for.
+        widest = self.size * 100 // percent + self.size
+        self.most = np.minimum(64, widest - 2 * (percent * widest // (100 + percent))).astype(np.uint8)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The quick test that nearly all other pairs fail."""
+        return np.bitwise_count(self.parity[x] ^ self.parity[y]) <= self.most[y]
 
     def same(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         r = self.row
-        return (r["set_id"][x] == r["set_id"][y]) & (r["parity"][x] == r["parity"][y]) & (self.size[x] == self.size[y])
+        return (r["set_id"][x] == r["set_id"][y]) & (self.parity[x] == self.parity[y]) & (self.size[x] == self.size[y])
 
     def other_place(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         r = self.row
         return (r["doc"][x] != r["doc"][y]) | (r["line"][x] != r["line"][y]) | (r["tie"][x] != r["tie"][y])
 
-    def fits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The length, positional and parity filters."""
+    def fits(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether pairs pass the length, positional and parity filters, and whether by a wide margin."""
         sx, sy, p, r = self.size[x], self.size[y], self.percent, self.row
         least = (p * (sx + sy) + 99 + p) // (100 + p)
         ok = (np.minimum(sx - self.place[x], sy - self.place[y]) >= least) & (need(np.maximum(sx, sy), p) <= np.minimum(sx, sy))
         spare = sx + sy - 2 * least
-        ok &= np.bitwise_count(r["parity"][x] ^ r["parity"][y]) <= spare
-        if ok.any():
-            at = np.nonzero(ok)
-            width = np.minimum(r["width"][x[at]], r["width"][y[at]])
-            for w in sorted({n for _, n in WIDTHS if n > 1}):
-                deep = np.flatnonzero(width >= w)
-                if len(deep):
-                    diff = r["wide"][x[at][deep]] ^ r["wide"][y[at][deep]]
-                    # Bits that are equal modulo 64 w fold into one.
-                    both = np.zeros((len(deep), w), np.uint64)
-                    for i in range(WIDTHS[-1][1]):
-                        both[:, i % w] ^= diff[:, i]
-                    ok[tuple(a[deep] for a in at)] &= np.bitwise_count(both).sum(axis=1) <= spare[tuple(a[deep] for a in at)]
-        return ok
+        apart = np.bitwise_count(self.parity[x] ^ self.parity[y]).astype(np.int64)
+        ok &= apart <= spare
+        for w in sorted({n for _, n in WIDTHS if n > 1}):
+            deep = np.flatnonzero(ok & (np.minimum(r["width"][x], r["width"][y]) >= w))
+            if len(deep):
+                diff = r["wide"][x[deep]] ^ r["wide"][y[deep]]
+                # Bits that are equal modulo 64 w fold into one.
+                fold = np.bitwise_xor.reduce(diff.reshape(len(deep), -1, w), axis=1)
+                apart[deep] = np.bitwise_count(fold).sum(axis=1)
+                ok[deep] &= apart[deep] <= spare[deep]
+        return ok, ok & (2 * apart <= spare)
 
 
 #: Rows of a run that are compared step by step; longer runs go on in squares of so many rows.
@@ -334,45 +358,54 @@ def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
     live = np.flatnonzero(np.arange(n) > first)
     if want is not None:
         live = live[want[live]]
-    made, repeat, cut_off = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    made, sure = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    repeat, cut_off = np.zeros(n, bool), np.zeros(n, bool)
     later, earlier = [], []
 
     def settle(y: np.ndarray) -> np.ndarray:
         """Those of ``y`` that still want candidates."""
         going = ~repeat[y]
         if limit is not None:
-            full = going & (made[y] >= limit)
+            full = going & ((made[y] >= limit) | (sure[y] >= SURE))
             cut_off[y[full]] = True
             going &= ~full
         return y[going]
 
+    def meet(x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs that passed the quick test, in order of y, then x."""
+        same = rows.same(x, y)
+        repeat[y[same & rows.other_place(x, y)]] = True
+        fits, alike = rows.fits(x, y)
+        fits = np.flatnonzero(fits & ~same)
+        x, y, alike = x[fits], y[fits], alike[fits]
+        if limit is not None and len(y):
+            begin = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
+            rank = np.arange(len(y)) - np.repeat(begin, np.diff(np.append(begin, len(y))))
+            few = made[y] + rank < limit
+            x, y, alike = x[few], y[few], alike[few]
+        later.append(y)
+        earlier.append(x)
+        np.add.at(made, y, 1)
+        np.add.at(sure, y, alike)
+
     for k in range(STEPS):
         if not len(live):
             break
-        x, y = first[live] + k, live
-        same = rows.same(x, y)
-        repeat[y[same & rows.other_place(x, y)]] = True
-        fits = rows.fits(x, y) & ~same
-        later.append(y[fits])
-        earlier.append(x[fits])
-        made[y[fits]] += 1
-        live = settle(live[first[live] + k + 1 < live])
+        x = first[live] + k
+        near = np.flatnonzero(rows.near(x, live))
+        if len(near):
+            meet(x[near], live[near])
+        live = settle(live[x + 1 < live])
     for own in np.split(live, np.flatnonzero(np.diff(first[live])) + 1) if len(live) else []:
         for lo in range(0, len(own), SQUARE):
             y = own[lo : lo + SQUARE]
             at = first[y[0]] + STEPS
             while len(y) and at < y[-1]:
                 x = np.arange(at, min(at + SQUARE, y[-1]))
-                yy, xx = np.meshgrid(y, x, indexing="ij")
-                before = xx < yy
-                same = rows.same(xx, yy) & before
-                repeat[y[(same & rows.other_place(xx, yy)).any(axis=1)]] = True
-                fits = rows.fits(xx, yy) & before & ~same
-                if limit is not None:
-                    fits &= np.cumsum(fits, axis=1) + made[y][:, None] <= limit
-                later.append(yy[fits])
-                earlier.append(xx[fits])
-                made[y] += fits.sum(axis=1)
+                near = (np.bitwise_count(rows.parity[y][:, None] ^ rows.parity[x]) <= rows.most[y][:, None]) & (x < y[:, None])
+                i, j = np.nonzero(near)
+                if len(i):
+                    meet(x[j], y[i])
                 at += len(x)
                 y = settle(y)
     later = np.concatenate(later) if later else np.empty(0, np.int64)
@@ -430,6 +463,8 @@ def _match_rows(percent: int, limit: int | None, wanted=None):
                 held.append(block.as_py())
         if held:
             yield handle(held)
+        held = []
+        give_back()
 
     return run
 
@@ -454,6 +489,7 @@ def _needed_lines(doc_bits, spot_bits):
             w = Words(lines) if lines else None
             words = [np.unique(w.hash[w.first[k] : w.first[k + 1]]).view(np.int64) for k in range(len(lines))]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "spot", "words"])
+        give_back()
 
     return run
 
