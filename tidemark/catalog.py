@@ -6,6 +6,7 @@ deletes), OR the orders as a log of puts, FM the orders dealt to eight files.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from tidemark.operators.table import VersionedTable, repair
 from tidemark.plans import compaction, files, ordered, visibility
 from tidemark.schema import NUMERIC, REVERSED_BYTES, KeyOrder, Options
 from tidemark.sources.dump import dump_log
+from tidemark.workspace import scratch, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +40,12 @@ NEW = "NEWEST AS (SELECT * FROM EV QUALIFY row_number() OVER (PARTITION BY key O
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f
@@ -503,8 +510,6 @@ def debug_keys(s, d):
 
 # -- tables -----------------------------------------------------------------------
 def _fresh(s: SparkSession) -> str:
-    from tidemark.workspace import scratch
-
     return f"{scratch(s)}/table-{uuid.uuid4().hex}"
 
 

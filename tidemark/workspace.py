@@ -1,8 +1,10 @@
-"""The folder that the driver and all executors share."""
+"""What the driver and all executors share: a folder, and this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +17,14 @@ def scratch(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(found)
     return found
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, whatever their working folder.
+
+    Where executors don't see the driver's folders, submit the package with ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *have])
