@@ -45,14 +45,15 @@ from tidemark.llm.hashing import Words, mix, slices
 PERCENT = 80
 COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
-CHUNK = 1 << 14
+#: Counters that are summed in one row: many small rows, so many tasks share the sums.
+CHUNK = 1 << 10
 #: In the first round a line has this many pairs for a shared word, or as many with all but equal sketches.
 FIRST, SURE = 64, 3
 #: Lines that a task holds before it drops repeats and sends the rest on.
 TASK_LINES = 200_000
 LINE_BITS = 20
-#: Text bytes for each part that the words are dealt to.
-PART_BYTES = 12 << 20
+#: Words of the corpus for each part that they are dealt to.
+PART_WORDS = 2_000_000
 _HASH_BITS = 64 - 8 - LINE_BITS
 
 
@@ -65,30 +66,29 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         texts = _texts(batch.column(0))
-        for lo, hi in slices(texts):
-            h = Words(texts[lo:hi]).hash >> np.uint64(64 - COUNTER_BITS)
-            counts += np.bincount(h.astype(np.int64), minlength=COUNTERS)
+        h = [Words(texts[lo:hi]).hash >> np.uint64(64 - COUNTER_BITS) for lo, hi in slices(texts)]
+        counts += np.bincount(np.concatenate([*h, np.empty(0, np.uint64)]).astype(np.int64), minlength=COUNTERS)
     give_back()
     parts = counts.reshape(-1, CHUNK)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int64()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
 
 
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, np.int64)
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def rarity_levels(docs: DataFrame, text_col: str) -> np.ndarray:
-    """A level 0 (rare) to 255 for each counter; COUNTERS numbers whatever the corpus."""
+def rarity_levels(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """A level 0 (rare) to 255 for each counter, COUNTERS numbers whatever the corpus; and the number of words."""
     made = docs.select(text_col).mapInArrow(_count_rows, "chunk long, counts binary")
     table = made.repartition("chunk").mapInArrow(_sum_rows, "chunk long, counts binary").toArrow()
     counts = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
     for chunk, raw in zip(table.column("chunk").to_pylist(), table.column("counts").to_pylist(), strict=True):
         counts[chunk] += np.frombuffer(raw, np.int64)
-    return np.minimum(255, 6 * np.log2(1 + counts.reshape(-1))).astype(np.uint8)
+    return np.minimum(255, 6 * np.log2(1 + counts.reshape(-1))).astype(np.uint8), int(counts.sum())
 
 
 def need(n, percent: int):
@@ -189,12 +189,12 @@ def from_block(raw: bytes) -> dict[str, np.ndarray]:
         out[c] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * k, at).reshape(k, n).T).view(t).reshape(n)
         at += n * k
     wide = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8 * width, at).reshape(8 * width, n).T).view("<u8").reshape(n, width)
-    # All rows as wide as the widest; the first column is the fold of all.
-    out["wide"] = np.zeros((n, WIDTHS[-1][1]), np.uint64)
-    out["wide"][:, :width] = wide
+    # Narrow sketches are all in the fold; wide ones come beside, in rows as wide as the widest.
     out["parity"] = np.bitwise_xor.reduce(wide, axis=1) if n else np.empty(0, np.uint64)
-    out["width"] = np.full(n, width, np.int64)
-    return out
+    out["width"] = np.full(n, width, np.uint8)
+    full = np.zeros((n if width > 1 else 0, WIDTHS[-1][1]), np.uint64)
+    full[:, :width] = wide if width > 1 else 0
+    return out | {"wide": full}
 
 
 def wide_parity(word: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -301,10 +301,10 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
 
 
 class Rows:
-    """Prefix rows in runs of equal words, sorted by (word, doc, line, tie)."""
+    """Prefix rows of distinct sets in runs of equal words, sorted by (word, doc, spot)."""
 
-    def __init__(self, row: dict[str, np.ndarray], percent: int):
-        self.row, self.percent, self.parity = row, percent, row["parity"]
+    def __init__(self, row: dict[str, np.ndarray], wide: np.ndarray, percent: int):
+        self.row, self.wide, self.percent, self.parity = row, wide, percent, row["parity"]
         self.size, self.place = row["size"].astype(np.int64), row["place"].astype(np.int64)
         # More differing bits than this no partner of any size can make up for.
         widest = self.size * 100 // percent + self.size
@@ -314,14 +314,6 @@ class Rows:
         """The quick test that nearly all other pairs fail."""
         return np.bitwise_count(self.parity[x] ^ self.parity[y]) <= self.most[y]
 
-    def same(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        r = self.row
-        return (r["set_id"][x] == r["set_id"][y]) & (self.parity[x] == self.parity[y]) & (self.size[x] == self.size[y])
-
-    def other_place(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        r = self.row
-        return (r["doc"][x] != r["doc"][y]) | (r["line"][x] != r["line"][y]) | (r["tie"][x] != r["tie"][y])
-
     def fits(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether pairs pass the length, positional and parity filters, and whether by a wide margin."""
         sx, sy, p, r = self.size[x], self.size[y], self.percent, self.row
@@ -333,7 +325,7 @@ class Rows:
         for w in sorted({n for _, n in WIDTHS if n > 1}):
             deep = np.flatnonzero(ok & (np.minimum(r["width"][x], r["width"][y]) >= w))
             if len(deep):
-                diff = r["wide"][x[deep]] ^ r["wide"][y[deep]]
+                diff = self.wide[r["wide_at"][x[deep]]] ^ self.wide[r["wide_at"][y[deep]]]
                 # Bits that are equal modulo 64 w fold into one.
                 fold = np.bitwise_xor.reduce(diff.reshape(len(deep), -1, w), axis=1)
                 apart[deep] = np.bitwise_count(fold).sum(axis=1)
@@ -342,14 +334,14 @@ class Rows:
 
 
 #: Rows of a run that are compared step by step; longer runs go on in squares of so many rows.
-STEPS, SQUARE = 24, 512
+STEPS, SQUARE = 2048, 512
 
 
 def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
     """Candidates among whole runs.
 
-    Returns rows that repeat an earlier set, candidate pairs (later, earlier), and
-    rows whose list of pairs was cut at ``limit``. Earliest rows come first.
+    Returns candidate pairs (later, earlier) and the rows whose list of pairs was cut
+    at ``limit`` or after ``SURE`` candidates that look alike. Earliest rows come first.
     """
     word = rows.row["word"]
     n = len(word)
@@ -358,25 +350,20 @@ def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
     live = np.flatnonzero(np.arange(n) > first)
     if want is not None:
         live = live[want[live]]
-    made, sure = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    repeat, cut_off = np.zeros(n, bool), np.zeros(n, bool)
-    later, earlier = [], []
+    made, sure, cut_off = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    later, earlier = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
     def settle(y: np.ndarray) -> np.ndarray:
         """Those of ``y`` that still want candidates."""
-        going = ~repeat[y]
-        if limit is not None:
-            full = going & ((made[y] >= limit) | (sure[y] >= SURE))
-            cut_off[y[full]] = True
-            going &= ~full
-        return y[going]
+        if limit is None:
+            return y
+        full = (made[y] >= limit) | (sure[y] >= SURE)
+        cut_off[y[full]] = True
+        return y[~full]
 
     def meet(x: np.ndarray, y: np.ndarray) -> None:
         """Pairs that passed the quick test, in order of y, then x."""
-        same = rows.same(x, y)
-        repeat[y[same & rows.other_place(x, y)]] = True
         fits, alike = rows.fits(x, y)
-        fits = np.flatnonzero(fits & ~same)
         x, y, alike = x[fits], y[fits], alike[fits]
         if limit is not None and len(y):
             begin = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
@@ -397,21 +384,24 @@ def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
             meet(x[near], live[near])
         live = settle(live[x + 1 < live])
     for own in np.split(live, np.flatnonzero(np.diff(first[live])) + 1) if len(live) else []:
-        for lo in range(0, len(own), SQUARE):
-            y = own[lo : lo + SQUARE]
-            at = first[y[0]] + STEPS
-            while len(y) and at < y[-1]:
-                x = np.arange(at, min(at + SQUARE, y[-1]))
-                near = (np.bitwise_count(rows.parity[y][:, None] ^ rows.parity[x]) <= rows.most[y][:, None]) & (x < y[:, None])
-                i, j = np.nonzero(near)
-                if len(i):
-                    meet(x[j], y[i])
-                at += len(x)
-                y = settle(y)
-    later = np.concatenate(later) if later else np.empty(0, np.int64)
-    earlier = np.concatenate(earlier) if earlier else np.empty(0, np.int64)
-    fine = ~repeat[later]
-    return np.flatnonzero(repeat), later[fine], earlier[fine], np.flatnonzero(cut_off & ~repeat)
+        begin, end = first[own[0]] + STEPS, own[-1]
+        sizes = rows.size[begin:end]
+        for size in np.unique(rows.size[own]):
+            # Only lengths that a set of this size can be similar to.
+            x_all = begin + np.flatnonzero((sizes >= need(size, rows.percent)) & (rows.percent * sizes <= 100 * size))
+            mine = own[rows.size[own] == size]
+            for lo in range(0, len(mine), SQUARE):
+                y = mine[lo : lo + SQUARE]
+                at = 0
+                while len(y) and at < len(x_all) and x_all[at] < y[-1]:
+                    x = x_all[at : at + SQUARE]
+                    near = (np.bitwise_count(rows.parity[y][:, None] ^ rows.parity[x]) <= rows.most[y][:, None]) & (x < y[:, None])
+                    i, j = np.nonzero(near)
+                    if len(i):
+                        meet(x[j], y[i])
+                    at += len(x)
+                    y = settle(y)
+    return np.concatenate(later), np.concatenate(earlier), np.flatnonzero(cut_off)
 
 
 PAIR_NAMES = ["doc_id", "spot", "x_doc", "x_spot", "kind"]
@@ -427,26 +417,49 @@ def _match_rows(percent: int, limit: int | None, wanted=None):
 
         def handle(blocks: list[bytes]) -> pa.RecordBatch:
             got = [from_block(b) for b in blocks]
+            wide = np.concatenate([g.pop("wide") for g in got])
             row = {n: np.concatenate([g[n] for g in got]) for n in got[0]}
+            row["wide_at"] = np.cumsum(row["width"] > 1) - 1
             spot = row["line"].astype(np.int64) << 32 | row["tie"]
             known = row["size"] == 0
             out = [(row["doc"][known], spot[known], row["doc"][known], spot[known], np.full(known.sum(), GONE))] if limit is not None else []
-            # Words of one line only are done.
+
+            # Ranks by document and place, and by word, so that each order is one sort of one number.
+            by_place = np.lexsort((spot, row["doc"]))
+            rank = np.empty(len(spot), np.int64)
+            rank[by_place] = np.arange(len(spot))
             order = np.argsort(row["word"])
-            order = order[~known[order]]
             w = row["word"][order]
-            eq = np.zeros(len(w) + 1, bool)
-            eq[1:-1] = w[1:] == w[:-1]
-            order = order[eq[1:] | eq[:-1]]
-            order = order[np.lexsort((spot[order], row["doc"][order], row["word"][order]))]
+            run_no = np.empty(len(spot), np.int64)
+            run_no[order] = np.cumsum(np.concatenate(([0], w[1:] != w[:-1]))[: len(w)])
+            rows_in = np.bincount(run_no[~known], minlength=len(spot) + 1)
+            order = np.flatnonzero(~known & (rows_in[run_no] > 1))  # words of one line only are done
+            # Of equal sets the first goes on.
+            key = run_no[order] << 32 | row["set_id"][order]
+            order = order[np.argsort(key, kind="stable")]
+            key.sort()
+            many = np.zeros(len(key) + 1, bool)
+            many[1:-1] = key[1:] == key[:-1]
+            many = np.flatnonzero(many[1:] | many[:-1])
+            order[many] = order[many][np.lexsort((rank[order[many]], row["size"][order[many]], row["parity"][order[many]], key[many]))]
+            a, b = order[1:], order[:-1]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (row["parity"][a] != row["parity"][b]) | (row["size"][a] != row["size"][b])))[: len(order)]
+            lead = order[np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(order))))]
+            rep = order[((row["doc"][order] != row["doc"][lead]) | (spot[order] != spot[lead])) & (row["place"][order] == 0)]
+            if limit is not None:
+                out.append((row["doc"][rep], spot[rep], row["doc"][rep], spot[rep], np.full(len(rep), GONE)))
+            order = order[new]
+            # Sets so small that no other set is similar are done.
+            size = row["size"][order].astype(np.int64)
+            order = order[100 * size >= percent * (size + 1)]
+            order = order[np.bincount(run_no[order], minlength=len(spot) + 1)[run_no[order]] > 1]
+            order = order[np.argsort(run_no[order] << 32 | rank[order])]
             if len(order):
                 row, spot = {n: c[order] for n, c in row.items()}, spot[order]
-                doc, rows = row["doc"], Rows(row, percent)
+                doc = row["doc"]
                 want = None if table is None else has(*table, (doc ^ spot).view(np.uint64))
-                rep, later, earlier, more = match_runs(rows, limit, want)
-                rep = rep[rows.place[rep] == 0]
+                later, earlier, more = match_runs(Rows(row, wide, percent), limit, want)
                 if limit is not None:
-                    out.append((doc[rep], spot[rep], doc[rep], spot[rep], np.full(len(rep), GONE)))
                     out.append((doc[more], spot[more], row["word"][more].view(np.int64), spot[more], np.full(len(more), CUT)))
                 pairs = np.unique(np.stack([doc[later], spot[later], doc[earlier], spot[earlier]]), axis=1)
                 out.append((*pairs, np.full(pairs.shape[1], PAIR)))
@@ -494,11 +507,12 @@ def _needed_lines(doc_bits, spot_bits):
     return run
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, spot) of the later lines of pairs that are similar."""
+def _verified(rows: DataFrame, pairs: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """(doc_id, spot) of the later lines of pairs that are similar. ``few``: so few that other texts needn't go to Python."""
     spots = cut(pairs.select("doc_id", "spot").unionAll(pairs.select("x_doc", "x_spot")).distinct())
     bits = bit_set(spots.select("doc_id").distinct(), "doc_id"), bit_set(spots.select(F.col("doc_id").bitwiseXOR(F.col("spot")).alias("own")), "own")
-    lines = cut(rows.mapInArrow(_needed_lines(*bits), "doc_id long, spot long, words array<long>"))
+    texts = rows.where(_hit(bits[0])(F.col("doc_id"))) if few else rows
+    lines = cut(texts.mapInArrow(_needed_lines(*bits), "doc_id long, spot long, words array<long>"))
     ends = lines.select("doc_id", "spot", F.col("words").alias("y_words"))
     x = lines.select(F.col("doc_id").alias("x_doc"), F.col("spot").alias("x_spot"), F.col("words").alias("x_words"))
     both = pairs.join(x, ["x_doc", "x_spot"]).select("doc_id", "spot", "x_words").join(ends, ["doc_id", "spot"])
@@ -510,22 +524,23 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(gone_id, gone_tie, gone: line numbers from 0) of the documents that lose lines."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).where("doc_id is not null and text is not null")
-    levels = docs.sparkSession.sparkContext.broadcast(rarity_levels(rows, "text"))
-    parts = max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    rarity, n_words = rarity_levels(rows, "text")
+    levels = docs.sparkSession.sparkContext.broadcast(rarity)
+    parts = max(8, -(-n_words // PART_WORDS))
 
-    def met(*words) -> DataFrame:
-        return rows.mapInArrow(_prefix_rows(percent, levels, parts, *words), BLOCK_SCHEMA).repartition(parts, "part").sortWithinPartitions("part")
+    def met(tasks: int, *words) -> DataFrame:
+        return rows.mapInArrow(_prefix_rows(percent, levels, parts, *words), BLOCK_SCHEMA).repartition(tasks, "part").sortWithinPartitions("part")
 
-    found = cut(met().mapInArrow(_match_rows(percent, first), PAIR_SCHEMA))
+    found = cut(met(parts).mapInArrow(_match_rows(percent, first), PAIR_SCHEMA))
     pairs = cut(found.where(F.col("kind") == PAIR).select("doc_id", "spot", "x_doc", "x_spot").distinct())
     gone = cut(found.where(F.col("kind") == GONE).select("doc_id", "spot").unionAll(_verified(rows, pairs, percent)).distinct())
     more = cut(found.where(F.col("kind") == CUT).select("doc_id", "spot", F.col("x_doc").alias("word")).distinct().join(gone, ["doc_id", "spot"], "left_anti"))
     if more.limit(1).count():
         words = bit_set(more.select("word").distinct(), "word")
         wanted = bit_set(more.select(F.col("doc_id").bitwiseXOR(F.col("spot")).alias("own")).distinct(), "own")
-        rest = met(words).mapInArrow(_match_rows(percent, None, wanted), PAIR_SCHEMA).select("doc_id", "spot", "x_doc", "x_spot").distinct()
+        rest = met(-(-parts // 8), words).mapInArrow(_match_rows(percent, None, wanted), PAIR_SCHEMA).select("doc_id", "spot", "x_doc", "x_spot").distinct()
         rest = cut(rest.join(more.select("doc_id", "spot").distinct(), ["doc_id", "spot"], "left_semi").join(pairs, ["doc_id", "spot", "x_doc", "x_spot"], "left_anti"))
-        gone = cut(gone.unionAll(_verified(rows, rest, percent)).distinct())
+        gone = cut(gone.unionAll(_verified(rows, rest, percent, few=True)).distinct())
     return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("spot").bitwiseAND(F.lit(0xFFFF)).alias("gone_tie")).agg(
         F.sort_array(F.collect_list(F.shiftright("spot", 32).cast("int"))).alias("gone")
     )
@@ -571,6 +586,6 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     found = drop_repeated_lines(docs.withColumn("n_lines", n_lines), gone_col="n_removed")
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
