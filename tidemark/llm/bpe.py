@@ -24,7 +24,6 @@ of the input pass through unless an output name clashes, which then replaces it.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -277,11 +276,6 @@ class TreeBPE:
         return self._bytes(ids).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=4)
-def coder(spec: str) -> TreeBPE:
-    return TreeBPE(spec)
-
-
 def encode_column(docs: DataFrame, spec: str, text_col: str, *, ids_col: str | None = "ids", decoded_col: str | None = None, digests: bool = False, leaf: int = LEAF) -> DataFrame:
     """``docs`` with token ids (array of int), the decoded text, or n_tokens and digests of both."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file
@@ -295,8 +289,8 @@ def encode_column(docs: DataFrame, spec: str, text_col: str, *, ids_col: str | N
     schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(shared.value)
-        bpe.leaf = leaf
+        # Made for the task and dropped with it: workers live on, and a vocabulary is large.
+        bpe = TreeBPE(shared.value, leaf)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             for at in range(0, batch.num_rows, 512):
@@ -322,6 +316,7 @@ def encode_column(docs: DataFrame, spec: str, text_col: str, *, ids_col: str | N
                     [part.column(part.schema.get_field_index(c)) for c in carried] + [pa.array(made[n], types.get(n, pa.string())).take(pick) for n, _ in fields],
                     names=carried + [n for n, _ in fields],
                 )
+        del bpe
         give_back()
 
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
