@@ -41,6 +41,35 @@ def test_small_limits_lose_nothing(docs):
     assert [r[0] for r in got] == [0]
 
 
+def test_hot_template_loses_no_pair(docs, monkeypatch):
+    """Pairs near 0.8 among documents that share boilerplate, too little to be linked by any third one."""
+    monkeypatch.setattr(neardup, "_PAIRS", neardup._PAIRS[:2])
+    base = [f"b{i}" for i in range(57)]
+    rows = []
+    for i in range(100):
+        own = [f"o{i}x{j}" for j in range(43)]
+        rows += [(2 * i, " ".join(base + own)), (2 * i + 1, " ".join(base + own[:32] + [f"p{i}x{j}" for j in range(11)]))]
+    whole, dealt = ({r["doc_id"]: r["component_id"] for r in neardup.near_components(docs(rows), shingle=1, percent=80, node_rows=n).collect()} for n in (4096, 8))
+    assert dealt == whole
+    assert sum(whole[i] != i for i in whole) > 50
+
+
+def test_members_of_a_hot_node_meet(spark):
+    """Each pair of a dealt node shares a key, or both are linked to the first member."""
+    rnd = random.Random(4)
+    rows = [(5, i, bytearray(64) if i % 3 == 0 else bytearray(rnd.randbytes(64))) for i in range(40)] + [(6, 1, bytearray(64)), (6, 2, bytearray(64))]
+    nodes, edges = neardup._deal_hot(spark.createDataFrame(rows, "node long, member long, tokens binary"), 8)
+    together = {}
+    for r in nodes.collect():
+        together.setdefault(r["node"], set()).add(r["member"])
+    assert together[6] == {1, 2}
+    linked = {0} | {r["b"] for r in edges.collect()}
+    assert linked == set(range(0, 40, 3))
+    for i in range(40):
+        for j in range(i):
+            assert {i, j} <= linked or any({i, j} <= m for m in together.values())
+
+
 def test_odd_rows(docs):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, long), (8, long + " end"), (2, "A B C D E F")]

@@ -14,9 +14,10 @@ the threshold. Within each group the full sets are then compared exactly. Only
 documents not yet reached are compared, so a group of copies costs as many
 comparisons as it has members, and no pair list is ever made.
 
-Hot nodes are dealt to several tasks, each with the node's first class as a
-common member. A candidate group too large for a task is dealt in blocks, and
-each pair of blocks is compared in a task of its own, so no link is lost.
+Hot nodes and candidate groups too large for a task are dealt in blocks, and
+each pair of blocks is compared in a task of its own, so no link is lost. Members
+of a hot node that are like its first one are linked to it and not compared with
+each other; the rest costs rows by the square of its blocks.
 
 Defined cases: a text without words is linked with nothing; one with fewer
 words than a shingle is one shingle; a null id is linked with nothing; rows
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, give_back, read_table, sealed
@@ -268,18 +269,43 @@ def _exact_rows(shingle: int, percent: int):
     return run
 
 
-def _deal_hot(nodes: DataFrame, key: str, limit: int) -> DataFrame:
-    """Nodes of over ``limit`` rows are dealt to several keys; the first member goes to each of them."""
-    hot = cut(nodes.groupBy(key).agg(F.count("*").alias("rows"), F.min(F.struct("member", "tokens")).alias("head")).where(F.col("rows") > limit))
+def _beside_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, member, tokens, head, head_tokens) -> (node, member, tokens, head, alike)."""
+    need = int(np.ceil(CANDIDATE * COORDINATES))
+    for batch in batches:
+        own, head = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, COORDINATES) for i in (2, 4))
+        alike = (own == head).sum(axis=1) >= need
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(alike)], names=["node", "member", "tokens", "head", "alike"])
+    give_back()
+
+
+def _deal_hot(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(nodes, edges): nodes of over ``limit`` rows in blocks, each pair of blocks a node of its own.
+
+    Members like the node's first one are linked to it by ``edges``, so pairs of their blocks are left out.
+    """
+    hot = cut(nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min(F.struct("member", "tokens")).alias("first")).where(F.col("rows") > limit))
     n_hot = hot.count()
     if not n_hot:
-        return nodes
-    parts = F.ceil(F.col("rows") / limit).cast("int")
-    side = hot.select(F.col(key).alias("hot_key"), parts.alias("parts"))
-    joined = nodes.join(F.broadcast(side) if n_hot <= BROADCAST_ROWS else side, F.col(key) == F.col("hot_key"), "left")
-    dealt = joined.select(F.when(F.col("parts").isNull(), F.col(key)).otherwise(F.xxhash64(F.col(key), F.pmod(F.xxhash64("member", F.col(key)), F.col("parts")))).alias(key), "member", "tokens")
-    heads = hot.select(key, "head", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(F.xxhash64(F.col(key), F.col("part").cast("long")).alias(key), "head.member", "head.tokens")
-    return dealt.unionByName(heads)
+        return nodes, None
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if n_hot <= BROADCAST_ROWS else df
+
+    heads = hot.select("node", F.col("first.member").alias("head"), F.col("first.tokens").alias("head_tokens"))
+    rows = nodes.join(side(heads), "node").select("node", "member", "tokens", "head", "head_tokens")
+    rows = cut(rows.mapInArrow(_beside_head, "node long, member long, tokens binary, head long, alike boolean"))
+    blocks = rows.groupBy("node").agg(*[F.ceil(2 * F.count_if(F.col("alike") == f) / limit).cast("int").alias(n) for n, f in (("n_alike", True), ("n_other", False))])
+    placed = rows.join(side(blocks.where("n_other > 0")), "node")
+    own = F.pmod(F.xxhash64("member", "node"), F.when(F.col("alike"), F.col("n_alike")).otherwise(F.col("n_other"))).cast("int")
+
+    def keys(n: str, kind: str, first, second) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda j: F.xxhash64("node", F.lit(kind), first(j), second(j)))
+
+    with_others = F.when(F.col("alike"), keys("n_other", "mixed", lambda j: own, lambda j: j)).otherwise(F.concat(keys("n_other", "others", lambda j: F.least(own, j), lambda j: F.greatest(own, j)), keys("n_alike", "mixed", lambda j: j, lambda j: own)))
+    dealt = placed.withColumn("node", F.explode(with_others)).select("node", "member", "tokens")
+    edges = rows.where("alike and member <> head").select(F.least("member", "head").alias("a"), F.greatest("member", "head").alias("b"))
+    return nodes.join(side(hot.select("node")), "node", "left_anti").unionByName(dealt), edges
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, node_rows: int = NODE_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -290,8 +316,9 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("member"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n"))
     )
     nodes = classes.select(F.explode("keys").alias("node"), "member", "tokens")
-    dealt = _deal_hot(nodes, "node", node_rows)
-    candidates = dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_node_rows, "a long, b long").distinct()
+    dealt, edges = _deal_hot(nodes, node_rows)
+    candidates = dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_node_rows, "a long, b long")
+    candidates = (candidates if edges is None else candidates.unionByName(edges)).distinct()
     groups = connected_components(candidates)
     members = classes.join(groups, F.col("member") == F.col("node")).select("member", "digest", "n", F.col("component").alias("grp"))
     members = cut(members)
