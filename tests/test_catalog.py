@@ -60,3 +60,12 @@ def test_newest_wins_plans_a_group_limit(spark):
 
     plan = visibility.visible(catalog.ev(spark, D))._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_varint_codec_of_any_length(spark, tmp_path):
+    from tidemark.functions import codecs
+
+    keys = [k for b in range(7, 64, 7) for k in ((1 << b) - 1, 1 << b) if k < 1 << 63] + [0, (1 << 63) - 1]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted((r["n"], r["back"], r["encoded"]) for r in catalog.QUERIES["varint_codec"](spark, str(tmp_path)).collect())
+    assert got == sorted((k, k, codecs.varint(k).hex().upper()) for k in keys)
