@@ -74,3 +74,18 @@ def test_rejecting_keeps_clean_documents(docs):
 def test_too_many_languages(docs):
     with pytest.raises(Exception, match="languages"):
         language.train(docs([(i, "abc", f"l{i}") for i in range(language.MAX_LANGUAGES + 1)]))
+
+
+def test_sets_of_more_than_three_languages():
+    """Shares 40/20/20/20 and five equal ones are found whole."""
+    rnd = np.random.default_rng(3)
+    p = rnd.dirichlet(np.full(language.BUCKETS, 0.01), 6)
+    model = language.Model(list("abcdef"), ((p + 1e-7) / (p + 1e-7).sum(axis=1, keepdims=True)).astype(np.float32))
+    grams = []
+    for shares in ([0.4, 0.2, 0.2, 0.2, 0, 0], [0, 0.2, 0.2, 0.2, 0.2, 0.2], [1, 0, 0, 0, 0, 0]):
+        n = rnd.multinomial(4000, np.array(shares) @ p)
+        at = np.flatnonzero(n)
+        grams.append((at, n[at].astype(np.float32)))
+    pi = language.infer(model, grams)
+    assert (pi > 0).sum(axis=0).tolist() == [4, 5, 1]
+    assert abs(pi[0, 0] - 0.4) < 0.05 and pi[0, 0] < language.MIN_SHARE

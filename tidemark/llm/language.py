@@ -4,9 +4,9 @@ Training counts hashed byte n-grams of every labelled text for each language
 (partial sums per task, then one shuffle of at most languages x buckets rows
 from each). Prediction treats a document as a mixture: expectation-maximisation
 estimates the proportions of the languages from the n-gram likelihoods, and the
-language set is the one of best likelihood less a penalty for each language. A
-bound from the gradient tells when no larger set can win, so most documents
-need one run of EM.
+language set is the one of best likelihood less a penalty for each language.
+Sets grow by the order of the proportions, to any size, until a bound from the
+gradient tells that no larger set can win; most documents need one run of EM.
 
 The model has ``MAX_LANGUAGES`` x ``BUCKETS`` numbers at most, which bounds what
 is broadcast; more languages raise an error.
@@ -35,8 +35,7 @@ GRAM = 4
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 MAX_LANGUAGES = 128
-#: Languages in a set at most, and passes of EM.
-MAX_SET = 3
+#: Passes of EM.
 PASSES = 12
 #: A document whose main language has a smaller share is rejected by ``keep_known``.
 MIN_SHARE = 0.5
@@ -141,18 +140,22 @@ def infer(model: Model, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     penalty = np.log(np.maximum(np.add.reduceat(c, starts), 2)) + 1
     score = single.max(axis=0).astype(np.float64)
     pi, ll, gap = _em(p, c, starts, lens, np.full((n_lang, n_doc), 1 / n_lang, np.float32), PASSES)
-    open_docs = np.flatnonzero(ll + gap - score > penalty)
-    if not len(open_docs):
-        return best
+    top = ll + gap
     rank = np.argsort(-pi, axis=0, kind="stable")
-    pick = np.concatenate([np.arange(starts[d], starts[d] + lens[d]) for d in open_docs])
-    p, c, lens = p[:, pick], c[pick], lens[open_docs]
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    for size in range(2, min(MAX_SET, n_lang) + 1):
+    for size in range(2, n_lang + 1):
+        open_docs = np.flatnonzero(top - score > (size - 1) * penalty)
+        if not len(open_docs):
+            break
+        if len(open_docs) < len(lens):
+            pick = np.concatenate([np.arange(starts[d], starts[d] + lens[d]) for d in open_docs])
+            some_p, some_c, some_lens = p[:, pick], c[pick], lens[open_docs]
+        else:
+            some_p, some_c, some_lens = p, c, lens
+        some_starts = np.concatenate(([0], np.cumsum(some_lens)[:-1]))
         mask = np.zeros((n_lang, len(open_docs)), np.float32)
         for k in range(size):
             mask[rank[k, open_docs], np.arange(len(open_docs))] = 1
-        got, ll, _ = _em(p, c, starts, lens, mask / size, PASSES)
+        got, ll, _ = _em(some_p, some_c, some_starts, some_lens, mask / size, PASSES)
         value = ll - (size - 1) * penalty[open_docs]
         win = np.flatnonzero(value > score[open_docs])
         score[open_docs[win]] = value[win]
