@@ -1,4 +1,7 @@
 import random
+import zlib
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -46,11 +49,44 @@ def test_other_threshold(docs):
     assert collect(lines.drop_repeated_lines(docs(rows), percent=60)) == brute.lines(rows, 60)
 
 
-def test_many_variants_make_few_pairs(docs):
+@pytest.mark.parametrize("n", [300, 1200])
+def test_many_variants_make_one_pair_a_line(docs, monkeypatch, n):
+    """However large the group of near copies, each line is verified against one other."""
     base = [f"w{i}" for i in range(40)]
-    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(300)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(n)]
+    sent = []
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda rows, pairs, percent: sent.append(pairs.count()) or verified(rows, pairs, percent))
     got = collect(lines.drop_repeated_lines(docs(rows)))
     assert [i for i, t in got.items() if t] == [0]
+    assert sent == [n - 1]
+
+
+def test_template_lines_leave_no_pairs(docs, monkeypatch):
+    """Lines that look alike and aren't: all candidates of the second round are verified within their tasks."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(9)]
+    rows = [(i, " ".join([*base, f"x{rnd.randrange(90)}", f"y{rnd.randrange(90)}"])) for i in range(400)]
+    sent = []
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda rows, pairs, percent: sent.append(pairs.count()) or verified(rows, pairs, percent))
+    assert collect(lines.drop_repeated_lines(docs(rows), percent=85)) == brute.lines(rows, 85)
+    assert len(sent) == 1 and sent[0] < len(rows)
+
+
+def test_rows_of_one_id_are_told_apart(docs):
+    """Texts whose checksums agree in their lower 16 bits."""
+    texts = {}
+    for n in range(100_000):
+        a = f"alpha beta gamma delta epsilon number {n}\nend of row {n} here now"
+        b = texts.setdefault(zlib.crc32(a.encode()) & 0xFFFF, (n, a))
+        if b[0] != n:
+            break
+    rows = [(0, f"end of row {n} here now"), (1, a), (1, b[1])]
+    got = sorted((r["doc_id"], r["text"]) for r in lines.drop_repeated_lines(docs(rows)).collect())
+    kept = {t for i, t in got if i == 1}
+    assert f"end of row {b[0]} here now" in {x for t in kept for x in t.split("\n")}
+    assert f"end of row {n} here now" not in {x for t in kept for x in t.split("\n")}
 
 
 def test_odd_rows(docs):

@@ -17,15 +17,17 @@ Lines of equal sets meet in the same place; within a task all but the first are
 dropped before the shuffle, so a line that a third of all rows share costs a
 row for each task. Tasks deal their rows to parts by word and send each part as
 one block of columns, which spares the JVM tens of rows for each line; the
-number of parts grows with the input. A line needs one earlier match only: pairs
-are made with its earliest candidates, until ``SURE`` of them look alike, and
-with all others only for the lines that stay unmatched, so groups of near copies
-make no quadratic lists.
+number of parts grows with the input. A line needs one earlier match only, so it
+is verified against one candidate, the surest and earliest: one pair for each
+line, however many near copies it has. Lines whose candidate fails and that have
+others meet those again in blocks that carry the words of both, where all
+candidates are verified on the spot, and no pair leaves the task.
 
 Defined cases: a null text has no lines and stays null; an empty text has one
 blank line; rows with a null id lose no lines and match none; of rows with one
-id and equal texts no line is earlier than its copy; an empty table gives no
-rows; extra columns pass through.
+id and equal texts no line is earlier than its copy, and of those with one id
+and other texts the one of the lesser 64-bit hash comes first; an empty table
+gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
 #: Counters that are summed in one row: many small rows, so many tasks share the sums.
 CHUNK = 1 << 10
-#: In the first round a line has this many pairs for a shared word, or as many with all but equal sketches.
-FIRST, SURE = 64, 3
+#: In the first round a line looks at this many candidates for a shared word, or at one with an all but equal sketch.
+FIRST = 4
 #: Lines that a task holds before it drops repeats and sends the rest on.
 TASK_LINES = 60_000
 LINE_BITS = 20
@@ -111,7 +113,7 @@ def _with_words(texts: list[bytes], levels: np.ndarray, wanted) -> np.ndarray:
 class LineSets:
     """The lines with a word of some texts (at most 2^LINE_BITS), their words in order of rarity."""
 
-    def __init__(self, texts: list[bytes], levels: np.ndarray):
+    def __init__(self, texts: list[bytes], levels: np.ndarray, hashes: bool = False):
         w = Words(texts)
         raw = np.frombuffer(w.raw, np.uint8)
         breaks = np.flatnonzero(raw == 10)
@@ -127,9 +129,16 @@ class LineSets:
         at = np.flatnonzero(new)
         self.text, self.line = w.text[at], line[at] - before[w.text[at]]
         both = (no.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | word_keys(w.hash, levels)
-        both.sort()
+        if hashes:
+            order = np.argsort(both, kind="stable")
+            both, self.hash = both[order], w.hash[order]
+        else:
+            both.sort()
         if len(both):
-            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+            new = np.concatenate(([True], both[1:] != both[:-1]))
+            both = both[new]
+            if hashes:
+                self.hash = self.hash[new]
         owner = (both >> np.uint64(64 - LINE_BITS)).astype(np.int64)
         self.word = both & np.uint64((1 << (64 - LINE_BITS)) - 1)
         self.first = np.searchsorted(owner, np.arange(n_lines))
@@ -162,10 +171,24 @@ def _line_slices(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes], in
 
 #: A row of a block: a word of a line's prefix. size 0: a line known to repeat an earlier one.
 #: Sizes and places stop at the greatest number of their type, which weakens filters and loses nothing.
-COLUMNS = {"word": "<u8", "set_id": "<u4", "parity": "<u8", "doc": "<i8", "line": "<u4", "tie": "<u2", "size": "<u2", "place": "u1"}
+COLUMNS = {"word": "<u8", "set_id": "<u4", "parity": "<u8", "doc": "<i8", "line": "<u4", "tie": "<i8", "size": "<u2", "place": "u1"}
 #: Longer lines have wider parity sketches: (least size, words of 64 bits). A wider one folds into a narrower one.
 WIDTHS = ((1, 1), (90, 2), (200, 8))
-BLOCK_SCHEMA = "part int, block binary"
+BLOCK_SCHEMA = "part int, block binary, words binary"
+
+
+def place_key(doc, line, tie):
+    """One number for a place, also as ``_place_key`` of columns; others may share it."""
+    return (doc ^ (line << 32) ^ tie).view(np.uint64)
+
+
+def _place_key() -> Column:
+    return F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line"), 32)).bitwiseXOR(F.col("tie"))
+
+
+def ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], ... at[0] + n[0] - 1, at[1], ..."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def width_class(size: np.ndarray) -> np.ndarray:
@@ -208,7 +231,10 @@ def wide_parity(word: np.ndarray, first: np.ndarray, size: np.ndarray, width: in
 
 
 def _prefix_rows(percent: int, levels, parts: int, words=None):
-    """(doc_id, text, tie) -> blocks of prefix rows, one for each part and width; with ``words`` only of words in that bit set."""
+    """(doc_id, text, tie) -> blocks of prefix rows, one for each part and width.
+
+    With ``words`` only of words in that bit set, and with the words of their lines beside the block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -216,15 +242,16 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
         #: For each width class: prefix rows (word, line number in heads, place) and parities of its lines.
         held: list[tuple[np.ndarray, ...]] = []
         heads: list[tuple[np.ndarray, ...]] = []
+        hashes: list[np.ndarray] = []
         sketches: list[list[np.ndarray]] = [[] for _ in WIDTHS]
         count = 0
 
-        def flush() -> list[tuple[int, bytes]]:
-            set_id, doc, line, tie, size = (np.concatenate([h[i] for h in heads]) for i in range(5))
+        def flush() -> list[tuple[int, bytes, bytes | None]]:
+            set_id, doc, line, tie, size, lead_word = (np.concatenate([h[i] for h in heads]) for i in range(6))
             klass = width_class(size)
             order = np.lexsort((tie, line, doc, set_id))
-            s = set_id[order]
-            start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            s, z, f = set_id[order], size[order], lead_word[order]
+            start = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (z[1:] != z[:-1]) | (f[1:] != f[:-1]))))
             lead = order[np.repeat(start, np.diff(np.append(start, len(s))))]
             # The same place twice is the same row twice.
             gone = order[(doc[order] != doc[lead]) | (line[order] != line[lead]) | (tie[order] != tie[lead])]
@@ -242,6 +269,7 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
             row_class = np.concatenate([klass[own], np.zeros(len(rows["word"]) - len(own), np.int64)])
             part = (mix(rows["word"]) % np.uint64(parts)).astype(np.int64)
             at_class = np.zeros(len(size), np.int64)
+            first, flat = np.cumsum(size) - size, np.concatenate(hashes) if hashes else None
             out = []
             for k in range(len(WIDTHS)):
                 lines = np.flatnonzero(klass == k)
@@ -255,11 +283,13 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
                     real = r < len(own)
                     p = np.zeros((len(r), WIDTHS[k][1]), np.uint64)
                     p[real] = parity[at_class[own[r[real]]]]
-                    out.append((int(i), to_block({c: v[r] for c, v in rows.items()}, p)))
+                    beside = None if flat is None else size[own[r]].astype("<u4").tobytes() + flat[ranges(first[own[r]], size[own[r]])].astype("<u8").tobytes()
+                    out.append((int(i), to_block({c: v[r] for c, v in rows.items()}, p), beside))
             return out
 
-        def batch_of(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "block"])
+        def batch_of(blocks: list[tuple[int, bytes, bytes | None]]) -> pa.RecordBatch:
+            columns = [pa.array([b[i] for b in blocks], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "block", "words"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -271,16 +301,17 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
                     number = np.concatenate([lo + _with_words(texts[lo:hi], table, wanted) for lo, hi in slices(texts)]).astype(np.int64)
                     texts = [texts[i] for i in number]
                 for lo, _, own, skipped in _line_slices(texts):
-                    x = LineSets(own, table)
+                    x = LineSets(own, table, hashes=wanted is not None)
                     if not len(x.line):
                         continue
                     prefix = x.size - need(x.size, percent) + 1
                     pick = np.flatnonzero(x.place < prefix[x.owner])
                     if wanted is not None:
                         pick = pick[has(*wanted, x.word[pick])]
+                        hashes.append(x.hash)
                     held.append((x.word[pick], x.owner[pick] + count, x.place[pick]))
                     row = number[lo + x.text]
-                    heads.append((x.set_id, ids[row].astype(np.int64), x.line + skipped, ties[row].astype(np.int64), x.size))
+                    heads.append((x.set_id, ids[row].astype(np.int64), x.line + skipped, ties[row].astype(np.int64), x.size, x.word[x.first]))
                     klass = width_class(x.size)
                     for k, (_, width) in enumerate(WIDTHS):
                         lines = np.flatnonzero(klass == k)
@@ -291,17 +322,17 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
                     count += len(x.line)
                     if count >= TASK_LINES:
                         yield batch_of(flush())
-                        held, heads, sketches, count = [], [], [[] for _ in WIDTHS], 0
+                        held, heads, hashes, sketches, count = [], [], [], [[] for _ in WIDTHS], 0
         if count:
             yield batch_of(flush())
-        held, heads, sketches = [], [], []
+        held, heads, hashes, sketches = [], [], [], []
         give_back()
 
     return run
 
 
 class Rows:
-    """Prefix rows of distinct sets in runs of equal words, sorted by (word, doc, spot)."""
+    """Prefix rows of distinct sets in runs of equal words, sorted by (word, place)."""
 
     def __init__(self, row: dict[str, np.ndarray], wide: np.ndarray, percent: int):
         self.row, self.wide, self.percent, self.parity = row, wide, percent, row["parity"]
@@ -335,13 +366,41 @@ class Rows:
 
 #: Rows of a run that are compared step by step; longer runs go on in squares of so many rows.
 STEPS, SQUARE = 2048, 512
+#: Words that are compared at once.
+CHECK_WORDS = 1_000_000
+
+
+def shared_words(flat: np.ndarray, at: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many words the sets of rows ``x`` and ``y`` share, pair by pair; a set's words stand at flat[at : at + n]."""
+    out = np.zeros(len(x), np.int64)
+    total = np.cumsum(n[x] + n[y])
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHECK_WORDS)))
+        own = np.concatenate([x[lo:hi], y[lo:hi]])
+        word = flat[ranges(at[own], n[own])]
+        pair = np.repeat(np.tile(np.arange(hi - lo), 2), n[own])
+        order = np.lexsort((word, pair))
+        word, pair = word[order], pair[order]
+        out[lo:hi] = np.bincount(pair[1:][(word[1:] == word[:-1]) & (pair[1:] == pair[:-1])], minlength=hi - lo)
+        lo = hi
+    return out
 
 
-def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
-    """Candidates among whole runs.
+class Found:
+    """What ``match_runs`` tells of each row: candidates met, the first or surest of them, whether that one is sure, and whether the search ended early."""
 
-    Returns candidate pairs (later, earlier) and the rows whose list of pairs was cut
-    at ``limit`` or after ``SURE`` candidates that look alike. Earliest rows come first.
+    def __init__(self, n: int):
+        self.made, self.best = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        self.sure, self.cut = np.zeros(n, bool), np.zeros(n, bool)
+
+
+def match_runs(rows: Rows, limit: int, want: np.ndarray | None = None, similar=None) -> Found:
+    """Looks for each row's candidates among the earlier rows of its run, earliest first.
+
+    A row is done with one sure candidate or with ``limit`` candidates. With
+    ``similar``, an exact test of pairs, a row is sure of what passes it and of
+    nothing else, and there's no limit.
     """
     word = rows.row["word"]
     n = len(word)
@@ -350,30 +409,30 @@ def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
     live = np.flatnonzero(np.arange(n) > first)
     if want is not None:
         live = live[want[live]]
-    made, sure, cut_off = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    later, earlier = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    found = Found(n)
 
     def settle(y: np.ndarray) -> np.ndarray:
         """Those of ``y`` that still want candidates."""
-        if limit is None:
-            return y
-        full = (made[y] >= limit) | (sure[y] >= SURE)
-        cut_off[y[full]] = True
-        return y[~full]
+        done = found.sure[y] if similar else found.sure[y] | (found.made[y] >= limit)
+        found.cut[y[done]] = True
+        return y[~done]
 
     def meet(x: np.ndarray, y: np.ndarray) -> None:
         """Pairs that passed the quick test, in order of y, then x."""
         fits, alike = rows.fits(x, y)
         x, y, alike = x[fits], y[fits], alike[fits]
-        if limit is not None and len(y):
-            begin = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
-            rank = np.arange(len(y)) - np.repeat(begin, np.diff(np.append(begin, len(y))))
-            few = made[y] + rank < limit
-            x, y, alike = x[few], y[few], alike[few]
-        later.append(y)
-        earlier.append(x)
-        np.add.at(made, y, 1)
-        np.add.at(sure, y, alike)
+        if not len(y):
+            return
+        if similar:
+            alike = similar(x, y)
+        np.add.at(found.made, y, 1)
+        who, at = np.unique(y, return_index=True)
+        new = found.best[who] < 0
+        found.best[who[new]] = x[at[new]]
+        who, at = np.unique(y[alike], return_index=True)
+        new = ~found.sure[who]
+        found.best[who[new]] = x[alike][at[new]]
+        found.sure[who] = True
 
     for k in range(STEPS):
         if not len(live):
@@ -401,38 +460,54 @@ def match_runs(rows: Rows, limit: int | None, want: np.ndarray | None):
                         meet(x[j], y[i])
                     at += len(x)
                     y = settle(y)
-    return np.concatenate(later), np.concatenate(earlier), np.flatnonzero(cut_off)
+    return found
 
 
-PAIR_NAMES = ["doc_id", "spot", "x_doc", "x_spot", "kind"]
-PAIR_SCHEMA = "doc_id long, spot long, x_doc long, x_spot long, kind int"
-GONE, PAIR, CUT = 0, 1, 2
+FOUND_NAMES = ["doc_id", "line", "tie", "x_doc", "x_line", "x_tie", "kind", "words"]
+FOUND_SCHEMA = "doc_id long, line long, tie long, x_doc long, x_line long, x_tie long, kind int, words array<long>"
+#: Lines that go; lines with one candidate; with more, of which the one given is sure or not.
+GONE, ONLY, SURE, MAYBE = 0, 1, 2, 3
 
 
-def _match_rows(percent: int, limit: int | None, wanted=None):
-    """Blocks sorted by part -> lines that go, pairs, and lines with more candidates (their word in x_doc)."""
+def _match_rows(percent: int, limit: int, open_lines=None):
+    """Blocks sorted by part -> lines that go, and lines with their best candidate and the words by which they have any.
+
+    With ``open_lines``, a bit set of places, only those lines are looked at, and
+    all their candidates are verified on the words beside the blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if wanted is None else bit_table(wanted)
+        table = None if open_lines is None else bit_table(open_lines)
 
-        def handle(blocks: list[bytes]) -> pa.RecordBatch:
-            got = [from_block(b) for b in blocks]
+        def handle(blocks: list[tuple[bytes, bytes | None]]) -> pa.RecordBatch:
+            got = [from_block(b) for b, _ in blocks]
             wide = np.concatenate([g.pop("wide") for g in got])
             row = {n: np.concatenate([g[n] for g in got]) for n in got[0]}
             row["wide_at"] = np.cumsum(row["width"] > 1) - 1
-            spot = row["line"].astype(np.int64) << 32 | row["tie"]
+            row["line"] = row["line"].astype(np.int64)
+            if table is not None:
+                row["n"] = np.concatenate([np.frombuffer(w, "<u4", len(g["word"])) for (_, w), g in zip(blocks, got, strict=True)]).astype(np.int64)
+                row["at"] = np.cumsum(row["n"]) - row["n"]
+                flat = np.concatenate([np.frombuffer(w, "<u8", offset=4 * len(g["word"])) for (_, w), g in zip(blocks, got, strict=True)])
+            del got
             known = row["size"] == 0
-            out = [(row["doc"][known], spot[known], row["doc"][known], spot[known], np.full(known.sum(), GONE))] if limit is not None else []
 
-            # Ranks by document and place, and by word, so that each order is one sort of one number.
-            by_place = np.lexsort((spot, row["doc"]))
-            rank = np.empty(len(spot), np.int64)
-            rank[by_place] = np.arange(len(spot))
+            # Lines and words by number, so that each order is one sort of one number. Lines count up in their order.
+            n = len(known)
+            order = np.lexsort((row["tie"], row["line"], row["doc"]))
+            new = np.zeros(n, bool)
+            for c in ("doc", "line", "tie"):
+                new[1:] |= row[c][order[1:]] != row[c][order[:-1]]
+            line_no = np.empty(n, np.int64)
+            line_no[order] = np.cumsum(new)
+            at_line = order[np.concatenate(([0], np.flatnonzero(new)))]  # a row of each line
+            place = [row[c][at_line] for c in ("doc", "line", "tie")]
+            gone = [line_no[known]]
             order = np.argsort(row["word"])
             w = row["word"][order]
-            run_no = np.empty(len(spot), np.int64)
+            run_no = np.empty(n, np.int64)
             run_no[order] = np.cumsum(np.concatenate(([0], w[1:] != w[:-1]))[: len(w)])
-            rows_in = np.bincount(run_no[~known], minlength=len(spot) + 1)
+            rows_in = np.bincount(run_no[~known], minlength=n + 1)
             order = np.flatnonzero(~known & (rows_in[run_no] > 1))  # words of one line only are done
             # Of equal sets the first goes on.
             key = run_no[order] << 32 | row["set_id"][order]
@@ -441,39 +516,55 @@ def _match_rows(percent: int, limit: int | None, wanted=None):
             many = np.zeros(len(key) + 1, bool)
             many[1:-1] = key[1:] == key[:-1]
             many = np.flatnonzero(many[1:] | many[:-1])
-            order[many] = order[many][np.lexsort((rank[order[many]], row["size"][order[many]], row["parity"][order[many]], key[many]))]
+            order[many] = order[many][np.lexsort((line_no[order[many]], row["size"][order[many]], row["parity"][order[many]], key[many]))]
             a, b = order[1:], order[:-1]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (row["parity"][a] != row["parity"][b]) | (row["size"][a] != row["size"][b])))[: len(order)]
             lead = order[np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(order))))]
-            rep = order[((row["doc"][order] != row["doc"][lead]) | (spot[order] != spot[lead])) & (row["place"][order] == 0)]
-            if limit is not None:
-                out.append((row["doc"][rep], spot[rep], row["doc"][rep], spot[rep], np.full(len(rep), GONE)))
+            gone.append(line_no[order[(line_no[order] != line_no[lead]) & (row["place"][order] == 0)]])
             order = order[new]
             # Sets so small that no other set is similar are done.
             size = row["size"][order].astype(np.int64)
             order = order[100 * size >= percent * (size + 1)]
-            order = order[np.bincount(run_no[order], minlength=len(spot) + 1)[run_no[order]] > 1]
-            order = order[np.argsort(run_no[order] << 32 | rank[order])]
+            order = order[np.bincount(run_no[order], minlength=n + 1)[run_no[order]] > 1]
+            order = order[np.argsort(run_no[order] << 32 | line_no[order])]
+            own, other, kind = (np.empty(0, np.int64) for _ in range(3))
+            words, ends = np.empty(0, np.uint64), np.zeros(1, np.int64)
             if len(order):
-                row, spot = {n: c[order] for n, c in row.items()}, spot[order]
-                doc = row["doc"]
-                want = None if table is None else has(*table, (doc ^ spot).view(np.uint64))
-                later, earlier, more = match_runs(Rows(row, wide, percent), limit, want)
-                if limit is not None:
-                    out.append((doc[more], spot[more], row["word"][more].view(np.int64), spot[more], np.full(len(more), CUT)))
-                pairs = np.unique(np.stack([doc[later], spot[later], doc[earlier], spot[earlier]]), axis=1)
-                out.append((*pairs, np.full(pairs.shape[1], PAIR)))
-            cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(5)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 4 else pa.int64()) for i, c in enumerate(cols)], names=PAIR_NAMES)
+                row, line_no = {c: v[order] for c, v in row.items()}, line_no[order]
+                if table is not None:
+                    want = has(*table, place_key(row["doc"], row["line"], row["tie"]))
+
+                    def similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                        both = shared_words(flat, row["at"], row["n"], x, y)
+                        return 100 * both >= percent * (row["n"][x] + row["n"][y] - both)
+
+                    got = match_runs(Rows(row, wide, percent), limit, want, similar)
+                    gone.append(line_no[got.sure])
+                else:
+                    got = match_runs(Rows(row, wide, percent), limit)
+                    met = np.flatnonzero(got.made)
+                    met = met[np.lexsort((got.best[met], ~got.sure[met], line_no[met]))]
+                    own, begin = np.unique(line_no[met], return_index=True)
+                    best = line_no[got.best[met]]
+                    other = best[begin]
+                    alone = (got.made[met] == 1) & ~got.cut[met] & (best == np.repeat(other, np.diff(np.append(begin, len(met)))))
+                    kind = np.where(np.logical_and.reduceat(alone, begin), ONLY, np.where(got.sure[met[begin]], SURE, MAYBE)) if len(met) else kind
+                    words, ends = row["word"][met], np.append(begin, len(met))
+            lost = np.unique(np.concatenate(gone))
+            line = np.concatenate([lost, own]).astype(np.int64)
+            partner = np.concatenate([lost, other]).astype(np.int64)
+            kinds = np.concatenate([np.full(len(lost), GONE), kind])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(lost), np.int32), ends.astype(np.int32)])), pa.array(words.view(np.int64)))
+            return pa.RecordBatch.from_arrays([*[pa.array(c[line]) for c in place], *[pa.array(c[partner]) for c in place], pa.array(kinds, pa.int32()), lists], names=FOUND_NAMES)
 
         at, held = None, []
         for batch in batches:
-            for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, block, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if part != at and held:
                     yield handle(held)
                     held = []
                 at = part
-                held.append(block.as_py())
+                held.append((block.as_py(), words.as_py()))
         if held:
             yield handle(held)
         held = []
@@ -482,72 +573,77 @@ def _match_rows(percent: int, limit: int | None, wanted=None):
     return run
 
 
-def _needed_lines(doc_bits, spot_bits):
-    """(doc_id, text, tie) -> (doc_id, spot, words: 64-bit hashes) of the lines in the bit sets."""
+def _needed_lines(doc_bits, line_bits):
+    """(doc_id, text, tie) -> (doc_id, line, tie, words: 64-bit hashes) of the lines in the bit sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_table, spot_table = bit_table(doc_bits), bit_table(spot_bits)
+        doc_table, line_table = bit_table(doc_bits), bit_table(line_bits)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             ties = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = batch.column(1)
-            docs, spots, lines = [], [], []
+            at, numbers, lines = [], [], []
             for i in np.flatnonzero(has(*doc_table, ids.view(np.uint64))):
                 own = texts[int(i)].as_py().encode("utf-8", "replace").lower().split(b"\n")
-                spot = np.arange(len(own), dtype=np.int64) << 32 | ties[i]
-                for no in np.flatnonzero(has(*spot_table, (spot ^ ids[i]).view(np.uint64))):
-                    docs.append(ids[i])
-                    spots.append(spot[no])
-                    lines.append(own[no])
+                no = np.flatnonzero(has(*line_table, place_key(ids[i], np.arange(len(own), dtype=np.int64), ties[i])))
+                at += [i] * len(no)
+                numbers += no.tolist()
+                lines += [own[k] for k in no]
             w = Words(lines) if lines else None
             words = [np.unique(w.hash[w.first[k] : w.first[k + 1]]).view(np.int64) for k in range(len(lines))]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "spot", "words"])
+            at = np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(numbers, pa.int64()), pa.array(ties[at]), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "line", "tie", "words"])
         give_back()
 
     return run
 
 
+PLACE, X_PLACE = ["doc_id", "line", "tie"], ["x_doc", "x_line", "x_tie"]
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, spot) of the later lines of pairs that are similar."""
-    spots = cut(pairs.select("doc_id", "spot").unionAll(pairs.select("x_doc", "x_spot")).distinct())
-    bits = bit_set(spots.select("doc_id").distinct(), "doc_id"), bit_set(spots.select(F.col("doc_id").bitwiseXOR(F.col("spot")).alias("own")), "own")
-    lines = cut(rows.mapInArrow(_needed_lines(*bits), "doc_id long, spot long, words array<long>"))
-    ends = lines.select("doc_id", "spot", F.col("words").alias("y_words"))
-    x = lines.select(F.col("doc_id").alias("x_doc"), F.col("spot").alias("x_spot"), F.col("words").alias("x_words"))
-    both = pairs.join(x, ["x_doc", "x_spot"]).select("doc_id", "spot", "x_words").join(ends, ["doc_id", "spot"])
+    """The places of the later lines of pairs that are similar."""
+    places = cut(pairs.select(*PLACE).unionAll(pairs.select(*X_PLACE)).distinct())
+    bits = bit_set(places.select("doc_id").distinct(), "doc_id"), bit_set(places.select(_place_key().alias("own")), "own")
+    lines = cut(rows.mapInArrow(_needed_lines(*bits), "doc_id long, line long, tie long, words array<long>"))
+    x = lines.select(*[F.col(c).alias(x) for c, x in zip(PLACE, X_PLACE, strict=True)], F.col("words").alias("x_words"))
+    both = pairs.join(lines.withColumnRenamed("words", "y_words"), PLACE).join(x, X_PLACE)
     shared = F.size(F.array_intersect("x_words", "y_words"))
-    return both.where(100 * shared >= percent * (F.size("x_words") + F.size("y_words") - shared)).select("doc_id", "spot").distinct()
+    return both.where(100 * shared >= percent * (F.size("x_words") + F.size("y_words") - shared)).select(*PLACE).distinct()
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, first: int = FIRST) -> DataFrame:
-    """(gone_id, gone_tie, gone: line numbers from 0) of the documents that lose lines."""
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).where("doc_id is not null and text is not null")
+def repeated_lines(rows: DataFrame, *, percent: int = PERCENT, first: int = FIRST) -> DataFrame:
+    """(gone_id, gone_tie, gone: line numbers from 0) of the (doc_id, text, tie) rows that lose lines."""
     rarity, n_words = rarity_levels(rows, "text")
-    levels = docs.sparkSession.sparkContext.broadcast(rarity)
+    levels = rows.sparkSession.sparkContext.broadcast(rarity)
     parts = max(8, -(-n_words // PART_WORDS))
 
     def met(tasks: int, *words) -> DataFrame:
         return rows.mapInArrow(_prefix_rows(percent, levels, parts, *words), BLOCK_SCHEMA).repartition(tasks, "part").sortWithinPartitions("part")
 
-    found = cut(met(parts).mapInArrow(_match_rows(percent, first), PAIR_SCHEMA))
-    pairs = cut(found.where(F.col("kind") == PAIR).select("doc_id", "spot", "x_doc", "x_spot").distinct())
-    gone = cut(found.where(F.col("kind") == GONE).select("doc_id", "spot").unionAll(_verified(rows, pairs, percent)).distinct())
-    more = cut(found.where(F.col("kind") == CUT).select("doc_id", "spot", F.col("x_doc").alias("word")).distinct().join(gone, ["doc_id", "spot"], "left_anti"))
-    if more.limit(1).count():
-        words = bit_set(more.select("word").distinct(), "word")
-        wanted = bit_set(more.select(F.col("doc_id").bitwiseXOR(F.col("spot")).alias("own")).distinct(), "own")
-        rest = met(-(-parts // 8), words).mapInArrow(_match_rows(percent, None, wanted), PAIR_SCHEMA).select("doc_id", "spot", "x_doc", "x_spot").distinct()
-        rest = cut(rest.join(more.select("doc_id", "spot").distinct(), ["doc_id", "spot"], "left_semi").join(pairs, ["doc_id", "spot", "x_doc", "x_spot"], "left_anti"))
-        gone = cut(gone.unionAll(_verified(rows, rest, percent)).distinct())
-    return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("spot").bitwiseAND(F.lit(0xFFFF)).alias("gone_tie")).agg(
-        F.sort_array(F.collect_list(F.shiftright("spot", 32).cast("int"))).alias("gone")
+    found = cut(met(parts).mapInArrow(_match_rows(percent, first), FOUND_SCHEMA))
+    known = found.where(F.col("kind") == GONE).select(*PLACE)
+    # One candidate for each line: the surest, then the earliest.
+    x = F.struct(*X_PLACE)
+    best = found.where(F.col("kind") != GONE).groupBy(*PLACE).agg(
+        F.min(F.struct((F.col("kind") == MAYBE).alias("unsure"), x.alias("x"))).alias("best"),
+        (F.bool_or(F.col("kind") != ONLY) | (F.min(x) != F.max(x))).alias("more"),
     )
+    best = cut(best.join(known, PLACE, "left_anti").select(*PLACE, "best.x.*", "more"))
+    gone = cut(known.unionAll(_verified(rows, best.drop("more"), percent)).distinct())
+    more = cut(best.where("more").select(*PLACE).join(gone, PLACE, "left_anti"))
+    if more.limit(1).count():
+        words = bit_set(found.join(more, PLACE, "left_semi").select(F.explode("words").alias("word")).distinct(), "word")
+        open_lines = bit_set(more.select(_place_key().alias("own")).distinct(), "own")
+        rest = met(-(-parts // 8), words).mapInArrow(_match_rows(percent, first, open_lines), FOUND_SCHEMA)
+        gone = cut(gone.unionAll(rest.select(*PLACE)).distinct())
+    return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone"))
 
 
-def _tie(text: Column) -> Column:
-    """Tells rows with one id apart: 16 bits of their text's checksum."""
-    return F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF))
+def _tie(docs: DataFrame, key: Column, text: Column) -> Column:
+    """Tells rows with one id apart: a hash of their text, where ids occur twice; else 0, which costs nothing."""
+    ids = docs.select(key.alias("id")).where("id is not null").groupBy("id").count()
+    return F.xxhash64(text) if ids.where("count > 1").limit(1).count() else F.lit(0).cast("long")
 
 
 def _hit(bits):
@@ -565,10 +661,12 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     inner, name, restore = sealed(docs)
     key, text = F.col(name(id_col)).cast("long"), F.col(name(text_col))
-    found = cut(repeated_lines(inner, id_col=name(id_col), text_col=name(text_col), **options))
+    tie = _tie(inner, key, text)
+    rows = inner.select(key.alias("doc_id"), text.alias("text"), tie.alias("tie")).where("doc_id is not null and text is not null")
+    found = cut(repeated_lines(rows, **options))
     flagged = inner.withColumn("loses", _hit(bit_set(found.select("gone_id").distinct(), "gone_id"))(key))
     clean = flagged.where("NOT loses").select(*inner.columns, F.lit(0).cast("long").alias("n_gone"))
-    joined = flagged.where("loses").join(found, (key == F.col("gone_id")) & (_tie(text) == F.col("gone_tie")), "left")
+    joined = flagged.where("loses").join(found, (key == F.col("gone_id")) & (tie == F.col("gone_tie")), "left")
     kept = bound(
         F.split(text, "\n", -1),
         lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"),
