@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def test_small_limits_lose_nothing(docs):
 
 def test_hot_template_loses_no_pair(docs, monkeypatch):
     """Pairs near 0.8 among documents that share boilerplate, too little to be linked by any third one."""
-    monkeypatch.setattr(neardup, "_PAIRS", neardup._PAIRS[:2])
+    monkeypatch.setattr(neardup, "trees", lambda *_: 2)
     base = [f"b{i}" for i in range(57)]
     rows = []
     for i in range(100):
@@ -82,9 +83,47 @@ def test_odd_rows(docs):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95)]
+    edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 90, 90: 90, 95: 90}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(80)] + [(500, i) for i in range(300, 320)]
+    forest = neardup.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    want = {x: forest.root(x) for a, b in edges if a != b for x in (a, b)}
+    got = [(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_a_task_sends_one_edge_a_member():
+    """However many nodes of the trees hold a group, its task spans it once."""
+    tokens = bytes(neardup.COORDINATES)
+    nodes = [(node, member) for node in range(12) for member in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([n for n, _ in nodes]), pa.array([m for _, m in nodes]), pa.array([tokens] * len(nodes))], names=["node", "member", "tokens"])
+    out = [(a, b) for got in neardup._node_rows(iter([batch])) for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True) if a != b]
+    assert sorted(out) == [(0, i) for i in range(1, 50)]
+
+
+def test_trees_follow_from_the_target_recall():
+    assert neardup.trees(80, 0.99999) == 12 and neardup.trees(80, 0.9) < neardup.trees(50, 0.9) and neardup.trees(100) == 1
+
+
+def test_recall_against_exact_links(docs):
+    """1200 texts that share most of their words: 600 pairs at Jaccard 0.817, all others at 0.43, in nodes that are dealt."""
+    shared = [f"s{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        own = [f"o{i}x{j}" for j in range(60)]
+        rows += [(2 * i, " ".join([*shared, *own, *(f"a{i}x{j}" for j in range(20))])), (2 * i + 1, " ".join([*shared, *own, *(f"b{i}x{j}" for j in range(20))]))]
+    for limit in (4096, 16):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_components(docs(rows), shingle=1, percent=80, node_rows=limit).collect()}
+        assert got == {i: i - i % 2 for i, _ in rows}
 
 
 def test_query(spark, table, docs):

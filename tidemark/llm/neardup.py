@@ -5,8 +5,10 @@ Each class has ``COORDINATES`` minwise tokens. A tree branches the classes by
 the tokens at its chosen coordinates: the first two levels are the key of one
 shuffle, larger nodes branch further within their task by more coordinates,
 several at a time, so a similar pair is likely to stay together on some path.
-Small nodes are compared exhaustively on the tokens; independent trees repeat
-until a pair at the threshold is missed with a probability below 1e-4.
+Small nodes are compared exhaustively on the tokens; there are as many
+independent trees as make a pair at the threshold share a key with the target
+probability ``recall``. Of what a task finds it sends on no more than one edge
+for each member, to the least member that it is connected with.
 
 The trees give candidate groups: a group holds all documents connected by an
 estimated similarity of ``CANDIDATE`` or more, some four standard errors below
@@ -26,6 +28,7 @@ with the same id belong together; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,8 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, powers, shingle_sets, slices
 
 COORDINATES = 64
-TREES = 12
+#: Coordinates of a tree's key, and the probability that a pair at the threshold shares a key of some tree.
+LEVELS, RECALL = 2, 0.99999
 #: A pair of similarity 0.8 has fewer than this share of equal tokens once in 10^5.
 CANDIDATE = 0.58
 #: Nodes up to this size are compared exhaustively; larger ones branch by so many coordinates, so many levels deep.
@@ -51,9 +55,19 @@ GROUP_SHINGLES = 6_000_000
 #: More hot nodes than this are joined by a shuffle, not a broadcast.
 BROADCAST_ROWS = 65536
 
-_RANDOM = np.random.default_rng(77)
-_FACTORS = _RANDOM.integers(1, 1 << 62, COORDINATES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_PAIRS = [_RANDOM.choice(COORDINATES, 2, replace=False) for _ in range(TREES)]
+_FACTORS = np.random.default_rng(77).integers(1, 1 << 62, COORDINATES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def trees(percent: int, recall: float = RECALL) -> int:
+    """How many trees give a pair of ``percent`` similarity a shared key with probability ``recall``."""
+    together = (percent / 100) ** LEVELS
+    return 1 if together >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+
+
+def tree_coordinates(n: int) -> list[np.ndarray]:
+    """The coordinates of the keys of ``n`` trees."""
+    rng = np.random.default_rng(78)
+    return [rng.choice(COORDINATES, LEVELS, replace=False) for _ in range(n)]
 
 
 def set_digest(s: np.ndarray) -> bytes:
@@ -74,7 +88,9 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketch_rows(shingle: int):
+def _sketch_rows(shingle: int, n_trees: int):
+    pairs = tree_coordinates(n_trees)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -91,7 +107,7 @@ def _sketch_rows(shingle: int):
                     if not have:
                         continue
                     sig = sketches([sets[i] for i in have])
-                    path = np.stack([mix(sig[:, a] * powers(3)[1] + sig[:, b] * powers(3)[2] + np.uint64(t + 1)) for t, (a, b) in enumerate(_PAIRS)], axis=1).view(np.int64)
+                    path = np.stack([mix(sig[:, a] * powers(3)[1] + sig[:, b] * powers(3)[2] + np.uint64(t + 1)) for t, (a, b) in enumerate(pairs)], axis=1).view(np.int64)
                     small = mix(sig).astype(np.uint8)
                     for k, i in enumerate(have):
                         sizes[lo + i] = len(sets[i])
@@ -185,20 +201,47 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _edge_batch(edges: set[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = list(edges)
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+class Forest:
+    """Union-find over ids; the root of a tree is its least id."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        top = parent.get(x, x)
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top and up != x:
+            parent[x] = top
+            x = up
+        return top
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def __len__(self) -> int:
+        return len(self.parent)
+
+    def edges(self) -> pa.RecordBatch:
+        """(least id, id) of each id that is joined to a lesser one."""
+        ids = list(self.parent)
+        return pa.RecordBatch.from_arrays([pa.array([self.root(i) for i in ids], pa.int64()), pa.array(ids, pa.int64())], names=["a", "b"])
+
+
+#: Joined ids that a task holds before it sends them on.
+FOREST_IDS = 1_000_000
 
 
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, member, tokens), sorted by node -> candidate edges."""
-    found: set[tuple[int, int]] = set()
+    found = Forest()
 
     def handle(key: int, members: np.ndarray, tokens: np.ndarray) -> None:
         for i, j in node_edges(tokens, key & 0x7FFFFFFF):
-            a, b = int(members[i]), int(members[j])
-            if a != b:
-                found.add((min(a, b), max(a, b)))
+            found.join(int(members[i]), int(members[j]))
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     held_key = None
@@ -220,12 +263,12 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
             elif hi - lo > 1 or lo == 0 or hi == n:
                 held.append((member[lo:hi], tokens[lo:hi]))
-        if len(found) > 100_000:
-            yield _edge_batch(found)
-            found.clear()
+        if len(found) > FOREST_IDS:
+            yield found.edges()
+            found = Forest()
     if held and sum(len(m) for m, _ in held) > 1:
         handle(int(held_key), np.concatenate([m for m, _ in held]), np.concatenate([t for _, t in held]))
-    yield _edge_batch(found)
+    yield found.edges()
     give_back()
 
 
@@ -246,24 +289,25 @@ def _exact_rows(shingle: int, percent: int):
                     if set_digest(s) == d:
                         yield g, m, d, s
 
-        def edges_of(group: dict) -> set[tuple[int, int]]:
+        found = Forest()
+
+        def handle(group: dict) -> None:
             members = list(group)
-            if len(members) < 2:
-                return set()
-            got = exact_edges([group[m] for m in members], percent)
-            return {(min(members[i][0], members[j][0]), max(members[i][0], members[j][0])) for i, j in got if members[i][0] != members[j][0]}
+            if len(members) > 1:
+                for i, j in exact_edges([group[m] for m in members], percent):
+                    found.join(members[i][0], members[j][0])
 
-        found: set[tuple[int, int]] = set()
         at, group = None, {}
         for g, m, d, s in with_sets():
             if g != at:
-                found |= edges_of(group)
+                handle(group)
                 at, group = g, {}
             group[(m, d)] = s
-            if len(found) > 100_000:
-                yield _edge_batch(found)
-                found = set()
-        yield _edge_batch(found | edges_of(group))
+            if len(found) > FOREST_IDS:
+                yield found.edges()
+                found = Forest()
+        handle(group)
+        yield found.edges()
         give_back()
 
     return run
@@ -308,10 +352,10 @@ def _deal_hot(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None
     return nodes.join(side(hot.select("node")), "node", "left_anti").unionByName(dealt), edges
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, node_rows: int = NODE_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, recall: float = RECALL, node_rows: int = NODE_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of ``docs``."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(slim.mapInArrow(_sketch_rows(shingle), "doc_id long, n_shingles long, digest binary, keys array<long>, tokens binary"))
+    rows = cut(slim.mapInArrow(_sketch_rows(shingle, trees(percent, recall)), "doc_id long, n_shingles long, digest binary, keys array<long>, tokens binary"))
     classes = cut(
         rows.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("member"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n"))
     )
