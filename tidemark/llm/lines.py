@@ -618,10 +618,10 @@ def repeated_lines(rows: DataFrame, *, percent: int = PERCENT, first: int = FIRS
     levels = rows.sparkSession.sparkContext.broadcast(rarity)
     parts = max(8, -(-n_words // PART_WORDS))
 
-    def met(tasks: int, *words) -> DataFrame:
-        return rows.mapInArrow(_prefix_rows(percent, levels, parts, *words), BLOCK_SCHEMA).repartition(tasks, "part").sortWithinPartitions("part")
+    def met(*words) -> DataFrame:
+        return rows.mapInArrow(_prefix_rows(percent, levels, parts, *words), BLOCK_SCHEMA).repartition(parts, "part").sortWithinPartitions("part")
 
-    found = cut(met(parts).mapInArrow(_match_rows(percent, first), FOUND_SCHEMA))
+    found = cut(met().mapInArrow(_match_rows(percent, first), FOUND_SCHEMA))
     known = found.where(F.col("kind") == GONE).select(*PLACE)
     # One candidate for each line: the surest, then the earliest.
     x = F.struct(*X_PLACE)
@@ -635,7 +635,7 @@ def repeated_lines(rows: DataFrame, *, percent: int = PERCENT, first: int = FIRS
     if more.limit(1).count():
         words = bit_set(found.join(more, PLACE, "left_semi").select(F.explode("words").alias("word")).distinct(), "word")
         open_lines = bit_set(more.select(_place_key().alias("own")).distinct(), "own")
-        rest = met(-(-parts // 8), words).mapInArrow(_match_rows(percent, first, open_lines), FOUND_SCHEMA)
+        rest = met(words).mapInArrow(_match_rows(percent, first, open_lines), FOUND_SCHEMA)
         gone = cut(gone.unionAll(rest.select(*PLACE)).distinct())
     return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone"))
 
