@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import errors
 from tidemark.operators.batch import WriteBatch
@@ -78,6 +79,34 @@ def test_file_ranges(spark):
     assert sorted(map(tuple, merge_ranges(over).collect())) == [("150", "600"), ("700", "800")]
 
 
+def test_more_ranges_than_literals(spark, monkeypatch):
+    monkeypatch.setattr(files, "LITERALS", 4)
+    ranges = [(f"{i:04d}".encode(), f"{i + 5:04d}".encode(), i) for i in range(0, 300, 10)]
+    keys = spark.range(310).select(F.format_string("%04d", "id").cast("binary").alias("key"), "id")
+    got = {r["id"]: r["n"] for r in files.locate(keys, F.col("key"), ranges, "n", "int").collect()}
+    assert got == {i: i // 10 * 10 if i < 300 and i % 10 <= 5 else None for i in range(310)}
+    few = files.locate(keys, F.col("key"), ranges[:3], "n", "int")
+    assert {r["id"]: r["n"] for r in few.collect()} == {i: i // 10 * 10 if i < 30 and i % 10 <= 5 else None for i in range(310)}
+    assert "Python" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_apart():
+    fs = [DataFile(n, 0, a, b, 1, 1, 1, 1) for n, a, b in (("a", 1, 5), ("b", 4, 9), ("c", 11, 12), ("d", 20, 30), ("e", 30, 31))]
+    alone, others = files.apart(fs)
+    assert [f.path for f in alone] == ["c"] and [f.path for f in others] == ["a", "b", "d", "e"]
+    assert files.apart(fs, (12, 12))[0] == [] and files.apart([]) == ([], [])
+    wide = [DataFile(n, 0, a, b, 1, 1, 1, 1) for n, a, b in (("a", 1, 50), ("b", 2, 3), ("c", 10, 12))]
+    assert files.apart(wide)[0] == []
+
+
+def test_log_grows_in_place():
+    rnd = random.Random(3)
+    raw, records = b"", [rnd.randbytes(n) for n in (10, 32_700, 40, 70_000, 0, 5)]
+    for r in records:
+        raw += wal.write_records([r], len(raw))
+    assert good(raw) == records
+
+
 def test_closure_and_cuts():
     fs = [{"smallest": 1, "largest": 5}, {"smallest": 4, "largest": 9}, {"smallest": 8, "largest": 12}, {"smallest": 20, "largest": 30}]
     assert len(files.closure(fs, 1, 2, grow=True)) == 3

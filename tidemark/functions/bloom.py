@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.codecs import FILTER_SEED, U32, hash32
+from tidemark.functions.codecs import U32, hash32_many
 
 #: Least bits of a filter and the range of its number of probes (fixed values).
 LEAST_BITS = 64
@@ -36,19 +36,25 @@ def build(keys: Iterable[bytes], bits_per_key: int = 10) -> bytes:
     size = -(-max(LEAST_BITS, len(keys) * bits_per_key) // 8)
     bits = np.zeros(size * 8, np.uint8)
     if keys:
-        bits[_positions(np.array([hash32(k, FILTER_SEED) for k in keys]), size * 8, probes).astype(np.int64).ravel()] = 1
+        bits[_positions(hash32_many(keys), size * 8, probes).astype(np.int64).ravel()] = 1
     return np.packbits(bits, bitorder="little").tobytes() + bytes([probes])
 
 
-def may_contain(filter_: bytes, key: bytes) -> bool:
-    """False only if ``key`` was not among the filter's keys."""
+def may_contain_many(filter_: bytes, keys: list[bytes]) -> np.ndarray:
+    """For each key: False only if it was not among the filter's keys."""
     if len(filter_) < 2:
-        return False
+        return np.zeros(len(keys), bool)
     n_bits, probes = (len(filter_) - 1) * 8, filter_[-1]
     if probes > PROBES[1]:  # a format of the future: may hold anything
-        return True
-    at = _positions(np.array([hash32(key, FILTER_SEED)]), n_bits, probes)[0].astype(int)
-    return all(filter_[p >> 3] >> (p & 7) & 1 for p in at)
+        return np.ones(len(keys), bool)
+    at = _positions(hash32_many(keys), n_bits, probes).astype(np.int64)
+    raw = np.frombuffer(filter_, np.uint8)
+    return (raw[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+
+
+def may_contain(filter_: bytes, key: bytes) -> bool:
+    """False only if ``key`` was not among the filter's keys."""
+    return bool(may_contain_many(filter_, [key])[0])
 
 
 def filters(keys: DataFrame, group: str, key: str = "key", bits_per_key: int = 10) -> DataFrame:
@@ -63,9 +69,38 @@ def filters(keys: DataFrame, group: str, key: str = "key", bits_per_key: int = 1
     return keys.select(group, key).groupBy(group).applyInPandas(run, schema)
 
 
-def may_contain_column() -> Callable[[Column, Column], Column]:
+def _hits(groups: pd.Series, keys: pd.Series, filter_of: Callable[[object], bytes | None]) -> pd.Series:
+    raw = np.array([k.encode() if isinstance(k, str) else bytes(k) for k in keys], dtype=object)
+    out = np.zeros(len(raw), bool)
+    codes, found = pd.factorize(groups)
+    for i, g in enumerate(found):
+        own = filter_of(g)
+        at = np.flatnonzero(codes == i)
+        if own is not None:
+            out[at] = may_contain_many(own, raw[at].tolist())
+    return pd.Series(out)
+
+
+def probe(rows: DataFrame, built: DataFrame, group: str, key: str = "key", name: str = "hit", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``rows`` with ``name``: whether the filter of the row's group may contain its key; False without a filter.
+
+    Filters of up to ``broadcast_bytes`` in all are broadcast once; others are
+    joined by group, and a batch unpacks each of its filters once.
+    """
+    sc = rows.sparkSession.sparkContext
+    size = built.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        shared = sc.broadcast({r[group]: bytes(r["filter"]) for r in built.select(group, "filter").collect()})
+
+        @F.pandas_udf(T.BooleanType())
+        def known(groups: pd.Series, keys: pd.Series) -> pd.Series:
+            return _hits(groups, keys, shared.value.get)
+
+        return rows.withColumn(name, known(F.col(group), F.col(key)))
+
     @F.pandas_udf(T.BooleanType())
-    def run(filter_: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([may_contain(bytes(f), k.encode() if isinstance(k, str) else bytes(k)) for f, k in zip(filter_, key, strict=True)])
+    def beside(filters_: pd.Series, keys: pd.Series) -> pd.Series:
+        return _hits(filters_.map(lambda f: b"" if f is None else bytes(f)), keys, lambda f: f)
 
-    return run
+    joined = rows.join(built.select(F.col(group).alias("__group"), F.col("filter").alias("__filter")), F.col(group) == F.col("__group"), "left")
+    return joined.withColumn(name, beside(F.col("__filter"), F.col(key))).drop("__group", "__filter")

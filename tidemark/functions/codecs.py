@@ -17,14 +17,6 @@ from pyspark.sql import types as T
 U32, U64 = 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
 
 
-def _mapped(fn: Callable, kind: T.DataType) -> Callable[[Column], Column]:
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else fn(bytes(x)) for x in s], dtype=object)
-
-    return run
-
-
 # -- fixed width, little endian -----------------------------------------------
 def fixed32(n: int) -> bytes:
     return (n & U32).to_bytes(4, "little")
@@ -92,14 +84,19 @@ def varint_column(n: Column) -> Column:
 
 
 def read_varint_column(bits: int = 64) -> Callable[[Column], Column]:
-    """Null for truncated or overflowing input; numbers of 2^63 and more as decimals."""
-
-    @F.pandas_udf(T.DecimalType(20, 0))
-    def run(s: pd.Series) -> pd.Series:
-        from decimal import Decimal
-
-        got = [None if x is None else read_varint(bytes(x), bits) for x in s]
-        return pd.Series([None if g is None else Decimal(g[0]) for g in got], dtype=object)
+    """Null for truncated or overflowing input; the number as a decimal, since it may be 2^63 and more."""
+    most = -(-bits // 7)
+
+    def run(raw: Column) -> Column:
+        pairs = F.regexp_extract_all(F.hex(F.substring(raw, F.lit(1), F.lit(most))), F.lit("(..)"), F.lit(1))
+        values = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("long"))
+        # The first byte without the high bit ends the number.
+        used = F.slice(values, F.lit(1), F.greatest(F.lit(0), F.array_position(F.transform(values, lambda b: b < 128), F.lit(True)).cast("int")))
+        low = F.aggregate(F.transform(used, lambda b, i: F.call_function("shiftleft", b.bitwiseAND(F.lit(127).cast("long")), 7 * i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+        whole = F.when(low < 0, low.cast("decimal(20,0)") + F.lit(str(U64 + 1)).cast("decimal(20,0)")).otherwise(low.cast("decimal(20,0)"))
+        last = F.element_at(used, -1)
+        fits = (F.size(used) < most) | (last < F.lit(1 << bits - 7 * (most - 1)).cast("long"))
+        return F.when((F.size(used) > 0) & fits, whole).cast("decimal(20,0)")
 
     return run
 
@@ -210,8 +207,38 @@ def hash32(raw: bytes, seed: int = FILTER_SEED) -> int:
     return h
 
 
+def hash32_many(keys: list[bytes], seed: int = FILTER_SEED) -> np.ndarray:
+    """``hash32`` of many keys, those of one length together."""
+    out = np.empty(len(keys), np.uint64)
+    lens = np.array([len(k) for k in keys], np.int64)
+    factor, mask = np.uint64(HASH_FACTOR), np.uint64(U32)
+    for n in np.unique(lens).tolist():
+        at = np.flatnonzero(lens == n)
+        raw = np.frombuffer(b"".join([keys[i] for i in at]), np.uint8).reshape(len(at), n)
+        whole = n & ~3
+        h = np.full(len(at), seed ^ (n * HASH_FACTOR & U32), np.uint64)
+        for w in np.ascontiguousarray(raw[:, :whole]).view("<u4").T.astype(np.uint64) if whole else ():
+            h = (h + w) * factor & mask
+            h ^= h >> np.uint64(16)
+        if whole < n:
+            tail = np.zeros(len(at), np.uint64)
+            for j in range(whole, n):
+                tail |= raw[:, j].astype(np.uint64) << np.uint64(8 * (j - whole))
+            h = (h + tail) * factor & mask
+            h ^= h >> np.uint64(HASH_SHIFT)
+        out[at] = h
+    return out
+
+
 def hash32_column(seed: int = FILTER_SEED) -> Callable[[Column], Column]:
-    return _mapped(lambda x: hash32(x, seed), T.LongType())
+    @F.pandas_udf(T.LongType())
+    def run(s: pd.Series) -> pd.Series:
+        there = s.notna()
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        out[there] = hash32_many([bytes(x) for x in s[there]], seed).astype(np.int64)
+        return out
+
+    return run
 
 
 # -- text ---------------------------------------------------------------------
@@ -262,12 +289,29 @@ def short_successor(key: bytes) -> bytes:
     return key if n is None else key[:n] + bytes([key[n] + 1])
 
 
-@F.pandas_udf(T.BinaryType())
-def short_separator_column(start: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else short_separator(bytes(a), bytes(b)) for a, b in zip(start, limit, strict=True)], dtype=object)
+def _byte(raw: Column, i: Column) -> Column:
+    """The byte at position ``i`` from 0."""
+    return F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def _with_greater(raw: Column, n: Column) -> Column:
+    """The first ``n`` bytes and the next one, greater by one."""
+    return F.concat(F.substring(raw, F.lit(1), n), F.unhex(F.lpad(F.hex((_byte(raw, n) + 1).cast("long")), 2, "0")))
+
+
+def short_separator_column(start: Column, limit: Column) -> Column:
+    """``short_separator`` as an expression."""
+    common = F.least(F.octet_length(start), F.octet_length(limit))
+    n = F.get(F.filter(F.sequence(F.lit(0), common), lambda i: (i == common) | (F.substring(start, i + 1, F.lit(1)) != F.substring(limit, i + 1, F.lit(1)))), F.lit(0))
+    same = (n == common) | (_byte(start, n) == 255) | (_byte(start, n) + 1 >= _byte(limit, n))
+    return F.when(start.isNotNull() & limit.isNotNull(), F.when(same, start).otherwise(_with_greater(start, n)))
 
 
-short_successor_column = _mapped(short_successor, T.BinaryType())
+def short_successor_column(key: Column) -> Column:
+    """``short_successor`` as an expression."""
+    size = F.octet_length(key)
+    n = F.get(F.filter(F.sequence(F.lit(0), size), lambda i: (i == size) | (F.hex(F.substring(key, i + 1, F.lit(1))) != "FF")), F.lit(0))
+    return F.when(n == size, key).otherwise(_with_greater(key, n))
 
 
 # -- internal keys ------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def _limits() -> list[float]:
-    """Upper bounds: 1 to 10 by one, then steps that keep two digits, up to 10^10 and beyond."""
+    """Upper bounds (fixed values): 1 to 10 by one, then steps that keep two digits, up to 10^10 and beyond."""
     steps = [1.2, 1.4, 1.6, 1.8, 2, 2.5, 3, 3.5, 4, 4.5, 5, 6, 7, 8, 9, 10]
     out = [float(i) for i in range(1, 11)]
     for power in range(1, 10):

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.errors import CorruptionError
 from tidemark.functions.codecs import fixed32, fixed64, length_prefixed, read_fixed, read_length_prefixed
+from tidemark.plans.files import LITERALS, lower_bound
 from tidemark.schema import DEL, LOG_SCHEMA, PUT
 
 #: Sequence number (8 bytes) and count (4 bytes) stand before the records (fixed value).
@@ -96,17 +97,17 @@ def read_ops(raw: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
         raise CorruptionError("batch has wrong count")
 
 
-def sequence(batch: DataFrame, last_seq: int, index: str = "idx") -> DataFrame:
+def sequence(batch: DataFrame, last_seq: int, index: str = "idx", per_part: int = 100_000) -> DataFrame:
     """(idx, key, op, value) -> log rows numbered by ``idx`` after ``last_seq``.
 
     Numbers within id ranges are offset by the ranges' counts, so a batch of any
     size is numbered without one task for all of it.
     """
     n = batch.count()
-    parts = max(1, min(4096, n // 100_000))
+    parts = max(1, min(LITERALS, n // per_part))
     marks = batch.agg(F.percentile_approx(index, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
-    part = reduce(lambda a, b: a + b, [F.when(F.col(index) > m, 1).otherwise(0) for m in marks], F.lit(0))
-    cells = batch.withColumn("__part", part)
+    part = lower_bound(F.array(*[F.lit(m) for m in marks]), F.col(index), len(marks).bit_length()) if marks else F.lit(0)
+    cells = batch.withColumn("__part", F.coalesce(part, F.lit(0)))
     counts = {r[0]: r[1] for r in cells.groupBy("__part").count().collect()}
     before, offsets = 0, []
     for p in sorted(counts):
@@ -118,14 +119,12 @@ def sequence(batch: DataFrame, last_seq: int, index: str = "idx") -> DataFrame:
 
 
 def group_commit(batches: list[DataFrame], last_seq: int, index: str = "idx") -> DataFrame:
-    """Several batches as one, in order: each continues where the one before ended."""
-    tagged = [b.withColumn("__batch", F.lit(i)) for i, b in enumerate(batches)]
-    every = reduce(DataFrame.unionByName, tagged)
-    sizes = {r[0]: r[1] for r in every.groupBy("__batch").agg(F.count("*")).collect()}
-    before = [sum(sizes.get(j, 0) for j in range(i)) for i in range(len(batches))]
-    table = F.array(*[F.lit(b).cast("long") for b in before])
-    rank = F.row_number().over(Window.partitionBy("__batch").orderBy(index))
-    return every.withColumn("seq", F.lit(last_seq).cast("long") + F.get(table, F.col("__batch")) + rank).drop("__batch", index)
+    """Several batches as one, in order: each continues where the one before ended, numbered within its index ranges."""
+    out = []
+    for b in batches:
+        out.append(sequence(b, last_seq, index))
+        last_seq += b.count()
+    return reduce(DataFrame.unionByName, out)
 
 
 def group_size(sizes: list[int], syncs: list[bool]) -> int:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.files import range_lookup
+from tidemark.plans.files import locate
 from tidemark.schema import BYTEWISE, DEL, N_LEVELS, KeyOrder
 
 
@@ -29,13 +29,12 @@ def with_base_level(log: DataFrame, deeper: DataFrame, order: KeyOrder = BYTEWIS
     """Adds ``base_level``: no range of ``deeper`` (smallest, largest) covers the key.
 
     ``deeper`` is file metadata. Its ranges are merged into disjoint ones, which
-    each task searches for its own keys.
+    are searched where the keys are.
     """
     plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
     ranges = sorted((plain(r["smallest"]), plain(r["largest"])) for r in merge_ranges(deeper).collect())
-    if not ranges:
-        return log.withColumn("base_level", F.lit(True))
-    return log.withColumn("base_level", range_lookup(ranges)(order.column(F.col("key"))).isNull())
+    found = locate(log, order.column(F.col("key")), [(lo, hi, 1) for lo, hi in ranges], "__deeper", "int")
+    return found.withColumn("base_level", F.col("__deeper").isNull()).drop("__deeper")
 
 
 def merge_ranges(files: DataFrame) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.schema import N_LEVELS
 
+#: Ranges that a plan holds as literals.
+LITERALS = 4096
+
 
 def describe(log: DataFrame, file: Column, level: Column, size: Column) -> DataFrame:
     """Metadata of the files into which ``file`` deals the rows of a log."""
@@ -34,34 +32,54 @@ def find_file(files: DataFrame, key: object) -> DataFrame:
     return files.agg(F.count(F.when(F.col("largest") < F.lit(key), 1)).alias("position"))
 
 
-def range_lookup(ranges: list[tuple[object, object]]) -> Callable[[Column], Column]:
-    """A function of keys: the position of the range [smallest, largest] that holds a key, null for none.
+def lower_bound(table: Column, key: Column, steps: int) -> Column:
+    """How many entries of an ascending array are below ``key`` (null for none), by binary search; it has fewer than 2^``steps``."""
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
+    search = F.aggregate(widths, F.lit(0), lambda at, w: F.when((at + w <= F.size(table)) & (F.get(table, at + w - 1) < key), at + w).otherwise(at))
+    return F.when(key.isNotNull(), search)
 
-    ``ranges`` are sorted and disjoint, a few values for each file. They are
-    searched where the keys are, so keys are neither sorted nor joined.
-    """
-    ends = [hi for _, hi in ranges]
 
-    @F.pandas_udf(T.LongType())
-    def run(keys: pd.Series) -> pd.Series:
-        out = []
-        for k in keys:
-            i = len(ends) if k is None else bisect_left(ends, bytes(k) if isinstance(k, bytearray) else k)
-            out.append(i if i < len(ends) and ranges[i][0] <= k else None)
-        return pd.Series(out, dtype="Int64")
+def locate(rows: DataFrame, key: Column, ranges: list[tuple[object, object, object]], name: str, kind: str) -> DataFrame:
+    """``rows`` with ``name``: the value of the range (smallest, largest, value) that holds ``key``, null for none.
 
-    return run
+    ``ranges`` are sorted and disjoint, one for each file. Up to ``LITERALS`` of
+    them are arrays in the plan; more are a table of so many groups, joined by
+    the group's number, so neither the plan nor a row's share of it grows.
+    """
+    if not ranges:
+        return rows.withColumn(name, F.lit(None).cast(kind))
+    per = -(-len(ranges) // LITERALS)
+    groups = [ranges[i : i + per] for i in range(0, len(ranges), per)]
+    at = lower_bound(F.array(*[F.lit(g[-1][1]) for g in groups]), key, len(groups).bit_length())
+    placed = rows.withColumn("__at", at)
+    if per == 1:
+        lows, values = (F.array(*[F.lit(g[0][i]) for g in groups]) for i in (0, 2))
+        return placed.withColumn(name, F.when(F.get(lows, F.col("__at")) <= key, F.get(values, F.col("__at"))).cast(kind)).drop("__at")
+    of = {bytes: "binary", str: "string", int: "bigint"}
+    columns = ", ".join(f"__r{i} array<{of[type(ranges[0][i])]}>" for i in range(3))
+    table = rows.sparkSession.createDataFrame([(n, *[[r[i] for r in g] for i in range(3)]) for n, g in enumerate(groups)], f"__group int, {columns}")
+    joined = placed.join(table, F.col("__at") == F.col("__group"), "left").withColumn("__in", lower_bound(F.col("__r1"), key, per.bit_length()))
+    found = F.when(F.get(F.col("__r0"), F.col("__in")) <= key, F.get(F.col("__r2"), F.col("__in")))
+    return joined.withColumn(name, found.cast(kind)).drop("__at", "__group", "__r0", "__r1", "__r2", "__in")
 
 
 def find_files(files: DataFrame, keys: DataFrame) -> DataFrame:
     """Each key with the number of the file of a disjoint level that may hold it (null: none)."""
     plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
     rows = sorted((plain(r["smallest"]), plain(r["largest"]), r["number"]) for r in files.select("smallest", "largest", "number").collect())
-    if not rows:
-        return keys.select("key", F.lit(None).cast(files.schema["number"].dataType).alias("number"))
-    at = range_lookup([(lo, hi) for lo, hi, _ in rows])(F.col("key")).cast("int")
-    numbers = F.array(*[F.lit(n) for _, _, n in rows]).cast(T.ArrayType(files.schema["number"].dataType))
-    return keys.select("key", F.get(numbers, at).alias("number"))
+    return locate(keys.select("key"), F.col("key"), rows, "number", files.schema["number"].dataType.simpleString())
+
+
+def apart(files: list, extra: tuple[object, object] | None = None) -> tuple[list, list]:
+    """(files whose key range meets no other file's and not ``extra``, the others), each in order of keys."""
+    ranked = sorted(files, key=lambda f: (f.smallest, f.largest))
+    alone, others, reach = [], [], None
+    for i, f in enumerate(ranked):
+        after = ranked[i + 1].smallest if i + 1 < len(ranked) else None
+        meets = (reach is not None and f.smallest <= reach) or (after is not None and after <= f.largest) or (extra is not None and f.smallest <= extra[1] and extra[0] <= f.largest)
+        (others if meets else alone).append(f)
+        reach = f.largest if reach is None else max(reach, f.largest)
+    return alone, others
 
 
 def level_stats(files: DataFrame) -> DataFrame:
