@@ -1,12 +1,14 @@
 """Tables against golden histories and a random model."""
 
+import gc
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import errors
-from tidemark.operators.batch import WriteBatch, group_size
+from tidemark.operators.batch import WriteBatch, group_commit, group_size, sequence
 from tidemark.operators.table import VersionedTable, merge_tables, repair
 from tidemark.plans.compaction import LevelPolicy
 from tidemark.schema import NUMERIC, REVERSED_BYTES, Options
@@ -328,3 +330,162 @@ def test_random_model(make):
                 t.compact_range(b"a", b"c")
             snaps.append(t.snapshot())
     assert [k for k, _ in t.cursor(page=37)] == [k for k, _ in state(t.last_seq())]
+
+
+def crash(table):
+    """Drops a handle without closing it, as a dead process would leave its table."""
+    table.storage.write("LOCK", b'{"host": "elsewhere", "pid": 1, "began": "1", "token": "x", "until": 0}')
+
+
+def test_writes_survive_a_crash(make):
+    t = make("crash")
+    assert t.put(b"k", b"v") == 1
+    t.write(WriteBatch().put(b"l", b"w").delete(b"k"), sync=True)
+    crash(t)
+    u = make("crash")
+    assert u.last_seq() == 3 and content(u) == [(b"l", b"w")]
+    assert u.put(b"m", b"x") == 4
+    crash(u)
+    v = make("crash")
+    assert content(v) == [(b"l", b"w"), (b"m", b"x")]
+    v.flush()
+    assert v.storage.names("log") == [] and v.state().last_seq == 4
+    with pytest.raises(errors.StorageError, match="lock"):
+        t.put(b"late", b"v")
+    t._closed = u._closed = True
+
+
+def test_a_record_cut_off_by_a_crash_is_no_write(make):
+    t = make("torn")
+    t.put(b"a", b"1")
+    t.put(b"b", b"2" * 100)
+    name = t.storage.names("log")[0]
+    raw = t.storage.read(f"log/{name}")
+    t.storage.write(f"log/{name}", raw[:-10])
+    crash(t)
+    u = make("torn")
+    assert content(u) == [(b"a", b"1")] and u.last_seq() == 1
+    t._closed = True
+
+
+def test_a_lost_handle_frees_its_lock(spark, tmp_path):
+    path = str(tmp_path / "lost")
+    t = VersionedTable.open(spark, path, Options(create_if_missing=True))
+    t.put(b"k", b"v")
+    with pytest.raises(errors.StorageError, match="lock"):
+        VersionedTable.open(spark, path)
+    del t
+    gc.collect()
+    u = VersionedTable.open(spark, path)
+    assert u.get(b"k") == b"v"
+    u.close()
+
+
+def test_pending_writes_are_read_without_a_flush(make):
+    t = make("pending")
+    t.write(WriteBatch().put(b"a", b"1").put(b"c", b"3"))
+    t.compact_range()
+    t.put(b"b", b"2")
+    t.delete(b"a")
+    assert content(t) == [(b"b", b"2"), (b"c", b"3")] and t.get(b"b") == b"2"
+    assert [k for k, _ in t.cursor()] == [b"b", b"c"] and len(t.state().files) == 1
+
+
+def test_repair_keeps_the_floor_and_the_log(spark, make):
+    t = make("floor")
+    t.put(b"a", b"1")
+    t.put(b"a", b"2")
+    t.compact_range()
+    with pytest.raises(errors.InvalidArgumentError):
+        t.get(b"a", 1)
+    t.put(b"b", b"3")
+    crash(t)
+    got = repair(spark, t.path)
+    assert got["last_seq"] == 3 and got["lost"] == 0
+    u = make("floor")
+    with pytest.raises(errors.InvalidArgumentError):
+        u.get(b"a", 1)
+    assert content(u) == [(b"a", b"2"), (b"b", b"3")]
+    u.close()
+    u.storage.delete("manifest")
+    repair(spark, t.path)
+    u = make("floor")
+    with pytest.raises(errors.InvalidArgumentError):
+        u.get(b"a", 1)
+    assert content(u) == [(b"a", b"2"), (b"b", b"3")]
+    t._closed = True
+
+
+@pytest.mark.parametrize("manifest", [True, False])
+def test_repair_leaves_runs_that_were_never_committed(spark, make, manifest):
+    t = make(f"twice{manifest}")
+    t.write(WriteBatch().put(b"a", b"1").put(b"b", b"2"))
+    t.flush()
+    time.sleep(1.1)
+    t._write_run(WriteBatch().put(b"x", b"9").put(b"y", b"9").to_log(spark, 0), 0)
+    t.close()
+    if not manifest:
+        t.storage.delete("manifest")
+    assert repair(spark, t.path)["lost"] >= 1
+    u = make(f"twice{manifest}")
+    assert content(u) == [(b"a", b"1"), (b"b", b"2")] and u.last_seq() == 2
+
+
+def test_a_compacted_table_is_scanned_without_a_shuffle(spark, make):
+    t = make("plain")
+    rows = spark.range(2000).select(F.col("id").alias("idx"), (F.col("id") % 700).cast("string").cast("binary").alias("key"), F.when(F.col("id") % 11 == 0, 0).otherwise(1).cast("byte").alias("op"), F.col("id").cast("string").cast("binary").alias("value"))
+    t.write_frame(rows)
+    before = content(t)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan(t.scan())
+    t.compact_range()
+    assert content(t) == before and len(before) > 600
+    assert "Exchange" not in plan(t.scan()) and "Exchange" not in plan(t.scan(b"1", b"5"))
+    keys = spark.createDataFrame([(b"5",), (b"none",)], "key binary")
+    assert [bytes(r["key"]) for r in t.multi_get(keys).collect()] == [b"5"]
+    s = t.snapshot()
+    t.put(b"5", b"new")
+    t.flush()
+    assert content(t, s) == before and t.get(b"5") == b"new" and len(content(t)) == len(before)
+
+
+def test_offsets_and_stats(make):
+    t = make("o")
+    t.write(WriteBatch([(1, f"key{i:06d}".encode(), random.Random(i).randbytes(1000)) for i in range(500)]))
+    t.compact_range()
+    assert t.approximate_offset(b"a") == 0 and 200_000 < t.approximate_offset(b"key000250") < 300_000
+    assert t.approximate_offset(b"z") == sum(f.bytes for f in t.state().files.values())
+    line = [x.split() for x in t.property("stats").splitlines() if x.split()[0] == "1"][0]
+    assert float(line[3]) > 0 and float(line[4]) > 0.4 and float(line[5]) > 0.4
+
+
+def test_compaction_after_commits(make):
+    t = make("auto", auto_compact=True, level0_trigger=2)
+    for i in range(6):
+        t.put(b"k%d" % (i % 3), b"%d" % i)
+        t.flush()
+    assert int(t.property("num-files-at-level0")) < 2 and content(t) == [(b"k0", b"3"), (b"k1", b"4"), (b"k2", b"5")]
+    u = make("deep", flush_level=2)
+    u.put(b"a", b"1")
+    u.flush()
+    u.put(b"b", b"1")
+    u.flush()
+    u.put(b"a", b"2")
+    u.flush()
+    assert sorted(f.level for f in u.state().files.values()) == [1, 2, 2] and content(u) == [(b"a", b"2"), (b"b", b"1")]
+
+
+def test_manifest_is_pruned(make):
+    t = make("prune")
+    for _ in range(60):
+        t.release(t.snapshot())
+    names = t.storage.names("manifest")
+    assert len(names) < 60 and t.state().version == 121 and not t.state().snapshots
+
+
+def test_numbers_of_a_batch_of_many_ranges(spark):
+    rows = spark.range(9000).select((F.col("id") * 7919 % 9000).alias("idx"), F.lit(b"k").alias("key"), F.lit(1).cast("byte").alias("op"), F.col("id").cast("string").cast("binary").alias("value"))
+    got = sequence(rows, 10, per_part=2)
+    assert got.agg(F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()[:] == (9000, 11, 9010)
+    twos = group_commit([rows, rows], 0).agg(F.count_distinct("seq"), F.max("seq")).first()
+    assert twos[:] == (18000, 18000)

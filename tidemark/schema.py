@@ -87,6 +87,10 @@ class Options:
     bloom_filter: bool = False
     #: Level-0 files that make a level-0 compaction due.
     level0_trigger: int = 4
+    #: Compact what is due after each commit.
+    auto_compact: bool = False
+    #: The deepest level that a new run may start on, where it meets no file above it.
+    flush_level: int = 0
 
     #: (least, most) of each size (fixed values).
     RANGES = {

@@ -11,6 +11,21 @@ from pyspark.sql import SparkSession
 from tidemark.errors import NotFoundError, StorageError
 
 
+#: Schemes of local disks, of file systems whose rename fails at a taken name, and the key that asks S3A for a conditional put.
+LOCAL = (None, "file")
+EXCLUSIVE_RENAME = ("hdfs", "webhdfs", "swebhdfs", "ofs")
+CONDITIONAL_PUT = "fs.option.create.conditional.overwrite"
+
+
+def _sync(path: str) -> None:
+    """Makes a local file or folder durable."""
+    fd = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(fd)
+    finally:
+        os.close(fd)
+
+
 class Storage:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -39,6 +54,9 @@ class Storage:
     def size(self, name: str) -> int:
         return self._fs.getFileStatus(self._path(name)).getLen()
 
+    def modified(self, name: str) -> int:
+        return self._fs.getFileStatus(self._path(name)).getModificationTime()
+
     def read(self, name: str) -> bytes:
         if not self.exists(name):
             raise NotFoundError(name)
@@ -51,24 +69,63 @@ class Storage:
     def create(self, name: str, data: bytes) -> bool:
         """Creates a file that isn't there yet, whole or not at all; False if another writer was first.
 
-        On a local disk a finished temporary file is linked to the name, elsewhere
-        it is renamed; both fail where the name is taken. A crash leaves no more
-        than the temporary file.
+        On a local disk a finished temporary file is synced and linked to the name,
+        on file systems whose rename fails at a taken name it is renamed. Elsewhere,
+        as on object stores, the file is put on the condition that there is none; a
+        store that can't put so refuses. A crash leaves no more than a temporary file.
         """
+        if self._scheme() not in (*LOCAL, *EXCLUSIVE_RENAME):
+            return self._put_if_absent(name, data)
         temp = f"{name}.{uuid.uuid4().hex}.tmp"
         self.write(temp, data)
         try:
-            if self._path("").toUri().getScheme() in (None, "file"):
-                local = [self._path(n).toUri().getPath() for n in (temp, name)]
+            if self._scheme() in LOCAL:
+                local = [self._local(n) for n in (temp, name)]
+                _sync(local[0])
                 try:
                     os.link(*local)
                 except FileExistsError:
                     return False
+                _sync(os.path.dirname(local[1]))
                 return True
             return not self.exists(name) and self._fs.rename(self._path(temp), self._path(name))
         finally:
             self.delete(temp)
 
+    def _scheme(self) -> str | None:
+        """The scheme of the file system that the folder really stands on."""
+        return self._fs.resolvePath(self._path("")).toUri().getScheme() if self.exists() else self._path("").toUri().getScheme()
+
+    def _local(self, name: str) -> str:
+        return self._fs.resolvePath(self._path("")).toUri().getPath().rstrip("/") + "/" + name
+
+    def _put_if_absent(self, name: str, data: bytes) -> bool:
+        builder = self._fs.createFile(self._path(name)).overwrite(False)
+        if self._scheme() == "s3a":
+            builder = builder.must(CONDITIONAL_PUT, True)
+        try:
+            stream = builder.build()
+            try:
+                stream.write(bytearray(data))
+            finally:
+                stream.close()
+        except Exception as e:
+            if self.exists(name):
+                return False
+            raise StorageError(name, f"can't be created exclusively: {str(e).splitlines()[0]}") from e
+        return True
+
+    def append(self, name: str, data: bytes, sync: bool = False) -> bool:
+        """Adds to a file on a local disk; False elsewhere, where files can't grow."""
+        if self._scheme() not in LOCAL:
+            return False
+        with open(self._local(name), "ab") as f:
+            f.write(data)
+            f.flush()
+            if sync:
+                os.fsync(f.fileno())
+        return True
+
     def write(self, name: str, data: bytes) -> None:
         stream = self._fs.create(self._path(name), True)
         try:

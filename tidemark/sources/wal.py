@@ -21,12 +21,13 @@ BLOCK, HEADER = 32768, 7
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
 
 
-def write_records(records: Iterable[bytes]) -> bytes:
+def write_records(records: Iterable[bytes], start: int = 0) -> bytes:
+    """Records as they stand in a log after its first ``start`` bytes."""
     out = bytearray()
     for record in records:
         at, begun = 0, False
         while True:
-            room = BLOCK - len(out) % BLOCK
+            room = BLOCK - (start + len(out)) % BLOCK
             if room < HEADER:
                 out += bytes(room)
                 room = BLOCK
