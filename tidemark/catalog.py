@@ -9,16 +9,18 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom, codecs, histogram
-from tidemark.operators.batch import group_commit, sequence
+from tidemark.operators.batch import WriteBatch, group_commit, sequence
 from tidemark.operators.table import VersionedTable, repair
 from tidemark.plans import compaction, files, ordered, visibility
 from tidemark.schema import NUMERIC, REVERSED_BYTES, KeyOrder, Options
 from tidemark.sources.dump import dump_log
+from tidemark.sources.manifest import DataFile, Edit, fold
 from tidemark.workspace import scratch, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,9 +146,9 @@ def point_get_tombstone(s, d):
     return got[0].unionByName(got[1]).unionByName(got[2]).unionByName(got[3])
 
 
-@query("multi_get", f"WITH {EV}, {NEW} SELECT key, seq, value FROM VIS WHERE key IN (SELECT 'user' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer WHERE c_custkey % 3 = 0)")
+@query("multi_get", f"WITH {EV}, {NEW} SELECT key, seq, value FROM VIS WHERE key IN (SELECT 'user' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer)")
 def multi_get(s, d):
-    keys = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0").select(F.concat(F.lit("user"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key"))
+    keys = s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("user"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key"))
     return _out(visibility.multi_get(ev(s, d), keys))
 
 
@@ -351,19 +353,14 @@ def max_next_level_overlap(s, d):
     return files.next_level_overlap(f.withColumn("largest", F.when(F.col("level") == 1, wider).otherwise(F.col("largest"))))
 
 
-@query("repair_metadata", f"WITH {OR}, {FM} SELECT number, smallest, largest, bytes, entries, max_seq FROM FM")
-def repair_metadata(s, d):
-    return file_table(s, d).drop("level")
-
-
 @query("manifest_fold", f"WITH {OR}, {FM} SELECT number, level FROM FM WHERE number NOT IN (1, 3) UNION ALL SELECT number + 100, level + 1 FROM FM WHERE number IN (1, 3)")
 def manifest_fold(s, d):
-    f = file_table(s, d).select("number", "level")
-    edits = f.withColumn("version", F.lit(1)).withColumn("change", F.lit("add")).unionByName(
-        f.where("number in (1, 3)").withColumn("version", F.lit(2)).withColumn("change", F.lit("drop"))
-    ).unionByName(f.where("number in (1, 3)").select((F.col("number") + 100).alias("number"), (F.col("level") + 1).alias("level")).withColumn("version", F.lit(2)).withColumn("change", F.lit("add")))
-    last = F.max_by("change", "version")
-    return edits.groupBy("number").agg(last.alias("change"), F.max_by("level", "version").alias("level")).where("change = 'add'").select("number", "level")
+    """A version that adds all files and one that rewrites two of them a level deeper, folded."""
+    made = [DataFile(str(r["number"]), r["level"], r["smallest"], r["largest"], r["bytes"], r["entries"], 1, r["max_seq"]) for r in file_table(s, d).collect()]
+    moved = [f for f in made if f.path in ("1", "3")]
+    edits = [Edit(added=made), Edit(removed=[f.path for f in moved], added=[replace(f, path=str(int(f.path) + 100), level=f.level + 1) for f in moved])]
+    state = fold([Edit.from_json(e.to_json()) for e in edits])
+    return s.createDataFrame([(int(f.path), f.level) for f in state.files.values()], "number int, level int")
 
 
 # -- orders of keys -------------------------------------------------------------
@@ -379,10 +376,10 @@ def custom_comparator_equality(s, d):
     return visibility.newest(log, None, NUMERIC).select("key", "seq", NUMERIC.column(F.col("key")).alias("k"))
 
 
-@query("reverse_comparator", f"WITH {OR} SELECT key, value FROM ORD WHERE reverse(key) >= '5' ORDER BY reverse(key) LIMIT 200")
+@query("reverse_comparator", f"WITH {OR} SELECT key, value FROM ORD WHERE reverse(key) >= '5'")
 def reverse_comparator(s, d):
     text = KeyOrder("reversed-text", F.reverse, lambda k: k[::-1])
-    return ordered.in_order(ordered.key_range(orders(s, d), "5", None, text), text).limit(200).select("key", "value")
+    return ordered.in_order(ordered.key_range(orders(s, d), "5", None, text), text).select("key", "value")
 
 
 # -- functions --------------------------------------------------------------------
@@ -408,9 +405,13 @@ def varint_length(s, d):
     return n.select("n", codecs.varint_length(F.col("n")).alias("bytes"))
 
 
-@query("varint_codec", "SELECT o_orderkey AS n, CAST(o_orderkey AS BIGINT) AS back, upper(CASE WHEN o_orderkey < 128 THEN lpad(to_hex(o_orderkey), 2, '0') WHEN o_orderkey < 16384 THEN lpad(to_hex(o_orderkey % 128 + 128), 2, '0') || lpad(to_hex(o_orderkey // 128), 2, '0') ELSE lpad(to_hex(o_orderkey % 128 + 128), 2, '0') || lpad(to_hex(o_orderkey // 128 % 128 + 128), 2, '0') || lpad(to_hex(o_orderkey // 16384), 2, '0') END) AS encoded FROM orders WHERE o_orderkey < 2097152")
+_VARINT = "CASE " + " ".join(
+    f"WHEN n < {1 << 7 * k} THEN " + " || ".join(f"lpad(to_hex(n // {1 << 7 * i} % 128{' + 128' if i < k - 1 else ''}), 2, '0')" for i in range(k)) for k in range(1, 9)
+) + " ELSE " + " || ".join(f"lpad(to_hex(n // {1 << 7 * i} % 128{' + 128' if i < 8 else ''}), 2, '0')" for i in range(9)) + " END"
+
+
+@query("varint_codec", f"SELECT n, CAST(n AS BIGINT) AS back, upper({_VARINT}) AS encoded FROM (SELECT o_orderkey AS n FROM orders)")
 def varint_codec(s, d):
-    """All orders; the SQL spells out varints of up to 3 bytes and covers keys below 2^21 only."""
     n = F.col("o_orderkey")
     df = s.read.parquet(f"{d}/orders.parquet").select(n.alias("n"), codecs.varint_column(n).alias("raw"))
     return df.select("n", codecs.read_varint_column()(F.col("raw")).cast("long").alias("back"), F.hex("raw").alias("encoded"))
@@ -447,41 +448,58 @@ def escape_string(s, d):
     return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("n"), codecs.escape_column(raw).alias("text"))
 
 
-@query("hash32")
+#: The seeded hash of 10-byte keys: two words of four bytes, then two bytes (SQL of the rule in codecs.hash32).
+_WORD = " + ".join("ascii(substr(key, {at} + %d, 1))::HUGEINT * %d" % (i, 1 << 8 * i) for i in range(4))
+_MUL = f"::HUGEINT * {codecs.HASH_FACTOR} & {codecs.U32}::HUGEINT"
+_HASH_SQL = f"""WITH {OR}, K AS (SELECT key, ({codecs.FILTER_SEED ^ (10 * codecs.HASH_FACTOR & codecs.U32)})::HUGEINT AS h FROM ORD),
+  A AS (SELECT key, (h + {_WORD.format(at=1)}){_MUL} AS h FROM K), A2 AS (SELECT key, xor(h, h >> 16) AS h FROM A),
+  B AS (SELECT key, (h + {_WORD.format(at=5)}){_MUL} AS h FROM A2), B2 AS (SELECT key, xor(h, h >> 16) AS h FROM B),
+  C AS (SELECT key, (h + ascii(substr(key, 9, 1))::HUGEINT + ascii(substr(key, 10, 1))::HUGEINT * 256){_MUL} AS h FROM B2)
+  SELECT key, CAST(xor(h, h >> {codecs.HASH_SHIFT}) AS BIGINT) AS hash FROM C"""
+
+
+@query("hash32", _HASH_SQL)
 def hash32(s, d):
     return orders(s, d).select("key", codecs.hash32_column()(F.col("key").cast("binary")).alias("hash"))
 
 
-@query("crc32c")
+_CRC_BIT = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, {codecs.CASTAGNOLI} * (x & 1)))"
+
+
+@query("crc32c", f"WITH {OR} SELECT key, CAST(xor(list_reduce(list_prepend({codecs.U32}::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {_CRC_BIT}), {codecs.U32}) AS BIGINT) AS crc FROM ORD")
 def crc32c(s, d):
     return orders(s, d).select("key", codecs.crc32c_column(F.col("key").cast("binary")).alias("crc"))
 
 
-@query("short_separator")
+_DIFF = "coalesce(list_position(list_transform(range(1, 11), lambda i: substr(key, i, 1) <> substr(next_key, i, 1)), TRUE), 0)"
+
+
+@query(
+    "short_separator",
+    f"""WITH {OR}, N AS (SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM ORD), P AS (SELECT *, CAST({_DIFF} AS INT) AS n FROM N WHERE next_key IS NOT NULL)
+    SELECT key, next_key, CASE WHEN n = 0 OR ascii(substr(key, n, 1)) + 1 >= ascii(substr(next_key, n, 1)) THEN key ELSE substr(key, 1, n - 1) || chr(ascii(substr(key, n, 1)) + 1) END AS separator FROM P""",
+)
 def short_separator(s, d):
     pairs = ordered.neighbours(orders(s, d).select("key"), 16).where("next_key is not null")
-    return pairs.select("key", "next_key", codecs.short_separator_column(F.col("key").cast("binary"), F.col("next_key").cast("binary")).alias("separator"))
+    return pairs.select("key", "next_key", codecs.short_separator_column(F.col("key").cast("binary"), F.col("next_key").cast("binary")).cast("string").alias("separator"))
 
 
-@query("short_successor")
+@query("short_successor", f"WITH {OR} SELECT key, chr(ascii(substr(key, 1, 1)) + 1) AS successor FROM ORD")
 def short_successor(s, d):
-    return orders(s, d).select("key", codecs.short_successor_column(F.col("key").cast("binary")).alias("successor"))
+    return orders(s, d).select("key", codecs.short_successor_column(F.col("key").cast("binary")).cast("string").alias("successor"))
 
 
 @query("bloom_no_false_negative", f"WITH {OR}, {FM} SELECT number, key, TRUE AS hit FROM FMR")
 def bloom_no_false_negative(s, d):
     rows = sized(s, d).select("number", "key")
-    built = bloom.filters(rows, "number").select(F.col("number").alias("n2"), "filter")
-    return rows.join(built, F.col("number") == F.col("n2")).select("number", "key", bloom.may_contain_column()(F.col("filter"), F.col("key")).alias("hit"))
+    return bloom.probe(rows, bloom.filters(rows, "number"), "number")
 
 
 @query("bloom_false_positives", "SELECT TRUE AS rare")
 def bloom_false_positives(s, d):
     rows = sized(s, d).select("number", "key")
-    built = bloom.filters(rows, "number").select(F.col("number").alias("n2"), "filter")
-    misses = rows.withColumn("key", F.concat("key", F.lit("x"))).join(built, F.col("number") == F.col("n2"))
-    hits = misses.select(bloom.may_contain_column()(F.col("filter"), F.col("key")).cast("int").alias("hit"))
-    return hits.agg((F.avg("hit") <= 0.02).alias("rare"))
+    misses = bloom.probe(rows.withColumn("key", F.concat("key", F.lit("x"))), bloom.filters(rows, "number"), "number")
+    return misses.agg((F.avg(F.col("hit").cast("int")) <= 0.02).alias("rare"))
 
 
 _BUCKETS = " ".join(f"WHEN value < {x!r} THEN {i}" for i, x in enumerate(histogram.LIMITS[:-1]))
@@ -494,9 +512,20 @@ def latency_histogram(s, d):
     return histogram.histogram(s.read.parquet(f"{d}/events.parquet"), "value")
 
 
-@query("latency_summary")
+def _percentile_sql(p: float) -> str:
+    return f"least(most, greatest(least, (SELECT lower + (upper - lower) * (total * {p} / 100 - (upto - n)) / n FROM Q WHERE upto >= total * {p} / 100 AND upto - n < total * {p} / 100))) AS p{p:g}"
+
+
+@query(
+    "latency_summary",
+    f"""WITH B AS (SELECT CAST(CASE {_BUCKETS} ELSE {len(histogram.LIMITS) - 1} END AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1),
+    Q AS (SELECT *, {_LOWER} AS lower, {_UPPER} AS upper, CAST(sum(n) OVER (ORDER BY bucket) AS DOUBLE) AS upto, CAST(sum(n) OVER () AS DOUBLE) AS total FROM B),
+    S AS (SELECT count(value) AS n, avg(value) AS average, stddev_pop(value) AS deviation, min(value) AS least, max(value) AS most FROM events)
+    SELECT n, round(average, 6) AS average, round(deviation, 6) AS deviation, least, most, {", ".join(_percentile_sql(p) for p in (50.0, 90.0, 99.0))} FROM S""",
+)
 def latency_summary(s, d):
-    return histogram.summary(s.read.parquet(f"{d}/events.parquet"), "value")
+    got = histogram.summary(s.read.parquet(f"{d}/events.parquet"), "value")
+    return got.withColumns({c: F.round(c, 6) for c in ("average", "deviation")})
 
 
 @query("dump_entries", f"WITH {EV} SELECT CASE WHEN op = 0 THEN '''' || key || ''' @ ' || CAST(seq AS VARCHAR) || ' : del' ELSE '''' || key || ''' @ ' || CAST(seq AS VARCHAR) || ' : put => ''v' || CAST(seq AS VARCHAR) || '''' END AS line FROM EV")
@@ -514,13 +543,16 @@ def _fresh(s: SparkSession) -> str:
     return f"{scratch(s)}/table-{uuid.uuid4().hex}"
 
 
-def _loaded(s: SparkSession, d: str, parts: int = 2) -> VersionedTable:
-    """The event log written to a new table in batches by arrival."""
+def _loaded(s: SparkSession, d: str, parts: int = 2, stop: int | None = None):
+    """The event log written to a new table in batches by arrival; with ``stop``, so many of them, and the next one unwritten."""
     table = VersionedTable.open(s, _fresh(s), Options(create_if_missing=True))
     log = ev(s, d).select(F.col("seq").alias("idx"), F.col("key").cast("binary").alias("key"), "op", F.when(F.col("op") == 1, F.col("seq").cast("string").cast("binary")).alias("value"))
     top = log.agg(F.max("idx")).first()[0]
     for i in range(parts):
-        table.write_frame(log.where((F.col("idx") > top * i // parts) & (F.col("idx") <= top * (i + 1) // parts)))
+        own = log.where((F.col("idx") > top * i // parts) & (F.col("idx") <= top * (i + 1) // parts))
+        if i == stop:
+            return table, own
+        table.write_frame(own)
     return table
 
 
@@ -555,6 +587,51 @@ def table_repair_scan(s, d):
     return _text(VersionedTable.open(s, table.path).scan())
 
 
+@query("repair_metadata", f"WITH {EV} SELECT count(*) AS entries, CAST(min(key) AS VARCHAR) AS smallest, CAST(max(key) AS VARCHAR) AS largest, CAST(max(seq) AS BIGINT) AS max_seq FROM EV")
+def repair_metadata(s, d):
+    """What repair finds out about the files, after the manifest is gone."""
+    table = _loaded(s, d)
+    table.close()
+    table.storage.delete("manifest")
+    repair(s, table.path)
+    found = list(VersionedTable.open(s, table.path).state().files.values())
+    rows = s.createDataFrame([(f.entries, f.smallest.decode(), f.largest.decode(), f.max_seq) for f in found], "entries long, smallest string, largest string, max_seq long")
+    return rows.agg(F.sum("entries").alias("entries"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.max("max_seq").alias("max_seq"))
+
+
+@query("table_snapshots", f"WITH {EV}, {NEW}, H AS (SELECT max(seq) // 2 AS half FROM EV) SELECT 'old' AS snapshot, key, seq FROM (SELECT * FROM EV WHERE seq <= (SELECT half FROM H) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1 UNION ALL SELECT 'new', key, seq FROM VIS")
+def table_snapshots(s, d):
+    """A snapshot taken between two batches, read after the table was compacted; another one released."""
+    table, rest = _loaded(s, d, 2, stop=1)
+    old, gone = table.snapshot(), table.snapshot()
+    table.release(gone)
+    table.write_frame(rest)
+    table.compact_range()
+    return _text(table.scan(snapshot=old)).withColumn("snapshot", F.lit("old")).unionByName(_text(table.scan()).withColumn("snapshot", F.lit("new")))
+
+
+@query("table_recovery", f"WITH {EV} SELECT key, CAST(max(seq) AS BIGINT) AS seq FROM EV WHERE op = 1 GROUP BY key")
+def table_recovery(s, d):
+    """The newest put of each key by single writes, read by a handle that was opened after the first was lost."""
+    table = VersionedTable.open(s, _fresh(s), Options(create_if_missing=True))
+    batch = WriteBatch()
+    for r in ev(s, d).where("op = 1").groupBy("key").agg(F.max("seq").alias("seq")).orderBy("key").collect():  # a row for each user
+        batch.put(r["key"].encode(), str(r["seq"]).encode())
+    table.write(batch, sync=True)
+    path = table.path
+    del table
+    return _text(VersionedTable.open(s, path).scan())
+
+
+@query(
+    "key_offsets",
+    f"WITH {OR}, {FM}, K AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in ("0000000100", "0000000990", "5", "9")) + ") AS t(key)) SELECT K.key, CAST(coalesce((SELECT sum(size) FROM FMR WHERE FMR.key < K.key), 0) AS BIGINT) AS start_offset FROM K",
+)
+def key_offsets(s, d):
+    """The bytes before each of some keys."""
+    return files.approximate_sizes(sized(s, d), [("", k) for k in ("0000000100", "0000000990", "5", "9")], F.col("size")).select(F.col("limit").alias("key"), F.col("bytes").alias("start_offset"))
+
+
 @query("reversed_bytes_scan", f"WITH {OR} SELECT key, value FROM ORD WHERE reverse(key) >= '70' AND reverse(key) < '72'")
 def reversed_bytes_scan(s, d):
     rows = orders(s, d).withColumn("key", F.col("key").cast("binary"))
