@@ -44,11 +44,20 @@ def test_long_unsplit_texts(text):
     assert NARROW.encode_long(mixed) == plain(mixed)
 
 
-def test_settled_characters_are_encoded_alike():
-    assert WIDE.fast is not None
+def test_settled_characters_are_split_alike():
+    assert WIDE.by_pattern
     for c in [*map(chr, range(0x250)), *map(chr, range(0x2000, 0x2065))]:
         for text in (c, c * 2, f"a{c}b", f"1{c}2", f" {c} ", f"!{c}{c}?{c}\n{c}"):
-            assert not bpe.UNSETTLED.search(text) and WIDE.fast(text) == plain(text)
+            assert not bpe.UNSETTLED.search(text) and WIDE._split(text).ids == plain(text)
+
+
+def test_ordinary_documents_are_trees(monkeypatch):
+    """A text of some thousand characters is joined from leaves; none is encoded whole."""
+    coder, joins = bpe.TreeBPE(SPEC), []
+    join = coder.join
+    monkeypatch.setattr(coder, "join", lambda a, b: joins.append(1) or join(a, b))
+    text = "Some words, it's a text of 12 parts.\n" * 300
+    assert coder.encode_batch([text]) == [plain(text)] and len(joins) == -(-len(text) // bpe.LEAF) - 1 > 2
 
 
 def test_query(spark, table, docs):
@@ -63,4 +72,4 @@ def test_query(spark, table, docs):
 def test_ids_and_text(docs):
     df = docs([(1, "some text"), (2, None)]).withColumn("ids", F.lit("clash"))
     got = {r["doc_id"]: r for r in bpe.encode_column(df, SPEC, "text", decoded_col="back").collect()}
-    assert got[1]["ids"] == plain("some text") and got[1]["back"] == got[1]["text"] and got[2]["ids"] == [] and got[2]["back"] == ""
+    assert got[1]["_ids"] == plain("some text") and got[1]["ids"] == "clash" and got[1]["back"] == got[1]["text"] and got[2]["_ids"] == [] and got[2]["back"] == ""

@@ -12,42 +12,48 @@ tokens of both sides exactly. Two facts make the agreement exact:
   if each pair of neighbours is. A window whose first and last token equal the
   sides' tokens joins three valid sequences without a new pair.
 
-Texts not longer than a leaf are encoded whole; those of characters whose
-classes are the same in every edition of Unicode by a second, faster library
-with the same merges, all others by the tokenizer itself. Special strings in a
-text become their special token, as the tokenizer itself does.
+All texts take this way; one not longer than a leaf is a tree of one leaf. Where
+the file's pre-tokenizer is the plain byte-level one, and a text has only
+characters whose classes are the same in every edition of Unicode, pre-tokens
+are found by its pattern and each distinct one is merged once by the file's
+model; other leaves and windows go through the tokenizer. Special strings in a
+text become their special token, as in the tokenizer.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty
 text; repeated rows give repeated rows; an empty table gives no rows; columns
-of the input pass through unless an output name clashes, which then replaces it.
+of the input pass through, and output names get underscores in front where they
+clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.common import give_back, read_table
+from tidemark.llm.common import free_name, give_back, read_table
 
 #: Characters of a leaf.
-LEAF = 32768
+LEAF = 2048
 #: Boundaries nearer to a cut than this (bytes) may depend on what follows it:
 #: a scan looks 3 characters ahead, a special string is at most 13 characters.
 MARGIN = 64
-WINDOW = 256
+WINDOW = 128
 #: A crossing pre-token up to this length is encoded again as a whole.
 SHORT_PIECE = 4096
 BATCH_CHARS = 400_000
 #: A character outside these ranges may be classed differently by another edition of Unicode.
-UNSETTLED = re.compile("[^\\x00-\u024f\u2000-\u2064]")
-#: The split pattern of byte-level pre-tokenizers (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+UNSETTLED = regex.compile("[^\\x00-\u024f\u2000-\u2064]")
+#: The split pattern of byte-level pre-tokenizers (fixed value), with white space as Unicode has it.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+#: Pre-tokens that are remembered, and the longest of them in characters.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,12 +64,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoded:
-    """Token ids, with flags for those that start a pre-token, and the bytes they stand for."""
+    """Token ids, with flags for those that start a pre-token; ``plain`` if the pattern may split the text they stand for."""
 
-    __slots__ = ("ids", "starts")
+    __slots__ = ("ids", "plain", "starts")
 
-    def __init__(self, ids: list[int], starts: list[bool]):
-        self.ids, self.starts = ids, starts
+    def __init__(self, ids: list[int], starts: list[bool], plain: bool = False):
+        self.ids, self.starts, self.plain = ids, starts, plain
 
 
 class TreeBPE:
@@ -82,35 +88,22 @@ class TreeBPE:
         for token, i in vocab.items():
             self.bytes_of[i] = token.encode() if i in added else bytes(alphabet[c] for c in token)
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.fast = self._fast(spec, added)
-
-    def _fast(self, spec: str, added: dict):
-        """An encoder with the same merges, if the ids of the vocabulary are in the order of the merges."""
-        import tiktoken
-
-        model = json.loads(spec)["model"]
-        plain = {t: i for t, i in model["vocab"].items() if i not in added}
-        in_order = all(plain.get(a + b) == 256 + k for k, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]))
-        if not in_order or len(plain) != 256 + len(model["merges"]):
-            return None
-        ranks = {self.bytes_of[i]: i for i in plain.values()}
-        special = {t.content: i for i, t in added.items()}
-        core = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe
-        names = set(special)
-        return lambda text: core.encode(text, names)
+        self.added = set(added)
+        spec_ = json.loads(spec)
+        before = spec_.get("pre_tokenizer") or {}
+        self.by_pattern = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec_.get("normalizer")
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in added.values()) or r"(?!)")
+        self.known: dict[str, tuple[list[int], list[bool]]] = {}
+        #: Bytes of each token, as numbers.
+        self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
 
     # -- leaves ---------------------------------------------------------------
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of each text: all leaves of some texts are encoded together, then each text's are joined."""
         out: list = [None] * len(texts)
         run: list[int] = []
         chars = 0
         for i, t in enumerate(texts):
-            if len(t) > self.leaf:
-                out[i] = self.encode_long(t)
-                continue
-            if self.fast and not UNSETTLED.search(t):
-                out[i] = self.fast(t)
-                continue
             run.append(i)
             chars += len(t)
             if chars >= BATCH_CHARS:
@@ -120,29 +113,49 @@ class TreeBPE:
         return out
 
     def _flush(self, texts: list[str], run: list[int], out: list) -> None:
-        if run:
-            for i, e in zip(run, self.tok.encode_batch([texts[i] for i in run], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+        leaves = [[texts[i][k : k + self.leaf] for k in range(0, len(texts[i]), self.leaf)] for i in run]
+        plain = [self.by_pattern and not UNSETTLED.search(texts[i]) and not self.special.search(texts[i]) for i in run]
+        coded = iter(self.tok.encode_batch([x for own, p in zip(leaves, plain, strict=True) if not p for x in own], add_special_tokens=False))
+        for i, own, p in zip(run, leaves, plain, strict=True):
+            out[i] = self.concatenate([self._split(x) if p else self._of(next(coded)) for x in own]).ids if own else []
+
+    def _split(self, text: str) -> Encoded:
+        """A plain text: pre-tokens by the pattern, tokens of each from memory or from the model."""
+        ids, starts, known = [], [], self.known
+        for w in PATTERN.findall(text):
+            got = known.get(w) or self._merge(w)
+            ids += got[0]
+            starts += got[1]
+        return Encoded(ids, starts, True)
+
+    def _merge(self, word: str) -> tuple[list[int], list[bool]]:
+        ids = self._bpe(word.encode())
+        got = ids, [True] + [False] * (len(ids) - 1)
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = got
+        return got
 
     def encode_long(self, text: str) -> list[int]:
-        leaves = [text[i : i + self.leaf] for i in range(0, len(text), self.leaf)]
-        level = [self._of(e) for e in self.tok.encode_batch(leaves, add_special_tokens=False)]
+        return self.encode_batch([text])[0]
+
+    def concatenate(self, level: list[Encoded]) -> Encoded:
+        """Neighbours are joined pairwise until one is left."""
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0].ids
+        return level[0]
 
     def _of(self, e) -> Encoded:
         words, ids = e.word_ids, e.ids
-        starts = [True] * len(ids)
-        for i in range(1, len(ids)):
-            # An added token has a word of its own; word numbers start anew after it.
-            starts[i] = words[i] is None or words[i] != words[i - 1]
-        added = self.tok.get_added_tokens_decoder()
-        for i, x in enumerate(ids):
-            if x in added:
-                starts[i] = True
-                if i + 1 < len(ids):
-                    starts[i + 1] = True
+        # An added token has a word of its own; word numbers start anew after it.
+        starts = [True, *[w is None or w != before for before, w in zip(words, words[1:], strict=False)]][: len(ids)]
+        if not self.added.isdisjoint(ids):
+            for i, x in enumerate(ids):
+                if x in self.added:
+                    starts[i] = True
+                    if i + 1 < len(ids):
+                        starts[i + 1] = True
         return Encoded(ids, starts)
 
     def _encode(self, raw: bytes) -> Encoded:
@@ -159,18 +172,17 @@ class TreeBPE:
             return a if a.ids else b
         left = self._left_anchor(a)
         head = self._bytes(a.ids[left:])
-        ends_b, at = [], 0
-        for i in b.ids:
-            at += len(self.bytes_of[i])
-            ends_b.append(at)
-        begins = {0 if k == 0 else ends_b[k - 1]: k for k in range(len(b.ids)) if b.starts[k]}
-        whole = self._bytes(b.ids)
         size = self.window
         long_piece = False
         while True:
+            # As many tokens of b as the window needs.
+            count = min(len(b.ids), size + 4)
+            ends_b = np.cumsum(self.sizes[b.ids[:count]])
+            begins = {0: 0} | {int(ends_b[k - 1]): k for k in range(1, count) if b.starts[k]}
+            whole = self._bytes(b.ids[:count])
             cut = self._char_cut(whole, size)
-            got = self._pieces(head + whole[:cut], long_piece)
-            if cut >= len(whole):
+            got = self._pieces(head + whole[:cut], long_piece, a.plain)
+            if cut >= len(whole) and count == len(b.ids):
                 return self._assemble(a, left, got, b, len(b.ids))
             safe, pos = len(head) + cut - self.margin, 0
             found = None
@@ -202,8 +214,11 @@ class TreeBPE:
             size += 1
         return min(size, len(raw))
 
-    def _pieces(self, raw: bytes, long_piece: bool) -> list[tuple[int, list[int] | None]]:
+    def _pieces(self, raw: bytes, long_piece: bool, plain: bool) -> list[tuple[int, list[int] | None]]:
         """(bytes, ids) of each pre-token of ``raw``; ids are left open (None) where only the place is asked for."""
+        if plain:
+            words = PATTERN.findall(raw.decode("utf-8"))
+            return [(len(w.encode()), None if long_piece else (self.known.get(w) or self._merge(w))[0]) for w in words]
         if not long_piece:
             e = self._encode(raw)
             out: list[tuple[int, list[int]]] = []
@@ -234,7 +249,7 @@ class TreeBPE:
         for _, got in pieces:
             ids.extend(got)
             starts.extend([True] + [False] * (len(got) - 1))
-        return Encoded(ids + b.ids[upto:], starts + b.starts[upto:])
+        return Encoded(ids + b.ids[upto:], starts + b.starts[upto:], a.plain)
 
     def _fill(self, mid: list[int], seam: int, pieces: list) -> list:
         """Ids for the pre-tokens of a window that spans ``mid``, whose sides meet before token ``seam``."""
@@ -279,14 +294,12 @@ class TreeBPE:
 def encode_column(docs: DataFrame, spec: str, text_col: str, *, ids_col: str | None = "ids", decoded_col: str | None = None, digests: bool = False, leaf: int = LEAF) -> DataFrame:
     """``docs`` with token ids (array of int), the decoded text, or n_tokens and digests of both."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file
-    fields = [(ids_col, T.ArrayType(T.IntegerType())), (decoded_col, T.StringType())]
-    fields = [(n, t) for n, t in fields if n]
-    if digests:
-        fields += [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    names = {n for n, _ in fields}
-    keep = [c for c in docs.columns if c not in names]
-    carried = [c for c in keep if c != text_col or not digests]
-    schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(n, t) for n, t in fields])
+    made_here = {"ids": ids_col, "decoded": decoded_col} | ({n: n for n in ("n_tokens", "ids_sha256", "decoded_sha256")} if digests else {})
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    fields = [(n, free_name(docs, c), kinds[n]) for n, c in made_here.items() if c]
+    names = {n for n, _, _ in fields}
+    carried = [c for c in docs.columns if c != text_col or not digests]
+    schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(c, t) for _, c, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Made for the task and dropped with it: workers live on, and a vocabulary is large.
@@ -302,24 +315,25 @@ def encode_column(docs: DataFrame, spec: str, text_col: str, *, ids_col: str | N
                 made: dict[str, list] = {n: [] for n in names}
                 for t, ids in zip(unique, coded, strict=True):
                     text = bpe.decode(ids) if decoded_col or digests else None
-                    if ids_col:
-                        made[ids_col].append(ids)
-                    if decoded_col:
-                        made[decoded_col].append(text)
+                    one = {"ids": ids, "decoded": text}
                     if digests:
-                        made["n_tokens"].append(len(ids))
-                        made["ids_sha256"].append(hashlib.sha256(",".join([bpe.decimal[i] for i in ids]).encode()).hexdigest())
-                        made["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+                        one |= {
+                            "n_tokens": len(ids),
+                            "ids_sha256": hashlib.sha256(",".join([bpe.decimal[i] for i in ids]).encode()).hexdigest(),
+                            "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(),
+                        }
+                    for n in names:
+                        made[n].append(one[n])
                 pick = pa.array([where[t] for t in texts], pa.int32())
-                types = {"n_tokens": pa.int64(), ids_col: pa.list_(pa.int32())}
+                types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in carried] + [pa.array(made[n], types.get(n, pa.string())).take(pick) for n, _ in fields],
-                    names=carried + [n for n, _ in fields],
+                    [part.column(part.schema.get_field_index(c)) for c in carried] + [pa.array(made[n], types.get(n, pa.string())).take(pick) for n, _, _ in fields],
+                    names=carried + [c for _, c, _ in fields],
                 )
         del bpe
         give_back()
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def tokenizer_spec(path: str) -> str:
