@@ -1,18 +1,20 @@
 """Sharding by longest-processing-time scheduling.
 
-Rows of one group (equal texts) must share a shard. Groups of at least
-total / ``units`` bytes are scheduled one by one; there are at most ``units``
-of them. Smaller groups are first packed by a hash of their key into ``units``
-bins, which keep their groups whole. Large groups and bins, sorted by size,
-then go to the least-loaded shard through a heap. The driver so holds at most
-2 x ``units`` numbers whatever the input.
+Rows of one group (equal texts) must share a shard. All groups, sorted by size,
+go to the least-loaded shard through a heap. Groups of one size are alike to the
+schedule, so the driver needs no more of them than their number: it schedules
+(size, count) classes, whole turns of equal groups at once, and says for each
+class which ranks go to which shard. Groups are ranked within their class on the
+cluster. Distinct sizes that sum to at most ``total`` bytes number at most
+sqrt(2 x total), 14 million for 100 TB; texts of up to 1 MB with few copies have
+far fewer.
 
 A group that is larger than a shard's share makes its shard the largest: no
 placement that keeps the group whole does better.
 
 Defined cases: a null text weighs 1 byte like an empty one and shares its
-group; equal sizes go by key; repeated rows stay together; an empty table
-gives no rows; columns of the input pass through.
+group; equal sizes go by key; repeated rows stay together and are numbered in
+any order; an empty table gives no rows; columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -21,43 +23,47 @@ import heapq
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.common import cut, read_table, sealed
 
-UNITS = 16384
+#: Classes up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 16384
 
 
-def lpt(items: list[tuple[int, int]], n_shards: int) -> dict[int, int]:
-    """(unit, size) pairs -> shard of each unit: largest first, each to the least-loaded shard."""
+def lpt(classes: list[tuple[int, int]], n_shards: int) -> dict[int, list[tuple[int, int]]]:
+    """(size, count) classes -> for each size, runs (end rank, shard) of its groups: largest first, each to the least-loaded shard."""
     heap = [(0, shard) for shard in range(n_shards)]
-    placed = {}
-    for unit, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        placed[unit] = shard
-        heapq.heappush(heap, (load + size, shard))
+    placed: dict[int, list[tuple[int, int]]] = {}
+    for size, count in sorted(classes, reverse=True):
+        runs, at = placed.setdefault(size, []), 0
+        while at < count:
+            # The lowest shards, within a size of each other, take turns up to the next one's load.
+            low = [heapq.heappop(heap)]
+            while heap and heap[0][0] < low[0][0] + size:
+                low.append(heapq.heappop(heap))
+            turns = (count - at) // len(low)
+            if heap:
+                turns = min(turns, (heap[0][0] - low[-1][0]) // size)
+            left = 0 if turns else 1
+            for i, (load, shard) in enumerate(low):
+                n = turns + (i < left)
+                if n:
+                    at += n
+                    runs.append((at, shard))
+                heapq.heappush(heap, (load + n * size, shard))
     return placed
 
 
-def assign_shards(rows: DataFrame, key: str, size: str, n_shards: int, units: int = UNITS) -> DataFrame:
-    """Adds ``shard`` to ``rows`` (which have a long group ``key`` and a long ``size``)."""
+def assign_shards(rows: DataFrame, key: str, size: str, n_shards: int) -> DataFrame:
+    """Adds ``shard`` to ``rows`` (which have a long group ``key`` and a long ``size`` of 1 or more)."""
     spark = rows.sparkSession
     groups = cut(rows.groupBy(F.col(key).alias("unit_key")).agg(F.sum(size).alias("unit_size")))
-    total = groups.agg(F.sum("unit_size")).first()[0] or 0
-    least = max(1, -(-total // units))
-    large = groups.where(F.col("unit_size") >= least)
-    bins = groups.where(F.col("unit_size") < least).groupBy(F.pmod(F.xxhash64("unit_key"), F.lit(units)).cast("long").alias("bin")).agg(F.sum("unit_size").alias("s"))
-    # At most ``units`` rows each: large groups are total / units bytes or more, bins are numbered.
-    alone = [(r[0], r[1]) for r in large.collect()]
-    packed = [(r[0], r[1]) for r in bins.collect()]
-    items = [(i, s) for i, (_, s) in enumerate(sorted(alone))] + [(units + b, s) for b, s in packed]
-    placed = lpt(items, n_shards)
-    where = T.StructType([T.StructField("u", T.LongType()), T.StructField("shard", T.IntegerType())])
-    for_large = spark.createDataFrame([(k, placed[i]) for i, (k, _) in enumerate(sorted(alone))], T.StructType([T.StructField("unit_key", T.LongType()), T.StructField("large_shard", T.IntegerType())]))
-    for_bins = spark.createDataFrame([(b, placed[units + b]) for b, _ in packed], where).withColumnRenamed("shard", "bin_shard")
-    keyed = rows.withColumn("unit_bin", F.pmod(F.xxhash64(F.col(key)), F.lit(units)).cast("long"))
-    keyed = keyed.join(F.broadcast(for_large), keyed[key] == F.col("unit_key"), "left").join(F.broadcast(for_bins), F.col("unit_bin") == F.col("u"), "left")
-    return keyed.withColumn("shard", F.coalesce("large_shard", "bin_shard")).drop("unit_key", "large_shard", "unit_bin", "u", "bin_shard")
+    placed = lpt([(r[0], r[1]) for r in groups.groupBy("unit_size").count().collect()], n_shards)
+    table = spark.createDataFrame([(s, [e for e, _ in runs], [x for _, x in runs]) for s, runs in placed.items()], "class_size long, run_ends array<long>, run_shards array<int>")
+    ranked = number_rows(groups, "unit_size", ["unit_key"], "unit_rank")
+    dealt = ranked.join(F.broadcast(table) if len(placed) <= BROADCAST_ROWS else table, F.col("unit_size") == F.col("class_size"))
+    shard = F.get(F.col("run_shards"), F.size(F.filter("run_ends", lambda e: e <= F.col("unit_rank"))))
+    return rows.join(dealt.select("unit_key", shard.alias("shard")), F.col(key) == F.col("unit_key")).drop("unit_key")
 
 
 def number_rows(rows: DataFrame, group: str, order: list[str], name: str, per_part: int = 50_000) -> DataFrame:
@@ -75,12 +81,12 @@ def number_rows(rows: DataFrame, group: str, order: list[str], name: str, per_pa
     return numbered.join(starts, (F.col(group) == F.col("g2")) & (F.col("cell") == F.col("c2"))).withColumn(name, (F.col("start") + F.col("rn")).cast("long")).drop("cell", "g2", "c2", "start", "rn")
 
 
-def shard(docs: DataFrame, n_shards: int, *, text_col: str = "text", units: int = UNITS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the shard of each row; equal texts share one. Ready for ``write.partitionBy("shard")``."""
     inner, name, restore = sealed(docs)
     text = F.coalesce(F.col(name(text_col)), F.lit(""))
     rows = inner.withColumns({"group_key": F.xxhash64(text), "size": (F.octet_length(text) + 1).cast("long")})
-    return restore(assign_shards(rows, "group_key", "size", n_shards, units).drop("group_key", "size"))
+    return restore(assign_shards(rows, "group_key", "size", n_shards).drop("group_key", "size"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
