@@ -5,11 +5,12 @@ Training counts hashed byte n-grams of every labelled text for each language
 from each). Prediction treats a document as a mixture: expectation-maximisation
 estimates the proportions of the languages from the n-gram likelihoods, and the
 language set is the one of best likelihood less a penalty for each language.
-Sets grow by the order of the proportions, to any size, until a bound from the
-gradient tells that no larger set can win; most documents need one run of EM.
+Sets grow by forward selection among all languages, to any size: the language of
+the steepest gradient joins, until the penalty wins or a bound from the gradient
+tells that it would; most documents stop at one language without a run of EM.
 
-The model has ``MAX_LANGUAGES`` x ``BUCKETS`` numbers at most, which bounds what
-is broadcast; more languages raise an error.
+The model has ``NUMBERS`` numbers at most for up to ``NUMBERS`` / 64 languages,
+which bounds what is broadcast: from 128 languages on, buckets are folded.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing could be learned. Null languages are not learned
@@ -30,11 +31,13 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import give_back, read_table, sealed
 
-#: Bytes of an n-gram, hash buckets, languages at most.
+#: Bytes of an n-gram, hash buckets, numbers in a model.
 GRAM = 4
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-MAX_LANGUAGES = 128
+NUMBERS, LEAST_BITS = 1 << 22, 6
+#: Languages that a task counts before it sends their counts on, and numbers of EM that it holds at once.
+TASK_LANGUAGES, EM_NUMBERS = 64, 1 << 22
 #: Passes of EM.
 PASSES = 12
 #: A document whose main language has a smaller share is rejected by ``keep_known``.
@@ -55,9 +58,9 @@ def gram_buckets(text: str) -> np.ndarray:
     return (code * np.uint32(2654435761) >> np.uint32(32 - BUCKET_BITS)).astype(np.uint16)
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets in order and how often each occurs."""
-    s = np.sort(gram_buckets(text), kind="stable")
+def gram_counts(text: str, folded: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets, without their last ``folded`` bits, in order and how often each occurs."""
+    s = np.sort(gram_buckets(text) >> np.uint16(folded), kind="stable")
     if not len(s):
         return s, np.empty(0, np.float32)
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -69,42 +72,50 @@ class Model:
     languages: list[str]
     #: languages x buckets: probability of each bucket.
     p: np.ndarray
+    #: Bits by which buckets are folded.
+    folded: int = 0
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts over all labelled rows of ``docs``."""
 
+    def rows_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, c in sums.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in sums:
+                    if len(sums) >= TASK_LANGUAGES:
+                        yield from rows_of(sums)
+                        sums = {}
                     sums[lang] = np.zeros(BUCKETS, np.int64)
-                    if len(sums) > MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
                 sums[lang] += np.bincount(gram_buckets(text), minlength=BUCKETS)
         give_back()
-        for lang, c in sums.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
+        yield from rows_of(sums)
 
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = found.toArrow()  # languages x buckets rows at most
-    langs = sorted(set(table.column("lang").unique().to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((len(langs), BUCKETS))
+    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
+    folded = 0
+    while len(langs) << BUCKET_BITS - folded > NUMBERS and BUCKET_BITS - folded > LEAST_BITS:
+        folded += 1
+    buckets = BUCKETS >> folded
+    found = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", F.shiftright("bucket", folded).alias("bucket")).agg(F.sum("n").alias("n"))
+    table = found.toArrow()  # NUMBERS rows at most
+    counts = np.zeros((len(langs), buckets))
     if langs:
         row = {x: i for i, x in enumerate(langs)}
         who = np.array([row[x] for x in table.column("lang").to_pylist()])
         counts[who, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-    return Model(langs, p.astype(np.float32))
+    p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * buckets)
+    return Model(langs, p.astype(np.float32), folded)
 
 
 def _em(p: np.ndarray, c: np.ndarray, starts: np.ndarray, lens: np.ndarray, pi: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM over many documents at once. p: languages x n-grams, pi: languages x documents. Proportions, log-likelihoods, gaps to the maximum."""
+    """EM over many documents at once. p: languages x n-grams, pi: languages x documents. Proportions, log-likelihoods, gradients less the evidence."""
     total = np.add.reduceat(c, starts)
     for step in range(passes + 1):
         mix = np.zeros_like(c)
@@ -114,7 +125,7 @@ def _em(p: np.ndarray, c: np.ndarray, starts: np.ndarray, lens: np.ndarray, pi:
         grow = np.stack([np.add.reduceat(p[k] * r, starts) for k in range(len(p))])
         if step == passes:
             ll = np.add.reduceat(c * np.log(mix), starts)
-            return pi, ll, grow.max(axis=0) - total
+            return pi, ll, grow - total
         pi = pi * grow / total
         pi /= pi.sum(axis=0)
     raise AssertionError
@@ -139,30 +150,57 @@ def infer(model: Model, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
         return best
     penalty = np.log(np.maximum(np.add.reduceat(c, starts), 2)) + 1
     score = single.max(axis=0).astype(np.float64)
-    pi, ll, gap = _em(p, c, starts, lens, np.full((n_lang, n_doc), 1 / n_lang, np.float32), PASSES)
-    top = ll + gap
-    rank = np.argsort(-pi, axis=0, kind="stable")
+    open_docs = np.arange(n_doc)
     for size in range(2, n_lang + 1):
-        open_docs = np.flatnonzero(top - score > (size - 1) * penalty)
-        if not len(open_docs):
+        pick = np.concatenate([np.arange(starts[d], starts[d] + lens[d]) for d in open_docs]) if size > 2 else slice(None)
+        some_p, some_c, some_lens = p[:, pick], c[pick], lens[open_docs]
+        some_starts = np.concatenate(([0], np.cumsum(some_lens)[:-1]))
+        # The likelihood is concave: no mixture gains more than the steepest gradient.
+        gain = _em(some_p, some_c, some_starts, some_lens, best[:, open_docs], 0)[2]
+        gain[best[:, open_docs] > 0] = -np.inf
+        more = np.flatnonzero(gain.max(axis=0) > penalty[open_docs])
+        if not len(more):
             break
-        if len(open_docs) < len(lens):
-            pick = np.concatenate([np.arange(starts[d], starts[d] + lens[d]) for d in open_docs])
-            some_p, some_c, some_lens = p[:, pick], c[pick], lens[open_docs]
-        else:
-            some_p, some_c, some_lens = p, c, lens
+        new, open_docs = gain.argmax(axis=0)[more], open_docs[more]
+        pick = np.concatenate([np.arange(starts[d], starts[d] + lens[d]) for d in open_docs])
+        some_p, some_c, some_lens = p[:, pick], c[pick], lens[open_docs]
         some_starts = np.concatenate(([0], np.cumsum(some_lens)[:-1]))
-        mask = np.zeros((n_lang, len(open_docs)), np.float32)
-        for k in range(size):
-            mask[rank[k, open_docs], np.arange(len(open_docs))] = 1
-        got, ll, _ = _em(some_p, some_c, some_starts, some_lens, mask / size, PASSES)
+        first = best[:, open_docs] * np.float32((size - 1) / size)
+        first[new, np.arange(len(open_docs))] = 1 / size
+        got, ll, _ = _em(some_p, some_c, some_starts, some_lens, first, PASSES)
         value = ll - (size - 1) * penalty[open_docs]
         win = np.flatnonzero(value > score[open_docs])
-        score[open_docs[win]] = value[win]
-        best[:, open_docs[win]] = got[:, win]
+        if not len(win):
+            break
+        open_docs = open_docs[win]
+        score[open_docs] = value[win]
+        best[:, open_docs] = got[:, win]
     return best
 
 
+def inferred(model: Model, texts: list[str | None]) -> dict[int, np.ndarray]:
+    """Proportions of each text with an n-gram, by its number; a bounded number of texts at a time."""
+    out: dict[int, np.ndarray] = {}
+    held: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
+    size = 0
+
+    def flush() -> None:
+        if held:
+            pi = infer(model, [g for _, g in held])
+            out.update({i: pi[:, k] for k, (i, _) in enumerate(held)})
+
+    for i, t in enumerate(texts):
+        if t is None or not model.languages or not len((g := gram_counts(t, model.folded))[0]):
+            continue
+        held.append((i, g))
+        size += len(g[0]) * len(model.languages)
+        if size >= EM_NUMBERS:
+            flush()
+            held, size = [], 0
+    flush()
+    return out
+
+
 SHARES = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", SHARES)])
 
@@ -181,13 +219,10 @@ def prediction(model: Model, text: Column, spark: SparkSession) -> Column:
             shares: list = []
             for at in range(0, len(batch), 256):
                 texts = batch.slice(at, 256).to_pylist()
-                grams = [(i, g) for i, t in enumerate(texts) if t is not None and m.languages and len((g := gram_counts(t))[0])]
                 found: dict[int, list] = {}
-                if grams:
-                    pi = infer(m, [g for _, g in grams])
-                    for k, (i, _) in enumerate(grams):
-                        order = [j for j in np.argsort(-pi[:, k], kind="stable") if pi[j, k] > 0]
-                        found[i] = [{"lang": m.languages[j], "share": float(min(1.0, pi[j, k]))} for j in order]
+                for i, pi in inferred(m, texts).items():
+                    order = [j for j in np.argsort(-pi, kind="stable") if pi[j] > 0]
+                    found[i] = [{"lang": m.languages[j], "share": float(min(1.0, pi[j]))} for j in order]
                 for i in range(len(texts)):
                     own = found.get(i, [])
                     pred.append(own[0]["lang"] if own else UNKNOWN)
