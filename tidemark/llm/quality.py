@@ -8,9 +8,8 @@ characters or words says nothing, so each test has a minimum length below which
 it passes. Base rules on length and repetition come first.
 
 All work is done by SQL functions: one job counts words, one measures every
-document; the measures are checkpointed, and references are their sums. What is
-broadcast has a row for each language, ``MAX_LANGUAGES`` at most; more raise an
-error.
+document; the measures are checkpointed, and references are their sums. Tables
+with a row for each language are broadcast up to ``BROADCAST_LANGUAGES`` rows.
 
 Defined cases: a null text has no words, and fails the base rules; documents
 without a language are a language of their own; words of equal count go in
@@ -33,7 +32,7 @@ CLASSES = {
     "symbol": r"[#*$%&|<>=+@^~/_\\\[\]{}`]",
 }
 COMMON_WORDS = 16
-MAX_LANGUAGES = 128
+BROADCAST_LANGUAGES = 4096
 #: Distances above these fail; tests on fewer characters or words pass.
 MAX_CHAR_DISTANCE = 0.27
 MAX_WORD_DISTANCE = 0.42
@@ -45,50 +44,60 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def _left(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", x, bits)
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def _right(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", x, bits)
+def repeat_words(w: Column) -> Column:
+    """Words in 3-word windows that occur twice or more in ``w``.
 
+    A window's hash and place share a long, so equal windows stand together in one
+    sort of numbers; the place takes as many bits as it needs. Neighbours of equal
+    hash are compared on their words. Only if two of them differ, windows are sorted
+    by their words instead, so the count is exact however short the hash is.
+    """
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE, -1), "")
+    def equal(p: Column, q: Column) -> Column:
+        return (F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2))
 
+    def covered(at: Column) -> Column:
+        gaps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-def repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that occur twice or more in ``w``."""
+    def by_words() -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.struct(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("at")))
+
+        def same(s: Column, i: Column, x: Column) -> Column:
+            return F.coalesce(F.get(s, i)["k"] == x["k"], F.lit(False))
+
+        return bound(F.sort_array(windows), lambda s: bound(F.sort_array(F.transform(F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x)), lambda x: x["at"])), covered))
 
     def count(packed: Column, bits: Column) -> Column:
+        def hash_of(x: Column) -> Column:
+            return F.call_function("shiftright", x, bits)
+
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+
         def same(s: Column, i: Column, x: Column) -> Column:
-            return F.coalesce(_right(F.get(s, i), bits) == _right(x, bits), F.lit(False))
-
-        def covered(at: Column) -> Column:
-            gaps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
-            return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
-
-        return bound(
-            F.sort_array(packed),
-            lambda s: bound(
-                F.sort_array(
-                    F.transform(
-                        F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x)),
-                        lambda x: x.bitwiseAND(_left(F.lit(1).cast("long"), bits) - 1),
-                    )
-                ),
-                covered,
-            ),
-        )
+            return F.coalesce(hash_of(F.get(s, i)) == hash_of(x), F.lit(False))
+
+        def told(near: Column) -> Column:
+            def differs(x: Column, i: Column) -> Column:
+                y = F.get(near, i - 1)
+                return F.coalesce((hash_of(y) == hash_of(x)) & ~equal(place(y), place(x)), F.lit(False))
+
+            return F.when(F.size(F.filter(near, differs)) > 0, by_words()).otherwise(bound(F.sort_array(F.transform(near, place)), covered))
+
+        return bound(F.sort_array(packed), lambda s: bound(F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x)), told))
 
-    # The hash of a window and its place share a long; the place takes as many bits as it needs.
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(
         bound(
             F.length(F.bin(F.size(w))),
             lambda bits: bound(
                 F.transform(
                     F.sequence(F.lit(0), F.size(w) - 3),
-                    lambda i: _left(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")),
+                    lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")),
                 ),
                 lambda packed: count(packed, bits),
             ),
@@ -114,18 +123,20 @@ def js_distance(a: Column, b: Column) -> Column:
     return bound(total, lambda t: F.when(t.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table with a row for each language, broadcast if it has few."""
+    table = cut(table)
+    return F.broadcast(table) if table.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else table
+
+
 def common_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(ref_lang, common): the most frequent words of each language, MAX_LANGUAGES rows at most."""
+    """(ref_lang, common): the most frequent words of each language."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("ref_lang"), F.explode(words(F.lower(text_col))).alias("word"))
     counted = rows.groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("ref_lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COMMON_WORDS).select("ref_lang", "r", "word")
-    found: dict[str, list[str]] = {}
-    for lang, _, word in sorted(top.limit(MAX_LANGUAGES * COMMON_WORDS + 1).collect()):
-        found.setdefault(lang, []).append(word)
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return docs.sparkSession.createDataFrame(list(found.items()), "ref_lang string, common array<string>")
+    top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COMMON_WORDS)
+    listed = F.sort_array(F.collect_list(F.struct("r", "word")))
+    return _small(top.groupBy("ref_lang").agg(F.transform(listed, lambda x: x["word"]).alias("common")))
 
 
 def common_counts(w: Column, common: Column) -> Column:
@@ -143,7 +154,7 @@ def measure(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """The columns of ``docs`` but its text, ref_lang, and ``m``: counts and the two histograms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     common = common_words(docs, text_col, lang_col)
-    rows = docs.join(F.broadcast(common), F.coalesce(F.col(lang_col), F.lit("")) == F.col("ref_lang"), "left")
+    rows = docs.join(common, F.coalesce(F.col(lang_col), F.lit("")) == F.col("ref_lang"), "left")
     measures = bound(
         words(text),
         lambda w: F.struct(
@@ -176,11 +187,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         return F.array(*[F.coalesce(F.sum(F.get(col, F.lit(i))), F.lit(0)) for i in range(n)])
 
     refs = measured.groupBy(F.col("ref_lang").alias("r_lang")).agg(sums(F.col("chars"), width).alias("ref_chars"), sums(m["commons"], depth).alias("ref_commons"))
-    known = refs.limit(MAX_LANGUAGES + 2).collect()
-    if len(known) > MAX_LANGUAGES + 1:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    refs = docs.sparkSession.createDataFrame([tuple(r) for r in known], "r_lang string, ref_chars array<long>, ref_commons array<long>")
-    rows = measured.join(F.broadcast(refs), F.col("ref_lang") == F.col("r_lang"), "left")
+    rows = measured.join(_small(refs), F.col("ref_lang") == F.col("r_lang"), "left")
     # A language with fewer common words than asked for has a shorter histogram.
     rows = rows.withColumns(
         {
