@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,45 @@ def test_branches_locate_edits(spark):
     assert got["x"] == [3, 18] and 0.9 < got["n"] < 1
 
 
+def brute_tree(text):
+    """[(section digest, [(paragraph digest, [leaf])])] and the fingerprint, by the rules of the module."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sections, own = [], []
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        leaves = [md5(c) for c in re.split(r"(?<=[.,;:!?] )", line)]
+        own.append((md5("".join(leaves)), [x[:8] for x in leaves] if line else []))
+        if own[-1][0][0] < "4" or k == len(lines) - 1:
+            sections.append((md5("".join(d for d, _ in own)), own))
+            own = []
+    root = hashlib.sha256("".join(d for d, _ in sections).encode()).hexdigest()
+    return sections, "/".join([root, *(d[:8] + ":" + " ".join(p[:8] + "." + "".join(leaves) for p, leaves in own) for d, own in sections)])
+
+
+def brute_likeness(a, b):
+    (ta, fa), (tb, fb) = brute_tree(a), brute_tree(b)
+    if fa[:64] == fb[:64]:
+        return 1.0
+    as_set = lambda t: {(d[:8], tuple((p[:8], tuple(x)) for p, x in own)) for d, own in t}
+    sa, sb = as_set(ta), as_set(tb)
+    count = lambda secs: sum(len(x) for _, own in secs for _, x in own)
+    pa, pb = ({p for _, own in one - two for p in own} for one, two in ((sa, sb), (sb, sa)))
+    la, lb = ({x for _, own in one - two for x in own} for one, two in ((pa, pb), (pb, pa)))
+    shared = count(sa & sb) + sum(len(x) for _, x in pa & pb) + len(la & lb)
+    return 2 * shared / total if (total := count(sa) + count(sb)) else 0.0
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark):
+    rows = sorted(corpus(40))
+    pairs = [(a, b) for (_, a), (_, b) in zip(rows, rows[1:], strict=False)] + [(a, a[: len(a) // 2] + b[:40]) for (_, a), (_, b) in zip(rows, rows[7:], strict=False)] + [("", "x. y"), ("", ""), ("a\na", "a")]
+    print_of = lambda c: merkle.to_string(merkle.tree(F.col(c)))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string").select("i", print_of("a").alias("fa"), print_of("b").alias("fb"))
+    for r in df.select("i", "fa", "fb", merkle.likeness(F.col("fa"), F.col("fb")).alias("x")).collect():
+        a, b = pairs[r["i"]]
+        assert (r["fa"], r["fb"]) == (brute_tree(a)[1], brute_tree(b)[1])
+        assert r["x"] == pytest.approx(brute_likeness(a, b)) and 0 <= r["x"] <= 1
+
+
 def test_odd_rows(spark, table, docs):
     long = "word. " * 30_000
     rows = [(None, "null id"), (1, None), (1, "one"), (1, "one"), (9, ""), (7, long)]

@@ -7,7 +7,10 @@ paragraph whose digest starts with 0-3, so an edit moves no section but its
 own. Equal roots mean equal texts; branches whose digests differ locate edits.
 
 A fingerprint is a string: ``root/section:paragraph.leaves paragraph.leaves/...``
-with 64, 8, 8 and 8 hexadecimal digits for each.
+with 64, 8, 8 and 8 hexadecimal digits for each. The likeness of two is found
+from the root down: equal roots end the walk, equal sections count whole, equal
+paragraphs of the other sections count whole, and only the leaves of what
+differs are compared one by one.
 
 The neighbour of each document in ascending id order comes from a window within
 ranges of ids of about ``RANGE_BYTES`` of text; a copy of the first row of the
@@ -21,10 +24,12 @@ columns pass through ``fingerprints``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound, cut, read_table, sealed
+from tidemark.llm.common import bound, cut, free_name, read_table, sealed
 
 #: Text bytes of an id range, and ranges at most.
 RANGE_BYTES = 2 << 20
@@ -78,28 +83,47 @@ def to_string(node: Column) -> Column:
     return F.concat(node["root"], F.lit("/"), F.array_join(F.transform(node["sections"], section), "/"))
 
 
-def leaves(fingerprint: Column) -> Column:
-    """The leaf digests in a fingerprint string."""
-    return F.flatten(
-        F.transform(
-            F.regexp_extract_all(fingerprint, F.lit(r"\.([0-9a-f]*)"), F.lit(1)),
-            lambda run: F.regexp_extract_all(run, F.lit("(.{8})"), F.lit(1)),
-        )
-    )
-
-
 def root(fingerprint: Column) -> Column:
     return F.substring(fingerprint, 1, 64)
 
 
+def sections_of(fingerprint: Column) -> Column:
+    """The distinct sections of a fingerprint, as they stand in it."""
+    return F.array_distinct(F.split(F.substring(fingerprint, F.lit(66), F.length(fingerprint)), "/", -1))
+
+
+def paragraphs_of(sections: Column) -> Column:
+    """The distinct paragraphs of some sections."""
+    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.split(F.substring(s, F.lit(10), F.length(s)), " ", -1))))
+
+
+def leaves_of(paragraphs: Column) -> Column:
+    """The distinct leaves of some paragraphs."""
+    return F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring(p, F.lit(10), F.length(p)), F.lit("(.{8})"), F.lit(1)))))
+
+
+def _leaf_count(branches: Column, over: int) -> Column:
+    """Leaves below some branches, by the digits that are not theirs: ``over`` before the first paragraph's leaves, ten before each other's."""
+    return F.aggregate(branches, F.lit(0), lambda n, x: n + F.floor((F.length(x) - over - 10 * (F.length(x) - F.length(F.translate(x, " ", "")))) / 8).cast("int"))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else the Dice coefficient of the leaf digests (0 without any)."""
-    return bound(
-        F.struct(F.array_distinct(leaves(a)).alias("a"), F.array_distinct(leaves(b)).alias("b")),
-        lambda x: F.when(root(a) == root(b), F.lit(1.0)).otherwise(
-            F.coalesce(2.0 * F.size(F.array_intersect(x["a"], x["b"])) / F.nullif(F.size(x["a"]) + F.size(x["b"]), F.lit(0)), F.lit(0.0))
-        ),
+    """1 for equal roots, else the share of the leaves of both that stand under equal branches or are equal themselves (0 without any)."""
+
+    def both(x: Column) -> Column:
+        same = F.array_intersect(x["a"], x["b"])
+        return bound(
+            F.struct(paragraphs_of(F.array_except(x["a"], x["b"])).alias("a"), paragraphs_of(F.array_except(x["b"], x["a"])).alias("b")),
+            lambda y: _leaf_count(same, 18)
+            + _leaf_count(F.array_intersect(y["a"], y["b"]), 9)
+            + F.size(F.array_intersect(leaves_of(F.array_except(y["a"], y["b"])), leaves_of(F.array_except(y["b"], y["a"])))),
+        )
+
+    walked = bound(
+        F.struct(sections_of(a).alias("a"), sections_of(b).alias("b")),
+        lambda x: F.coalesce(2.0 * both(x) / F.nullif(_leaf_count(x["a"], 18) + _leaf_count(x["b"], 18), F.lit(0)), F.lit(0.0)),
     )
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(walked)
 
 
 def changed_paragraphs(old: Column, new: Column) -> Column:
@@ -137,10 +161,16 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     )
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, out_col: str = "next_text") -> DataFrame:
-    """Adds the text of the next row in ascending id order; the last row's next is the first."""
+def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Adds next_text, the text of the next row in ascending id order; the last row's next is the first.
+
+    ``derived`` has functions of the text by name: each adds its value and the
+    next row's as next_<name>. They are computed once a row, after the rows moved.
+    """
+    derived = derived or {}
     outer, (docs, name, restore) = docs, sealed(docs)
     id_col, text_col = name(id_col), name(text_col)
+    taken = {text_col: "next_text"} | {n: f"next_{n}" for n in derived}
     key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_col)
     keyed = docs.withColumns({"range_key": key, "range_tie": tie})
     slim = cut(keyed.select("range_key", "range_tie", F.octet_length(text_col).alias("bytes")))
@@ -152,39 +182,33 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, out_col: str = "next_
     # The first row of each range, for the range before it: MAX_RANGES rows of three numbers at most.
     first = slim.withColumn("range_no", _range_of(F.col("range_key"), bounds)).groupBy("range_no").agg(F.min(F.struct("range_key", "range_tie")).alias("f")).orderBy("range_no").collect()
     if not first:
-        return outer.withColumn(out_col, F.lit(None).cast("string"))
+        return outer.withColumns({free_name(outer, n): F.lit(None).cast("string") for n in [*derived, *taken.values()]})
     heads = [(first[i - 1]["range_no"], f["f"]["range_key"], f["f"]["range_tie"]) for i, f in enumerate(first)]
     table = docs.sparkSession.createDataFrame(heads, "for_range int, head_key long, head_tie long")
     ends = (
         keyed.join(F.broadcast(table), (F.col("range_key") == F.col("head_key")) & (F.col("range_tie") == F.col("head_tie")))
         .groupBy("for_range")
         .agg(F.first(text_col).alias("end_text"))
-        .select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c != text_col else F.col("end_text").alias(c) for c in docs.columns], F.lit(0).cast("long").alias("range_key"), F.lit(0).cast("long").alias("range_tie"), F.col("for_range").alias("range_no"), F.lit(True).alias("range_end"))
+        .select(
+            *[F.col("end_text").alias(c) if c == text_col else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns],
+            F.lit(0).cast("long").alias("range_key"), F.lit(0).cast("long").alias("range_tie"), F.col("for_range").alias("range_no"), F.lit(True).alias("range_end"),
+        )
     )
-    both = ranged.withColumn("range_end", F.lit(False)).unionByName(ends)
+    both = ranged.withColumn("range_end", F.lit(False)).unionByName(ends).repartition("range_no")
+    both = both.withColumns({n: f(F.col(text_col)) for n, f in derived.items()}) if derived else both
     order = Window.partitionBy("range_no").orderBy("range_end", "range_key", "range_tie")
-    return restore(both.withColumn(out_col, F.lead(text_col).over(order)).where(~F.col("range_end")).drop("range_key", "range_tie", "range_no", "range_end"))
+    led = both.withColumns({n: F.lead(c).over(order) for c, n in taken.items()}).where(~F.col("range_end"))
+    return restore(led.drop("range_key", "range_tie", "range_no", "range_end"))
 
 
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(docs, "doc_id", "text")
+    # A document's tree is made once and goes along to the row before.
+    pairs = with_next(docs, "doc_id", "text", {"fingerprint": lambda text: to_string(tree(text))})
     half = F.floor(F.length("text") / 2).cast("int")
-    pairs = pairs.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        "text",
-        F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"),
-        "next_text",
-    )
-    made = pairs.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        to_string(tree(F.col("text"))).alias("fingerprint"),
-        to_string(tree(F.col("edited"))).alias("edited_fingerprint"),
-        to_string(tree(F.col("next_text"))).alias("next_fingerprint"),
-    )
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
+    made = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", to_string(tree(F.col("edited"))).alias("edited_fingerprint"), "next_fingerprint")
     return made.select(
         "doc_id",
         "n_chars",
