@@ -37,7 +37,27 @@ def test_index_grows_and_compacts(spark, docs):
         assert all(len(index.run_paths(k)) < 3 for k in index.KINDS)
     assert got == brute.substrings(rows, 10)
     index.drop()
-    assert index.runs("anchors") is None
+    assert index.runs("spans") is None
+
+
+def test_copies_need_no_history(spark, docs):
+    """Copies of indexed texts are told by the runs alone: the history given here has lost its texts."""
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(40))) for i in range(8)]
+    index = substring.FingerprintIndex(spark, f"{ensure_checkpoint_dir(spark)}/idx2", 10, 3)
+    index.add(docs(rows))
+    lost = docs([(i, None) for i, _ in rows])
+    again = [(20, rows[3][1]), (21, " ".join(f"v{j}" for j in range(40)))]
+    assert {k: v[1] for k, v in collect(index.add(docs(again), lost)).items()} == {20: 40, 21: 0}
+    index.drop()
+
+
+def test_query_compacts(spark, docs, monkeypatch):
+    seen = []
+    plain = substring.FingerprintIndex.compact
+    monkeypatch.setattr(substring.FingerprintIndex, "compact", lambda self, kind: (seen.append((kind, len(self.run_paths(kind)))), plain(self, kind)))
+    rows = corpus(9, 50)
+    assert collect(substring.dedup_substrings(docs(rows), window=10, gram=3)) == brute.substrings(rows, 10)
+    assert seen == [(k, substring.FANOUT) for k in substring.FingerprintIndex.KINDS]
 
 
 def test_kept_text(docs):

@@ -7,15 +7,18 @@ has about two entries for each ``window - gram`` words. The index is a list of
 immutable runs, each sorted by hash:
 
 * ``texts``: digest of a whole word sequence -> least document,
-* ``anchors``: window hash -> number of distinct texts that have it.
-
-A batch merge-joins its hashes with the runs. Anchors in two distinct texts or
-more become candidates, which are verified on the words of the batch and of the
-history in two steps. A span is all windows in a row under one anchor: spans of
-equal 128-bit digests repeat each other as a whole. Only where an anchor has
-several distinct spans, one document of each gives its single windows, which
-are compared by digests of their own. The batch's own runs are then added, and
-runs of one kind are compacted into one when there are ``fanout`` of them.
+* ``spans``: anchor and digest of a span -> least document. A span is all windows
+  in a row under one anchor.
+
+A batch merge-joins its anchors with the runs, of which only rows whose anchor is
+in a bit set of the batch's are shuffled. Anchors in two documents or more become
+candidates, which are verified in two steps. Spans of equal 128-bit digests
+repeat each other as a whole, which the runs tell without the history. Only
+where an anchor has several distinct spans, one document of each gives its
+single windows, which are compared by digests of their own; of the history, the
+texts of these documents alone are hashed again. The batch's own runs are then
+added, and runs of one kind are compacted into one when there are ``fanout`` of
+them.
 
 Candidates reach the tasks as bit sets of at most 2^``MAX_BITS`` bits. A false hit
 only adds rows that match nothing, so results don't depend on it. Within a task
@@ -46,6 +49,8 @@ from tidemark.llm.hashing import Words, mix, powers, slices
 WINDOW = 50
 GRAM = 8
 FANOUT = 4
+#: Ranges of ids that ``dedup_substrings`` indexes one after another; with more than ``FANOUT`` of them, runs are compacted.
+BATCHES = 5
 #: Spans or windows that a task holds before it sends them on.
 TASK_ROWS = 1_000_000
 MAX_SPAN = 1 << 20
@@ -152,30 +157,35 @@ def _encoded(column: pa.Array) -> list[bytes]:
 
 
 def _sketch_rows(window: int, gram: int):
-    """(doc_id, text) -> (doc_id, n_words, tie, digest, all_sha256, anchors)."""
+    """(doc_id, text) -> (doc_id, n_words, tie, digest, all_sha256, anchors, d1, d2), the last three of its spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 texts = _encoded(part.column(1))
-                n_words, sha, digest, anchors = [], [], [], []
+                n_words, sha, digest, spans = [], [], [], ([], [], [])
                 for lo, hi in slices(texts):
                     own = texts[lo:hi]
                     x = Windows(own, window, gram)
                     digest += text_digests(x.words, hi - lo)
-                    change = np.flatnonzero(np.concatenate(([True], (x.anchor[1:] != x.anchor[:-1]) | (x.text[1:] != x.text[:-1])))) if len(x.anchor) else []
-                    a, t = x.anchor[change].view(np.int64), x.text[change]
-                    ends = np.searchsorted(t, np.arange(hi - lo + 1))
-                    anchors += [np.unique(a[ends[i] : ends[i + 1]]) for i in range(hi - lo)]
+                    if len(x.anchor):
+                        at, _, d1, d2 = x.spans(np.arange(len(x.anchor)), window)
+                        ends = np.searchsorted(x.text[at], np.arange(hi - lo + 1))
+                        cols = (x.anchor[at], d1, d2)
+                    else:
+                        ends, cols = np.zeros(hi - lo + 1, np.int64), (x.anchor,) * 3
+                    for out, col in zip(spans, cols, strict=True):
+                        out += [col[ends[i] : ends[i + 1]].view(np.int64) for i in range(hi - lo)]
                     for s in own:
                         w = s.split()
                         n_words.append(len(w))
                         sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
                 tie = np.array([int.from_bytes(d[:8], "big", signed=True) for d in digest], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words, pa.int64()), pa.array(tie, pa.int64()), pa.array(digest, pa.binary()), pa.array(sha, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "tie", "digest", "all_sha256", "anchors"],
+                    [part.column(0), pa.array(n_words, pa.int64()), pa.array(tie, pa.int64()), pa.array(digest, pa.binary()), pa.array(sha, pa.string())]
+                    + [pa.array(c, pa.list_(pa.int64())) for c in spans],
+                    names=["doc_id", "n_words", "tie", "digest", "all_sha256", "anchors", "d1", "d2"],
                 )
         give_back()
 
@@ -305,7 +315,7 @@ def _strip_rows(window: int):
 class FingerprintIndex:
     """Runs in a folder that all executors share. Batches must come in ascending order of ids."""
 
-    KINDS = {"texts": ["digest"], "anchors": ["anchor"]}
+    KINDS = {"texts": ["digest"], "spans": ["anchor", "d1", "d2"]}
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
         if not 0 < gram <= window:
@@ -334,7 +344,7 @@ class FingerprintIndex:
         n = len(self.run_paths(kind))
         path = f"{self.path}/{kind}/run-{n:06d}-{uuid.uuid4().hex[:8]}"
         keys = self.KINDS[kind]
-        df.repartition(*keys).sortWithinPartitions(*keys).write.parquet(path)
+        self._merged(kind, df).sortWithinPartitions(*keys).write.parquet(path)
         return path
 
     def compact(self, kind: str) -> None:
@@ -342,16 +352,13 @@ class FingerprintIndex:
         paths = self.run_paths(kind)
         if len(paths) < 2:
             return
-        self._write(kind, self._merged(kind, self.spark.read.parquet(*paths)))
+        self._write(kind, self.spark.read.parquet(*paths))
         for old in paths:
             p, fs = self._fs(old)
             fs.delete(p, True)
 
     def _merged(self, kind: str, df: DataFrame) -> DataFrame:
-        keys = self.KINDS[kind]
-        if kind == "anchors":
-            return df.groupBy(*keys).agg(F.sum("n").alias("n"))
-        return df.groupBy(*keys).agg(F.min("least").alias("least"))
+        return df.groupBy(*self.KINDS[kind]).agg(F.min("least").alias("least"))
 
     def drop(self) -> None:
         p, fs = self._fs(self.path)
@@ -361,13 +368,14 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, history: DataFrame | None = None, last: bool = False) -> DataFrame:
         """Indexes (doc_id, text) rows; a row for each: doc_id, n_words, n_removed, kept_sha256, kept (text, null if all is kept).
 
-        ``history`` has the rows indexed before, ``last`` adds no runs. The result
-        is materialised.
+        ``history`` has the rows indexed before: the texts that share an anchor, but
+        not the span, are looked up in it. ``last`` adds no runs. The result is
+        materialised.
         """
         window, gram = self.window, self.gram
         batch = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         known = batch.where("doc_id is not null")
-        sketch = cut(batch.mapInArrow(_sketch_rows(window, gram), "doc_id long, n_words long, tie long, digest binary, all_sha256 string, anchors array<long>"))
+        sketch = cut(batch.mapInArrow(_sketch_rows(window, gram), "doc_id long, n_words long, tie long, digest binary, all_sha256 string, anchors array<long>, d1 array<long>, d2 array<long>"))
 
         # Whole texts: the least document of each.
         old = self.runs("texts")
@@ -378,37 +386,47 @@ class FingerprintIndex:
             own = own.withColumn("least", F.lit(None).cast("long"))
         texts = cut(own.select(F.col("digest").alias("dg"), F.coalesce("least", "own").alias("least"), F.col("least").isNull().alias("new")))
         sketch = sketch.join(texts, F.col("digest") == F.col("dg"), "left").drop("dg")
+        first = F.col("new") & (F.col("doc_id") == F.col("least"))
+        sketch = sketch.withColumns({c: F.when(first, F.col(c)) for c in ("anchors", "d1", "d2")})
         sketch = cut(sketch.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= window)))
         if not last:
             self._write("texts", texts.where("new").select(F.col("dg").alias("digest"), "least"))
 
-        # Anchors: candidates are in two distinct texts or more.
-        firsts = sketch.where("new and doc_id = least").dropDuplicates(["digest"])
-        counts = firsts.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n"))
-        seen = self.runs("anchors")
+        # Anchors: candidates are in two documents or more.
+        own = sketch.where("anchors is not null").select("doc_id", F.explode(F.arrays_zip("anchors", "d1", "d2")).alias("s"))
+        own = own.select(F.col("s.anchors").alias("anchor"), F.col("s.d1").alias("d1"), F.col("s.d2").alias("d2"), F.col("doc_id").alias("least"))
+        counts = cut(own.groupBy("anchor").agg((F.min("least") < F.max("least")).alias("shared")))
+        seen, met = self.runs("spans"), None
         if seen is not None:
-            counts = counts.join(self._merged("anchors", seen).withColumnRenamed("n", "before"), "anchor", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-        else:
-            counts = counts.withColumn("before", F.lit(0).cast("long"))
-        hot = cut(counts.where("n + before > 1").select("anchor"))
+            near = seen.select("anchor", "d1", "d2", "least").mapInArrow(_in_bits(bit_set(counts, "anchor")), "anchor long, d1 long, d2 long, least long")
+            met = cut(near.join(counts.select("anchor"), "anchor"))
+        hot = counts.where("shared").select("anchor")
+        hot = cut(hot if met is None else hot.unionAll(met.select("anchor")).distinct())
         if not last:
-            self._write("anchors", counts.select("anchor", "n"))
-        older = None if history is None else history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+            self._write("spans", own)
 
-        def checked(*bits) -> DataFrame:
+        def checked(old: DataFrame | None, *bits) -> DataFrame:
             rows = known.mapInArrow(_span_rows(window, gram, *bits), ROW_SCHEMA).withColumn("fresh", F.lit(True))
-            if older is not None:
-                rows = rows.unionAll(older.mapInArrow(_span_rows(window, gram, *bits), ROW_SCHEMA).where("at >= 0").withColumn("fresh", F.lit(False)))
+            if old is not None:
+                rows = rows.unionAll(old.select(*ROW_NAMES).withColumn("fresh", F.lit(False)))
             return rows.withColumn("least", F.min("doc_id").over(Window.partitionBy("d1", "d2")))
 
         def repeats(rows: DataFrame) -> DataFrame:
             return rows.where("fresh and (at < 0 or doc_id > least)").select("doc_id", "tie", "at")
 
-        spans = cut(checked(bit_set(hot, "anchor")))
+        if met is not None:
+            met = met.withColumnRenamed("least", "doc_id").withColumns({"tie": F.lit(0).cast("long"), "at": F.lit(0).cast("long")})
+        spans = cut(checked(met, bit_set(hot, "anchor")))
         leads = spans.where("at >= 0 and doc_id = least").select("anchor", "d1", "d2", "doc_id").distinct()
         split = cut(leads.select("anchor", "d1", "d2").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-        own = leads.join(split, "anchor").select(F.col("d1").bitwiseXOR(F.col("doc_id")).alias("own"))
-        windows = checked(bit_set(split, "anchor"), bit_set(own, "own"))
+        own = cut(leads.join(split, "anchor").select("doc_id", F.col("d1").bitwiseXOR(F.col("doc_id")).alias("own")))
+        bits = bit_set(split, "anchor"), bit_set(own, "own")
+        if history is not None and met is not None:
+            older = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+            older = older.mapInArrow(_in_bits(bit_set(own.select("doc_id").distinct(), "doc_id")), "doc_id long, text string")
+            windows = checked(older.mapInArrow(_span_rows(window, gram, *bits), ROW_SCHEMA).where("at >= 0"), *bits)
+        else:
+            windows = checked(None, *bits)
         covered = cut(repeats(spans).unionAll(repeats(windows)).groupBy("doc_id", "tie").agg(F.collect_list("at").alias("ats")))
 
         # Only documents that lose a part are read again.
@@ -436,7 +454,7 @@ class FingerprintIndex:
         return result
 
 
-def dedup_substrings(docs: DataFrame, *, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """All of ``docs`` (doc_id, text) through an index of their own, in ``batches`` ranges of ids."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, f"{ensure_checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}", window, gram, fanout)
