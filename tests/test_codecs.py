@@ -1,5 +1,6 @@
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -146,3 +147,48 @@ def test_histogram_column(spark):
     assert got == {i: n for i, n in enumerate(h.counts) if n}
     row = histogram.summary(spark.createDataFrame([(x,) for x in xs], "v double"), "v").first()
     assert row["n"] == len(xs) and abs(row["p50"] - h.percentile(50)) < 1e-9
+
+
+def test_hash_of_arrow_slices():
+    keys = [None, b"", b"a", b"abcd", b"\xff" * 5, None, b"0000000042", b"x" * 33]
+    want = [None if k is None else codecs.hash32(k) for k in keys]
+    for kind in (pa.binary(), pa.large_binary()):
+        assert codecs.hash32_arrow(pa.array(keys, kind)).to_pylist() == want
+        assert codecs.hash32_arrow(pa.array(keys, kind).slice(2, 5)).to_pylist() == want[2:7]
+        assert codecs.hash32_arrow(pa.array([], kind)).to_pylist() == []
+
+
+def test_large_groups_have_bounded_filters(spark):
+    """A group of any size is split: no filter, and so no task's Python, takes all its keys; repeats count once."""
+    large, small = 5 * bloom.GROUP_KEYS + 1, 10
+    key = F.lpad(F.col("id").cast("string"), 10, "0").alias("key")
+    rows = spark.range(large).select(F.lit(1).alias("file"), key).unionByName(spark.range(small).select(F.lit(2).alias("file"), key))
+    rows = rows.unionByName(spark.range(3 * bloom.GROUP_KEYS).select(F.lit(3).alias("file"), F.lit("hot").alias("key")))
+    odd = spark.createDataFrame([(None, "0000000001"), (1, None), (9, "0000000001")], "file int, key string")
+    built = bloom.filters(rows.unionByName(odd.where("file is null or file = 1")), "file")
+    table = {(r["file"], r["part"]): r for r in built.table.collect()}
+    assert sorted({f for f, _ in table}) == [1, 2, 3] and len([f for f, _ in table if f == 1]) == 6
+    assert max(r["keys"] for r in table.values()) < 1.2 * bloom.GROUP_KEYS
+    assert abs(sum(r["keys"] for (f, _), r in table.items() if f == 1) - large) <= 2  # keys whose hashes are equal
+    assert bytes(table[2, 0]["filter"]) == bloom.build([b"%010d" % i for i in range(small)])
+    assert [(r["keys"], bytes(r["filter"])) for (f, _), r in table.items() if f == 3] == [(1, bloom.build([b"hot"]))]
+
+    assert bloom.probe(rows, built).where("not hit").count() == 0
+    assert [r["hit"] for r in bloom.probe(odd, built).collect()] == [False] * 3
+    misses = rows.where("file < 3").withColumn("key", F.concat("key", F.lit("x")))
+    got = bloom.probe(misses, built)
+    assert got.columns == ["file", "key", "hit"] and got.count() == large + small
+    assert got.where("hit").count() <= 0.02 * (large + small)
+    plain = [k.encode() for (k,) in misses.where("file = 2").select("key").collect()]
+    want = dict(zip(plain, bloom.may_contain_many(bytes(table[2, 0]["filter"]), plain).tolist(), strict=True))
+    assert {r["key"].encode(): r["hit"] for r in got.where("file = 2").collect()} == want
+
+
+@pytest.mark.parametrize("bits_per_key", [1, 4, 10, 50])
+def test_probe_reads_bits_as_may_contain(spark, bits_per_key):
+    rows = spark.range(500).select(F.lit("f").alias("file"), F.col("id").cast("string").cast("binary").alias("key"))
+    built = bloom.filters(rows, "file", bits_per_key=bits_per_key)
+    made = bytes(built.table.first()["filter"])
+    asked = [str(i).encode() for i in range(2000)]
+    got = {bytes(r["key"]): r["hit"] for r in bloom.probe(spark.range(2000).select(F.lit("f").alias("file"), F.col("id").cast("string").cast("binary").alias("key")), built).collect()}
+    assert [got[k] for k in asked] == bloom.may_contain_many(made, asked).tolist()

@@ -492,13 +492,13 @@ def short_successor(s, d):
 @query("bloom_no_false_negative", f"WITH {OR}, {FM} SELECT number, key, TRUE AS hit FROM FMR")
 def bloom_no_false_negative(s, d):
     rows = sized(s, d).select("number", "key")
-    return bloom.probe(rows, bloom.filters(rows, "number"), "number")
+    return bloom.probe(rows, bloom.filters(rows, "number"))
 
 
 @query("bloom_false_positives", "SELECT TRUE AS rare")
 def bloom_false_positives(s, d):
     rows = sized(s, d).select("number", "key")
-    misses = bloom.probe(rows.withColumn("key", F.concat("key", F.lit("x"))), bloom.filters(rows, "number"), "number")
+    misses = bloom.probe(rows.withColumn("key", F.concat("key", F.lit("x"))), bloom.filters(rows, "number"))
     return misses.agg((F.avg(F.col("hit").cast("int")) <= 0.02).alias("rare"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,29 +208,41 @@ def hash32(raw: bytes, seed: int = FILTER_SEED) -> int:
     return h
 
 
-def hash32_many(keys: list[bytes], seed: int = FILTER_SEED) -> np.ndarray:
-    """``hash32`` of many keys, those of one length together."""
-    out = np.empty(len(keys), np.uint64)
-    lens = np.array([len(k) for k in keys], np.int64)
+def _hash32_flat(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int) -> np.ndarray:
+    """``hash32`` of slices of one buffer, those of one length together."""
+    out = np.empty(len(starts), np.uint64)
     factor, mask = np.uint64(HASH_FACTOR), np.uint64(U32)
+    words = np.ndarray(max(0, len(flat) - 3), "<u4", flat, strides=(1,))  # the word at each byte
     for n in np.unique(lens).tolist():
         at = np.flatnonzero(lens == n)
-        raw = np.frombuffer(b"".join([keys[i] for i in at]), np.uint8).reshape(len(at), n)
-        whole = n & ~3
+        own, whole = starts[at], n & ~3
         h = np.full(len(at), seed ^ (n * HASH_FACTOR & U32), np.uint64)
-        for w in np.ascontiguousarray(raw[:, :whole]).view("<u4").T.astype(np.uint64) if whole else ():
-            h = (h + w) * factor & mask
+        for i in range(0, whole, 4):
+            h = (h + words[own + i]) * factor & mask
             h ^= h >> np.uint64(16)
         if whole < n:
             tail = np.zeros(len(at), np.uint64)
             for j in range(whole, n):
-                tail |= raw[:, j].astype(np.uint64) << np.uint64(8 * (j - whole))
+                tail |= flat[own + j].astype(np.uint64) << np.uint64(8 * (j - whole))
             h = (h + tail) * factor & mask
             h ^= h >> np.uint64(HASH_SHIFT)
         out[at] = h
     return out
 
 
+def hash32_many(keys: list[bytes], seed: int = FILTER_SEED) -> np.ndarray:
+    """``hash32`` of many keys."""
+    lens = np.array([len(k) for k in keys], np.int64)
+    return _hash32_flat(np.frombuffer(b"".join(keys), np.uint8), np.cumsum(lens) - lens, lens, seed)
+
+
+def hash32_arrow(keys: pa.Array, seed: int = FILTER_SEED) -> pa.Array:
+    """``hash32`` of an array of binary, null for null, read where it lies."""
+    ends = np.frombuffer(keys.buffers()[1], np.int64 if pa.types.is_large_binary(keys.type) else np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    found = _hash32_flat(np.frombuffer(keys.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends), seed) if len(keys) else np.empty(0, np.uint64)
+    return pa.array(found.astype(np.int64), pa.int64(), mask=keys.is_null().to_numpy(zero_copy_only=False))
+
+
 def hash32_column(seed: int = FILTER_SEED) -> Callable[[Column], Column]:
     @F.pandas_udf(T.LongType())
     def run(s: pd.Series) -> pd.Series:
