@@ -69,3 +69,22 @@ def test_varint_codec_of_any_length(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
     got = sorted((r["n"], r["back"], r["encoded"]) for r in catalog.QUERIES["varint_codec"](spark, str(tmp_path)).collect())
     assert got == sorted((k, k, codecs.varint(k).hex().upper()) for k in keys)
+
+
+@pytest.mark.parametrize("name", ["bloom_no_false_negative", "bloom_false_positives"])
+def test_bloom_filters_stay_bounded(spark, tmp_path, monkeypatch, name):
+    """Files of 12500 keys have filters of fewer; Python sees keys and hashes, never a filter beside each row."""
+    from tidemark.functions import bloom
+
+    n, seen, make = 100_000, [], bloom.filters
+    spark.range(n).selectExpr("id as o_orderkey", "1.0D as o_totalprice", "'O' as o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(bloom, "filters", lambda *a, **k: seen.append(made := make(*a, **k)) or made)
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    keys = [r["keys"] for r in getattr(seen[0], "table", seen[0]).select("keys").collect()]
+    assert max(keys) < 10_000 and n - 5 <= sum(keys) <= n
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.split("[")[1].split("(")[0] for line in plan.splitlines() if "ArrowEvalPython" in line] == ["_hash"]
+    if name == "bloom_false_positives":
+        assert [r["rare"] for r in got.collect()] == [True]
+    else:
+        assert got.where("hit").count() == got.count() == n
