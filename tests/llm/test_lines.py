@@ -108,3 +108,40 @@ def test_query(spark, table, docs):
     want = {i: (len(t.split("\n")), hashlib.sha256(k.encode()).hexdigest()) for (i, t), k in zip(rows, brute.lines(rows).values(), strict=True)}
     got = {r["doc_id"]: (r["n_lines"], r["kept_sha256"]) for r in lines.op10_lines(spark, table(docs(rows))).collect()}
     assert got == want
+
+
+def test_second_round_sends_lines_of_wanted_words_and_sizes():
+    """Texts hold one line with the wanted word and a size like the open line's, one of another size, and many without the word."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.hashing import Words
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    levels = Sent(np.zeros(lines.COUNTERS, np.uint8))
+    key = lines.word_keys(Words([b"wanted"]).hash, levels.value)
+    sizes = np.searchsorted(lines.size_edges(80), [10], side="right") if hasattr(lines, "size_edges") else None
+    keys = key if sizes is None else np.concatenate([lines.class_keys(key, sizes), key & np.uint64((1 << lines._HASH_BITS) - 1)])
+    table = np.zeros(1 << 20, np.uint8)
+    table[(lines.mix(keys) & np.uint64((1 << 20) - 1)).astype(np.int64)] = 1
+    wanted = Sent(np.packbits(table, bitorder="little").tobytes())
+    # All levels are equal, so words stand in order of their hash; fill with words that stand behind.
+    later = [f"v{i}" for i in range(2000) if lines.word_keys(Words([f"v{i}".encode()]).hash, levels.value)[0] > key[0]]
+    texts = [" ".join(["other", *later[:9]]) + "\n" + " ".join(["Wanted", *later[n : n + 9]]) + "\n\n" + " ".join(["wanted", *later[n : n + 60]]) for n in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts), pa.array([0] * 20, pa.int64())], names=["doc_id", "text", "tie"])
+    got = [(int(d), int(n), int(s)) for b in lines._prefix_rows(80, levels, 8, wanted)(iter([batch])) for raw in b.column(1) for x in [lines.from_block(raw.as_py())] for d, n, s, w in zip(x["doc"], x["line"], x["size"], x["word"], strict=True) if w == key[0]]
+    assert sorted(got) == [(i, 1, 10) for i in range(20)]
+
+
+def test_texts_of_any_column():
+    """Nulls, slices, empty columns and letters beyond ASCII come out as from Python's strings."""
+    import pyarrow as pa
+
+    values = ["ÄB c", None, "", "X\nY", "é" * 3, None]
+    for kind in (pa.string(), pa.large_string()):
+        for a, b in ((0, 6), (1, 4), (2, 2), (5, 6)):
+            want = [(v or "").translate(brute.LOWER).encode() for v in values[a:b]]
+            assert lines._texts(pa.array(values, kind)[a:b]) == want

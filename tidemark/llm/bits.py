@@ -1,7 +1,7 @@
 """Bit sets of hashed keys that tasks look up.
 
-A set has 16 bits for each key where that many fit in ``MAX_BITS``; beyond, it
-fills up and tells less. A false hit must do no harm to whoever asks.
+A set has 16 bits or more for each key where that many fit in ``MAX_BITS``;
+beyond, it fills up and tells less. A false hit must do no harm to whoever asks.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from tidemark.llm.hashing import mix
 MIN_BITS, MAX_BITS = 20, 26
 
 
-def bit_set(keys: DataFrame, column: str):
+def bit_set(keys: DataFrame, column: str, bits_per_key: int = 16):
     """A broadcast bit set of the column's hashes, sized by their number within fixed bounds."""
     spark = keys.sparkSession
     n = keys.count()
-    size = min(MAX_BITS, max(MIN_BITS, (16 * max(1, n)).bit_length()))
+    size = min(MAX_BITS, max(MIN_BITS, (bits_per_key * max(1, n)).bit_length()))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

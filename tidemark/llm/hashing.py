@@ -16,17 +16,22 @@ LONG_WORD = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Keeps the first 0 to 8 bytes of a little-endian chunk.
 _FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = np.array(x, np.uint64)
+    return _mix_into(x, np.empty_like(x))
+
+
+def _mix_into(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``mix`` in place; ``y`` is overwritten."""
+    for turn, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(turn), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint64(factor), out=x)
+    np.right_shift(x, np.uint64(31), out=y)
+    return np.bitwise_xor(x, y, out=x)
 
 
 def powers(n: int) -> np.ndarray:
@@ -42,12 +47,13 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         self.raw = b" ".join(texts)
-        lens = np.array([len(t) for t in texts], np.int64)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.concatenate(([0], np.cumsum(lens + 1)))[: len(texts)]
         b = np.frombuffer(self.raw, np.uint8)
-        solid = ~_SPACE[b]
-        edge = np.diff(np.concatenate(([False], solid, [False])).astype(np.int8))
-        self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        solid = np.zeros(len(b) + 2, bool)  # neither 9 to 13 nor 32
+        np.logical_and(b - np.uint8(9) > 4, b != 0x20, out=solid[1:-1])
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        self.begin, self.end = edge[::2].copy(), edge[1::2].copy()
         # Words before each text, then all of them.
         self.first = np.concatenate((np.searchsorted(self.begin, at), [len(self.begin)]))
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -58,18 +64,17 @@ class Words:
         padded = self.raw + bytes(8)
         chunks = np.ndarray((len(self.raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
         size = self.end - self.begin
-        h = mix(size.astype(np.uint64) + _BASE)
+        spare = np.empty(len(size), np.uint64)
+        h = _mix_into(size.astype(np.uint64) + _BASE, spare)
         at, left = self.begin, np.minimum(size, LONG_WORD)
-        who = None
+        who = slice(None)
         while len(at):
             x = chunks[at] & _FIRST_BYTES[np.minimum(left, 8)]
-            if who is None:
-                h = mix(h * _BASE ^ x)
-            else:
-                h[who] = mix(h[who] * _BASE ^ x)
+            x ^= h[who] * _BASE
+            h[who] = _mix_into(x, spare[: len(x)])
             more = np.flatnonzero(left > 8)
             at, left = at[more] + 8, left[more] - 8
-            who = more if who is None else who[more]
+            who = more if isinstance(who, slice) else who[more]
         for i in np.flatnonzero(size > LONG_WORD):
             h[i] = int.from_bytes(hashlib.blake2b(self.raw[self.begin[i] : self.end[i]], digest_size=8).digest(), "little")
         self.hash = h

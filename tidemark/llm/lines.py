@@ -21,7 +21,9 @@ number of parts grows with the input. A line needs one earlier match only, so it
 is verified against one candidate, the surest and earliest: one pair for each
 line, however many near copies it has. Lines whose candidate fails and that have
 others meet those again in blocks that carry the words of both, where all
-candidates are verified on the spot, and no pair leaves the task.
+candidates are verified on the spot, and no pair leaves the task. That round
+builds only lines with a word by which open lines had candidates, and sends those
+whose size is in a class that a set similar to the open line may have.
 
 Defined cases: a null text has no lines and stays null; an empty text has one
 blank line; rows with a null id lose no lines and match none; of rows with one
@@ -57,10 +59,23 @@ LINE_BITS = 20
 #: Words of the corpus for each part that they are dealt to.
 PART_WORDS = 2_000_000
 _HASH_BITS = 64 - 8 - LINE_BITS
+#: Bits for each word that the second round looks for: lines have many words, so few may hit by chance.
+WORD_BITS = 64
+#: Greater sizes and places of prefix rows stop there, which weakens filters and loses nothing.
+MAX_SIZE, MAX_PLACE = 65535, 255
 
 
 def _texts(column: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t.encode("utf-8", "replace").lower() for t in column.to_pylist()]
+    """The texts in lower case, straight from Arrow's buffers; null: empty."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    if not n:
+        return []
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    data = column.buffers()[2]
+    raw = b"" if data is None else data[int(ends[0]) : int(ends[-1])].to_pybytes().lower()
+    ends = (ends - ends[0]).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +119,37 @@ def word_keys(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return level.astype(np.uint64) << np.uint64(_HASH_BITS) | mix(h) >> np.uint64(64 - _HASH_BITS)
 
 
-def _with_words(texts: list[bytes], levels: np.ndarray, wanted) -> np.ndarray:
-    """Which texts have a word of the bit set ``wanted``."""
+def size_edges(percent: int) -> np.ndarray:
+    """The least size of each class of sizes; similar sets are in one class or in the classes beside."""
+    edges = [1]
+    while edges[-1] < MAX_SIZE:
+        edges.append(max(edges[-1] + 1, 100 * edges[-1] // percent))
+    return np.array(edges)
+
+
+def class_keys(word: np.ndarray, klass: np.ndarray) -> np.ndarray:
+    """One key of words and classes of sizes, never the same as one of ``plain_keys``."""
+    return word | (klass + 1).astype(np.uint64) << np.uint64(64 - LINE_BITS)
+
+
+def plain_keys(h: np.ndarray) -> np.ndarray:
+    """What ``word_keys`` keep of word hashes, without their rarity."""
+    return mix(h) >> np.uint64(64 - _HASH_BITS)
+
+
+def _wanted_lines(texts: list[bytes], wanted) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(text, line, the line itself) of all lines with a word of the bit set ``wanted``."""
     w = Words(texts)
-    return np.unique(w.text[has(*wanted, word_keys(w.hash, levels))]) if len(w.hash) else np.empty(0, np.int64)
+    raw = np.frombuffer(w.raw, np.uint8)
+    begin = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    hit = np.flatnonzero(has(*wanted, plain_keys(w.hash)))
+    # Pieces end at line breaks and between texts.
+    ends = np.unique(np.concatenate([np.flatnonzero(raw == 10), begin[1:] - 1, [len(raw)]]))
+    piece = np.unique(np.searchsorted(ends, w.begin[hit]))
+    text = np.searchsorted(begin, ends[piece], side="right") - 1
+    line = piece - np.searchsorted(ends, begin)[text]
+    starts = np.where(piece > 0, ends[piece - 1] + 1, 0)
+    return text, line, [w.raw[a:b] for a, b in zip(starts.tolist(), ends[piece].tolist(), strict=True)]
 
 
 class LineSets:
@@ -117,7 +159,7 @@ class LineSets:
         w = Words(texts)
         raw = np.frombuffer(w.raw, np.uint8)
         breaks = np.flatnonzero(raw == 10)
-        line = np.searchsorted(breaks, w.begin)  # all texts together
+        line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate(([0], np.searchsorted(w.begin, breaks), [len(w.begin)]))))  # all texts together
         text_begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])).astype(np.int64)
         before = np.searchsorted(breaks, text_begin)
         key = (line + w.text).astype(np.int64)  # texts share no line
@@ -141,7 +183,7 @@ class LineSets:
                 self.hash = self.hash[new]
         owner = (both >> np.uint64(64 - LINE_BITS)).astype(np.int64)
         self.word = both & np.uint64((1 << (64 - LINE_BITS)) - 1)
-        self.first = np.searchsorted(owner, np.arange(n_lines))
+        self.first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))[:n_lines]
         self.size = np.diff(np.append(self.first, len(both)))
         self.place = np.arange(len(both)) - np.repeat(self.first, self.size)
         self.owner = owner
@@ -169,8 +211,20 @@ def _line_slices(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes], in
                 yield lo + i, lo + i + 1, [b"\n".join(lines[at : at + limit])], at
 
 
+def _pieces(texts: list[bytes], wanted) -> Iterator[tuple]:
+    """What LineSets are made of: (first text, texts, -, lines before); with ``wanted`` (texts, lines, their numbers, -) of the lines that have one of these words."""
+    if wanted is None:
+        for lo, _, own, skipped in _line_slices(texts):
+            yield lo, own, None, skipped
+        return
+    for lo, hi in slices(texts):
+        text, line, own = _wanted_lines(texts[lo:hi], wanted)
+        for at in range(0, len(own), 1 << LINE_BITS):
+            end = at + (1 << LINE_BITS)
+            yield lo + text[at:end], own[at:end], line[at:end], 0
+
+
 #: A row of a block: a word of a line's prefix. size 0: a line known to repeat an earlier one.
-#: Sizes and places stop at the greatest number of their type, which weakens filters and loses nothing.
 COLUMNS = {"word": "<u8", "set_id": "<u4", "parity": "<u8", "doc": "<i8", "line": "<u4", "tie": "<i8", "size": "<u2", "place": "u1"}
 #: Longer lines have wider parity sketches: (least size, words of 64 bits). A wider one folds into a narrower one.
 WIDTHS = ((1, 1), (90, 2), (200, 8))
@@ -195,12 +249,20 @@ def width_class(size: np.ndarray) -> np.ndarray:
     return np.searchsorted([n for n, _ in WIDTHS], size, side="right") - 1
 
 
-def to_block(columns: dict[str, np.ndarray], parity: np.ndarray) -> bytes:
-    """Rows of one width class: count, class, then the columns as byte planes, which compress well."""
-    n, width = parity.shape
-    planes = [np.ascontiguousarray(columns[c], t).view(np.uint8).reshape(n, -1) for c, t in COLUMNS.items() if c != "parity"]
-    planes.append(np.ascontiguousarray(parity, "<u8").view(np.uint8).reshape(n, -1))
-    return n.to_bytes(4, "little") + width.to_bytes(4, "little") + b"".join([p.T.tobytes() for p in planes])
+def _planes(values: np.ndarray) -> list[np.ndarray]:
+    """The bytes of all numbers, first bytes first."""
+    return [(values >> values.dtype.type(8 * i)).astype(np.uint8) for i in range(values.dtype.itemsize)]
+
+
+def to_planes(columns: dict[str, np.ndarray], parity: np.ndarray) -> np.ndarray:
+    """Rows of one width class as byte planes, which compress well; those of some rows make their block."""
+    own = [columns[c].astype(t).view(f"u{np.dtype(t).itemsize}") for c, t in COLUMNS.items() if c != "parity"]
+    return np.stack([p for v in [*own, *parity.T] for p in _planes(v)])
+
+
+def to_block(planes: np.ndarray, width: int) -> bytes:
+    """Number of rows, words of a sketch, then the planes."""
+    return planes.shape[1].to_bytes(4, "little") + width.to_bytes(4, "little") + np.ascontiguousarray(planes).tobytes()
 
 
 def from_block(raw: bytes) -> dict[str, np.ndarray]:
@@ -233,12 +295,18 @@ def wide_parity(word: np.ndarray, first: np.ndarray, size: np.ndarray, width: in
 def _prefix_rows(percent: int, levels, parts: int, words=None):
     """(doc_id, text, tie) -> blocks of prefix rows, one for each part and width.
 
-    With ``words`` only of words in that bit set, and with the words of their lines beside the block.
+    With ``words``, a bit set of ``plain_keys`` and ``class_keys``, only of words
+    and sizes in it, and with the words of their lines beside the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         wanted = None if words is None else bit_table(words)
+        edges = size_edges(percent)
+
+        def size_class(size: np.ndarray) -> np.ndarray:
+            return np.searchsorted(edges, np.minimum(size, MAX_SIZE), side="right")
+
         #: For each width class: prefix rows (word, line number in heads, place) and parities of its lines.
         held: list[tuple[np.ndarray, ...]] = []
         heads: list[tuple[np.ndarray, ...]] = []
@@ -260,31 +328,36 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
             word, own, place = (np.concatenate([h[i] for h in held]) for i in range(3))
             pick = keep[own]
             word, own, place = word[pick], own[pick], place[pick]
-            rows = {"word": word, "set_id": set_id[own] & np.uint64(0xFFFFFFFF), "doc": doc[own], "line": line[own], "tie": tie[own], "size": np.minimum(size[own], 65535), "place": np.minimum(place, 255)}
+            rows = {"word": word, "set_id": set_id[own] & np.uint64(0xFFFFFFFF), "doc": doc[own], "line": line[own], "tie": tie[own], "size": np.minimum(size[own], MAX_SIZE), "place": np.minimum(place, MAX_PLACE)}
             if wanted is None and len(gone):
                 spread = mix(set_id[gone] ^ doc[gone].view(np.uint64))
                 zero = np.zeros(len(gone), np.int64)
                 more = {"word": spread, "set_id": set_id[gone] & np.uint64(0xFFFFFFFF), "doc": doc[gone], "line": line[gone], "tie": tie[gone], "size": zero, "place": zero}
                 rows = {c: np.concatenate([v, more[c].astype(v.dtype)]) for c, v in rows.items()}
             row_class = np.concatenate([klass[own], np.zeros(len(rows["word"]) - len(own), np.int64)])
-            part = (mix(rows["word"]) % np.uint64(parts)).astype(np.int64)
             at_class = np.zeros(len(size), np.int64)
             first, flat = np.cumsum(size) - size, np.concatenate(hashes) if hashes else None
+            deal = row_class * parts + (mix(rows["word"]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(deal.astype(np.uint16) if len(WIDTHS) * parts < 1 << 16 else deal, kind="stable")
+            rows, source = {c: v[order] for c, v in rows.items()}, np.append(own, np.full(len(deal) - len(own), -1))[order]
+            ends = np.searchsorted(deal[order], np.arange(len(WIDTHS) * parts + 1))
             out = []
-            for k in range(len(WIDTHS)):
+            for k, (_, width) in enumerate(WIDTHS):
                 lines = np.flatnonzero(klass == k)
                 at_class[lines] = np.arange(len(lines))
-                parity = np.concatenate(sketches[k]) if sketches[k] else np.zeros((0, WIDTHS[k][1]), np.uint64)
-                mine = np.flatnonzero(row_class == k)
-                mine = mine[np.argsort(part[mine], kind="stable")]
-                ends = np.searchsorted(part[mine], np.arange(parts + 1))
-                for i in np.flatnonzero(np.diff(ends)):
-                    r = mine[ends[i] : ends[i + 1]]
-                    real = r < len(own)
-                    p = np.zeros((len(r), WIDTHS[k][1]), np.uint64)
-                    p[real] = parity[at_class[own[r[real]]]]
-                    beside = None if flat is None else size[own[r]].astype("<u4").tobytes() + flat[ranges(first[own[r]], size[own[r]])].astype("<u8").tobytes()
-                    out.append((int(i), to_block({c: v[r] for c, v in rows.items()}, p), beside))
+                lo, hi = ends[k * parts], ends[(k + 1) * parts]
+                if lo == hi:
+                    continue
+                p = np.zeros((hi - lo, width), np.uint64)
+                real = np.flatnonzero(source[lo:hi] >= 0)
+                if len(real):
+                    p[real] = np.concatenate(sketches[k])[at_class[source[lo:hi][real]]]
+                planes = to_planes({c: v[lo:hi] for c, v in rows.items()}, p)
+                mine = ends[k * parts : (k + 1) * parts + 1]
+                for i in np.flatnonzero(np.diff(mine)):
+                    a, b = mine[i], mine[i + 1]
+                    beside = None if flat is None else size[source[a:b]].astype("<u4").tobytes() + flat[ranges(first[source[a:b]], size[source[a:b]])].astype("<u8").tobytes()
+                    out.append((int(i), to_block(planes[:, a - lo : b - lo], width), beside))
             return out
 
         def batch_of(blocks: list[tuple[int, bytes, bytes | None]]) -> pa.RecordBatch:
@@ -296,22 +369,18 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
                 part = batch.slice(at, 2000)
                 ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
                 texts = _texts(part.column(1))
-                number = np.arange(len(texts))
-                if wanted is not None:  # few texts have any of the words
-                    number = np.concatenate([lo + _with_words(texts[lo:hi], table, wanted) for lo, hi in slices(texts)]).astype(np.int64)
-                    texts = [texts[i] for i in number]
-                for lo, _, own, skipped in _line_slices(texts):
+                for lo, own, line, skipped in _pieces(texts, wanted):
                     x = LineSets(own, table, hashes=wanted is not None)
                     if not len(x.line):
                         continue
                     prefix = x.size - need(x.size, percent) + 1
                     pick = np.flatnonzero(x.place < prefix[x.owner])
                     if wanted is not None:
-                        pick = pick[has(*wanted, x.word[pick])]
+                        pick = pick[has(*wanted, class_keys(x.word[pick], size_class(x.size)[x.owner[pick]]))]
                         hashes.append(x.hash)
                     held.append((x.word[pick], x.owner[pick] + count, x.place[pick]))
-                    row = number[lo + x.text]
-                    heads.append((x.set_id, ids[row].astype(np.int64), x.line + skipped, ties[row].astype(np.int64), x.size, x.word[x.first]))
+                    row = lo + x.text if wanted is None else lo[x.text]
+                    heads.append((x.set_id, ids[row].astype(np.int64), x.line + skipped if wanted is None else line[x.text], ties[row].astype(np.int64), x.size, x.word[x.first]))
                     klass = width_class(x.size)
                     for k, (_, width) in enumerate(WIDTHS):
                         lines = np.flatnonzero(klass == k)
@@ -339,20 +408,37 @@ class Rows:
         self.size, self.place = row["size"].astype(np.int64), row["place"].astype(np.int64)
         # More differing bits than this no partner of any size can make up for.
         widest = self.size * 100 // percent + self.size
-        self.most = np.minimum(64, widest - 2 * (percent * widest // (100 + percent))).astype(np.uint8)
+        # Sizes of partners: by the length filter, and those that what stands after the shared word is enough for.
+        self.low = need(self.size, percent)
+        self.high = np.minimum(self.size * 100, (self.size - self.place) * (100 + percent) - percent * self.size) // percent
+        self.spare = widest - 2 * (percent * widest // (100 + percent))
+        self.most = np.minimum(64, self.spare).astype(np.uint8)
+        # Of wider sketches, half of a fold to 128 bits; the other half is what is left of the fold to 64.
+        self.half = np.zeros(len(self.size), np.uint64)
+        self.deep = row["width"] > 1
+        deep = np.flatnonzero(self.deep)
+        self.half[deep] = np.bitwise_xor.reduce(wide[row["wide_at"][deep]][:, ::2], axis=1)
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The quick test that nearly all other pairs fail."""
-        return np.bitwise_count(self.parity[x] ^ self.parity[y]) <= self.most[y]
+        """Of pairs that pass the quick test of 64 bits, those of like lengths that pass it on 128 bits where both have them."""
+        sx = self.size[x]
+        keep = np.flatnonzero((self.low[y] <= sx) & (sx <= self.high[y]))
+        keep = keep[self.size[y[keep]] <= self.high[x[keep]]]
+        x, y = x[keep], y[keep]
+        half = self.half[x] ^ self.half[y]
+        apart = np.bitwise_count(half) + np.bitwise_count(self.parity[x] ^ self.parity[y] ^ half)
+        return keep[(apart <= self.spare[y]) | ~(self.deep[x] & self.deep[y])]
 
     def fits(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether pairs pass the length, positional and parity filters, and whether by a wide margin."""
-        sx, sy, p, r = self.size[x], self.size[y], self.percent, self.row
+        """Which pairs pass the length, positional and parity filters, and whether by a wide margin."""
+        p, r = self.percent, self.row
+        keep = self.near(x, y)
+        x, y = x[keep], y[keep]
+        sx, sy = self.size[x], self.size[y]
         least = (p * (sx + sy) + 99 + p) // (100 + p)
-        ok = (np.minimum(sx - self.place[x], sy - self.place[y]) >= least) & (need(np.maximum(sx, sy), p) <= np.minimum(sx, sy))
         spare = sx + sy - 2 * least
         apart = np.bitwise_count(self.parity[x] ^ self.parity[y]).astype(np.int64)
-        ok &= apart <= spare
+        ok = (np.minimum(sx - self.place[x], sy - self.place[y]) >= least) & (apart <= spare)
         for w in sorted({n for _, n in WIDTHS if n > 1}):
             deep = np.flatnonzero(ok & (np.minimum(r["width"][x], r["width"][y]) >= w))
             if len(deep):
@@ -361,7 +447,7 @@ class Rows:
                 fold = np.bitwise_xor.reduce(diff.reshape(len(deep), -1, w), axis=1)
                 apart[deep] = np.bitwise_count(fold).sum(axis=1)
                 ok[deep] &= apart[deep] <= spare[deep]
-        return ok, ok & (2 * apart <= spare)
+        return keep[ok], (2 * apart <= spare)[ok]
 
 
 #: Rows of a run that are compared step by step; longer runs go on in squares of so many rows.
@@ -412,15 +498,15 @@ def match_runs(rows: Rows, limit: int, want: np.ndarray | None = None, similar=N
     found = Found(n)
 
     def settle(y: np.ndarray) -> np.ndarray:
-        """Those of ``y`` that still want candidates."""
+        """Which of ``y`` want no more candidates, though there are more rows."""
         done = found.sure[y] if similar else found.sure[y] | (found.made[y] >= limit)
         found.cut[y[done]] = True
-        return y[~done]
+        return done
 
     def meet(x: np.ndarray, y: np.ndarray) -> None:
         """Pairs that passed the quick test, in order of y, then x."""
         fits, alike = rows.fits(x, y)
-        x, y, alike = x[fits], y[fits], alike[fits]
+        x, y = x[fits], y[fits]
         if not len(y):
             return
         if similar:
@@ -434,14 +520,26 @@ def match_runs(rows: Rows, limit: int, want: np.ndarray | None = None, similar=N
         found.best[who[new]] = x[alike][at[new]]
         found.sure[who] = True
 
+    # Rows late in their runs first, so that those with a k-th row before them stand in front.
+    back = first[live] - live
+    order = np.argsort(back, kind="stable")
+    y, back, open_ = live[order], back[order], np.ones(len(live), bool)
+    start, parity, most = first[y], rows.parity[y], rows.most[y]
     for k in range(STEPS):
-        if not len(live):
+        n = int(np.searchsorted(back, -k))
+        if not n:
             break
-        x = first[live] + k
-        near = np.flatnonzero(rows.near(x, live))
+        x = start[:n] + k
+        near = np.flatnonzero(np.bitwise_count(rows.parity[x] ^ parity[:n]) <= most[:n])
+        near = near[open_[near]]
         if len(near):
-            meet(x[near], live[near])
-        live = settle(live[x + 1 < live])
+            meet(x[near], y[near])
+            near = near[back[near] < -k - 1]
+            open_[near[settle(y[near])]] = False
+            if k % 4 == 3 and 8 * np.count_nonzero(open_[:n]) < 7 * n:
+                left = np.flatnonzero(open_[:n])
+                y, back, start, parity, most, open_ = (v[left] for v in (y, back, start, parity, most, open_))
+    live = np.sort(y[open_ & (back < -STEPS)])
     for own in np.split(live, np.flatnonzero(np.diff(first[live])) + 1) if len(live) else []:
         begin, end = first[own[0]] + STEPS, own[-1]
         sizes = rows.size[begin:end]
@@ -459,7 +557,7 @@ def match_runs(rows: Rows, limit: int, want: np.ndarray | None = None, similar=N
                     if len(i):
                         meet(x[j], y[i])
                     at += len(x)
-                    y = settle(y)
+                    y = y[~settle(y)]
     return found
 
 
@@ -470,7 +568,7 @@ GONE, ONLY, SURE, MAYBE = 0, 1, 2, 3
 
 
 def _match_rows(percent: int, limit: int, open_lines=None):
-    """Blocks sorted by part -> lines that go, and lines with their best candidate and the words by which they have any.
+    """Blocks sorted by part -> lines that go, and lines with their best candidate and the words by which they have any (``class_keys``).
 
     With ``open_lines``, a bit set of places, only those lines are looked at, and
     all their candidates are verified on the words beside the blocks.
@@ -478,6 +576,7 @@ def _match_rows(percent: int, limit: int, open_lines=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if open_lines is None else bit_table(open_lines)
+        edges = size_edges(percent)
 
         def handle(blocks: list[tuple[bytes, bytes | None]]) -> pa.RecordBatch:
             got = [from_block(b) for b, _ in blocks]
@@ -494,7 +593,11 @@ def _match_rows(percent: int, limit: int, open_lines=None):
 
             # Lines and words by number, so that each order is one sort of one number. Lines count up in their order.
             n = len(known)
-            order = np.lexsort((row["tie"], row["line"], row["doc"]))
+            least, most = int(row["doc"].min()), int(row["doc"].max())
+            if row["tie"].any() or most - least >= 1 << 31:
+                order = np.lexsort((row["tie"], row["line"], row["doc"]))
+            else:
+                order = np.argsort((row["doc"] - least) << 32 | row["line"])
             new = np.zeros(n, bool)
             for c in ("doc", "line", "tie"):
                 new[1:] |= row[c][order[1:]] != row[c][order[:-1]]
@@ -511,8 +614,8 @@ def _match_rows(percent: int, limit: int, open_lines=None):
             order = np.flatnonzero(~known & (rows_in[run_no] > 1))  # words of one line only are done
             # Of equal sets the first goes on.
             key = run_no[order] << 32 | row["set_id"][order]
-            order = order[np.argsort(key, kind="stable")]
-            key.sort()
+            by_key = np.argsort(key)
+            order, key = order[by_key], key[by_key]
             many = np.zeros(len(key) + 1, bool)
             many[1:-1] = key[1:] == key[:-1]
             many = np.flatnonzero(many[1:] | many[:-1])
@@ -528,7 +631,7 @@ def _match_rows(percent: int, limit: int, open_lines=None):
             order = order[np.bincount(run_no[order], minlength=n + 1)[run_no[order]] > 1]
             order = order[np.argsort(run_no[order] << 32 | line_no[order])]
             own, other, kind = (np.empty(0, np.int64) for _ in range(3))
-            words, ends = np.empty(0, np.uint64), np.zeros(1, np.int64)
+            keys, ends = np.empty(0, np.uint64), np.zeros(1, np.int64)
             if len(order):
                 row, line_no = {c: v[order] for c, v in row.items()}, line_no[order]
                 if table is not None:
@@ -549,12 +652,16 @@ def _match_rows(percent: int, limit: int, open_lines=None):
                     other = best[begin]
                     alone = (got.made[met] == 1) & ~got.cut[met] & (best == np.repeat(other, np.diff(np.append(begin, len(met)))))
                     kind = np.where(np.logical_and.reduceat(alone, begin), ONLY, np.where(got.sure[met[begin]], SURE, MAYBE)) if len(met) else kind
-                    words, ends = row["word"][met], np.append(begin, len(met))
+                    # The word with each class of sizes that a similar set may have.
+                    size = row["size"][met].astype(np.int64)
+                    lo, hi = (np.searchsorted(edges, s, side="right") for s in (need(size, percent), np.minimum(100 * size // percent, MAX_SIZE)))
+                    keys = class_keys(np.repeat(row["word"][met], hi - lo + 1), ranges(lo, hi - lo + 1))
+                    ends = np.concatenate(([0], np.cumsum(hi - lo + 1)))[np.append(begin, len(met))]
             lost = np.unique(np.concatenate(gone))
             line = np.concatenate([lost, own]).astype(np.int64)
             partner = np.concatenate([lost, other]).astype(np.int64)
             kinds = np.concatenate([np.full(len(lost), GONE), kind])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(lost), np.int32), ends.astype(np.int32)])), pa.array(words.view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(lost), np.int32), ends.astype(np.int32)])), pa.array(keys.view(np.int64)))
             return pa.RecordBatch.from_arrays([*[pa.array(c[line]) for c in place], *[pa.array(c[partner]) for c in place], pa.array(kinds, pa.int32()), lists], names=FOUND_NAMES)
 
         at, held = None, []
@@ -589,10 +696,14 @@ def _needed_lines(doc_bits, line_bits):
                 at += [i] * len(no)
                 numbers += no.tolist()
                 lines += [own[k] for k in no]
-            w = Words(lines) if lines else None
-            words = [np.unique(w.hash[w.first[k] : w.first[k + 1]]).view(np.int64) for k in range(len(lines))]
+            w = Words(lines)
+            order = np.lexsort((w.hash, w.text))
+            h, own = w.hash[order], w.text[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))[: len(h)]
+            first = np.searchsorted(own[new], np.arange(len(lines) + 1)).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(first), pa.array(h[new].view(np.int64)))
             at = np.array(at, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(numbers, pa.int64()), pa.array(ties[at]), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "line", "tie", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(numbers, pa.int64()), pa.array(ties[at]), words], names=["doc_id", "line", "tie", "words"])
         give_back()
 
     return run
@@ -633,7 +744,9 @@ def repeated_lines(rows: DataFrame, *, percent: int = PERCENT, first: int = FIRS
     gone = cut(known.unionAll(_verified(rows, best.drop("more"), percent)).distinct())
     more = cut(best.where("more").select(*PLACE).join(gone, PLACE, "left_anti"))
     if more.limit(1).count():
-        words = bit_set(found.join(more, PLACE, "left_semi").select(F.explode("words").alias("word")).distinct(), "word")
+        keys = found.join(more, PLACE, "left_semi").select(F.explode("words").alias("word")).distinct()
+        plain = F.col("word").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+        words = bit_set(cut(keys.select(F.explode(F.array("word", plain)).alias("word")).distinct()), "word", WORD_BITS)
         open_lines = bit_set(more.select(_place_key().alias("own")).distinct(), "own")
         rest = met(words).mapInArrow(_match_rows(percent, first, open_lines), FOUND_SCHEMA)
         gone = cut(gone.unionAll(rest.select(*PLACE)).distinct())
