@@ -145,3 +145,39 @@ def test_texts_of_any_column():
         for a, b in ((0, 6), (1, 4), (2, 2), (5, 6)):
             want = [(v or "").translate(brute.LOWER).encode() for v in values[a:b]]
             assert lines._texts(pa.array(values, kind)[a:b]) == want
+
+
+def test_second_round_sends_open_lines_and_their_candidates():
+    """Lines of one size share a word; one of them is open, and one other has most of its words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.hashing import Words
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    def bits(keys):
+        table = np.zeros(1 << 20, np.uint8)
+        table[(lines.mix(keys) & np.uint64((1 << 20) - 1)).astype(np.int64)] = 1
+        return Sent(np.packbits(table, bitorder="little").tobytes())
+
+    levels = Sent(np.zeros(lines.COUNTERS, np.uint8))
+    key = lines.word_keys(Words([b"wanted"]).hash, levels.value)
+    later = [f"v{i}" for i in range(2000) if lines.word_keys(Words([f"v{i}".encode()]).hash, levels.value)[0] > key[0]]
+    texts = ["other line\n" + " ".join(["wanted", *later[9 * n : 9 * n + 9]]) for n in range(20)]
+    texts[19] = "other line\n\n" + " ".join(["wanted", *later[27:35], later[900]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts), pa.array([0] * 20, pa.int64())], names=["doc_id", "text", "tie"])
+    wanted = bits(lines.class_keys(key, np.searchsorted(lines.size_edges(80), [10], side="right")))
+    zero = np.zeros(1, np.int64)
+    open_lines = bits(lines.place_key(zero + 19, zero + 2, zero))
+    blocks = list(lines._prefix_rows(80, levels, 1)(iter([batch])))
+    found = [tuple(r[c] for c in lines.PLACE) for b in lines._match_rows(80, 4, open_lines, wanted)(iter(blocks)) for r in b.to_pylist()]
+    assert found == [(3, 1, 0)]
+    places = bits(np.array([3, 19], np.uint64)), bits(lines.place_key(np.array([3, 19]), np.array([1, 2]), np.zeros(2, np.int64)))
+    second = list(lines._prefix_rows(80, levels, 1, wanted, places)(iter([batch])))
+    sent = sorted((int(d), int(n)) for b in second for raw in b.column(1) for x in [lines.from_block(raw.as_py())] for d, n in zip(x["doc"], x["line"], strict=True))
+    assert sent == [(3, 1), (19, 2)]
+    gone = [tuple(r[c] for c in lines.PLACE) for b in lines._match_rows(80, 4, open_lines)(iter(second)) for r in b.to_pylist()]
+    assert gone == [(19, 2, 0)]

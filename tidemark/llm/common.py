@@ -74,11 +74,24 @@ def sealed(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[Da
     return df.toDF(*inner.values()), inner.__getitem__, restore
 
 
-def give_back() -> None:
-    """Returns a Python worker's unused memory to the machine; workers live on between tasks."""
+def keep_memory() -> None:
+    """Lets a Python worker use its freed memory again within a task, where the C library would return it and fault it in anew. It holds for the worker's life; ``give_back`` returns what is left."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, its greatest value
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def give_back(generation: int = 2) -> None:
+    """Returns a Python worker's unused memory to the machine; workers live on between tasks.
+
+    Generation 1 leaves out old objects, mostly the libraries': to look through them can take longer than a small task.
+    """
     import pyarrow as pa
 
-    gc.collect()
+    gc.collect(generation)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -22,8 +22,8 @@ is verified against one candidate, the surest and earliest: one pair for each
 line, however many near copies it has. Lines whose candidate fails and that have
 others meet those again in blocks that carry the words of both, where all
 candidates are verified on the spot, and no pair leaves the task. That round
-builds only lines with a word by which open lines had candidates, and sends those
-whose size is in a class that a set similar to the open line may have.
+reads the first round's shuffle again for the candidates of open lines, and
+builds only these and the open lines from the texts.
 
 Defined cases: a null text has no lines and stays null; an empty text has one
 blank line; rows with a null id lose no lines and match none; of rows with one
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bits import bit_set, bit_table, has
-from tidemark.llm.common import bound, cut, give_back, read_table, sealed
+from tidemark.llm.common import bound, cut, give_back, keep_memory, read_table, sealed
 from tidemark.llm.hashing import Words, mix, slices
 
 PERCENT = 80
@@ -58,8 +58,10 @@ TASK_LINES = 60_000
 LINE_BITS = 20
 #: Words of the corpus for each part that they are dealt to.
 PART_WORDS = 2_000_000
+#: Lines of the second round for each part.
+PART_LINES = 5_000
 _HASH_BITS = 64 - 8 - LINE_BITS
-#: Bits for each word that the second round looks for: lines have many words, so few may hit by chance.
+#: Bits for each word and class of sizes that the second round looks for: prefix rows are many, so few may hit by chance.
 WORD_BITS = 64
 #: Greater sizes and places of prefix rows stop there, which weakens filters and loses nothing.
 MAX_SIZE, MAX_PLACE = 65535, 255
@@ -80,12 +82,14 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (chunk, counts) of the words' counters."""
+    keep_memory()
     counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        texts = _texts(batch.column(0))
-        h = [Words(texts[lo:hi]).hash >> np.uint64(64 - COUNTER_BITS) for lo, hi in slices(texts)]
-        counts += np.bincount(np.concatenate([*h, np.empty(0, np.uint64)]).astype(np.int64), minlength=COUNTERS)
-    give_back()
+        for at in range(0, batch.num_rows, 2000):
+            texts = _texts(batch.column(0).slice(at, 2000))
+            h = [(Words(texts[lo:hi]).hash >> np.uint64(64 - COUNTER_BITS)).view(np.int64) for lo, hi in slices(texts)]
+            counts += np.bincount(np.concatenate([*h, np.empty(0, np.int64)]), minlength=COUNTERS)
+    give_back(1)
     parts = counts.reshape(-1, CHUNK)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int64()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
 
@@ -127,29 +131,25 @@ def size_edges(percent: int) -> np.ndarray:
     return np.array(edges)
 
 
-def class_keys(word: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """One key of words and classes of sizes, never the same as one of ``plain_keys``."""
-    return word | (klass + 1).astype(np.uint64) << np.uint64(64 - LINE_BITS)
+def size_classes(size: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.searchsorted(edges, np.minimum(size, MAX_SIZE), side="right")
 
 
-def plain_keys(h: np.ndarray) -> np.ndarray:
-    """What ``word_keys`` keep of word hashes, without their rarity."""
-    return mix(h) >> np.uint64(64 - _HASH_BITS)
+def class_keys(word: np.ndarray, klass: np.ndarray) -> np.ndarray:
+    """One key of words and classes of sizes."""
+    return word | (klass + 1).astype(np.uint64) << np.uint64(64 - LINE_BITS)
 
 
-def _wanted_lines(texts: list[bytes], wanted) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(text, line, the line itself) of all lines with a word of the bit set ``wanted``."""
-    w = Words(texts)
-    raw = np.frombuffer(w.raw, np.uint8)
-    begin = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-    hit = np.flatnonzero(has(*wanted, plain_keys(w.hash)))
-    # Pieces end at line breaks and between texts.
-    ends = np.unique(np.concatenate([np.flatnonzero(raw == 10), begin[1:] - 1, [len(raw)]]))
-    piece = np.unique(np.searchsorted(ends, w.begin[hit]))
-    text = np.searchsorted(begin, ends[piece], side="right") - 1
-    line = piece - np.searchsorted(ends, begin)[text]
-    starts = np.where(piece > 0, ends[piece - 1] + 1, 0)
-    return text, line, [w.raw[a:b] for a, b in zip(starts.tolist(), ends[piece].tolist(), strict=True)]
+def _placed_lines(texts: list[bytes], ids: np.ndarray, ties: np.ndarray, places) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(text, line, the line itself) of all lines whose place is in the bit sets ``places`` of documents and lines."""
+    at, numbers, lines = [], [], []
+    for i in np.flatnonzero(has(*places[0], ids.view(np.uint64))).tolist():
+        own = texts[i].split(b"\n")
+        no = np.flatnonzero(has(*places[1], place_key(ids[i], np.arange(len(own), dtype=np.int64), ties[i]))).tolist()
+        at += [i] * len(no)
+        numbers += no
+        lines += [own[k] for k in no]
+    return np.array(at, np.int64), np.array(numbers, np.int64), lines
 
 
 class LineSets:
@@ -211,17 +211,17 @@ def _line_slices(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes], in
                 yield lo + i, lo + i + 1, [b"\n".join(lines[at : at + limit])], at
 
 
-def _pieces(texts: list[bytes], wanted) -> Iterator[tuple]:
-    """What LineSets are made of: (first text, texts, -, lines before); with ``wanted`` (texts, lines, their numbers, -) of the lines that have one of these words."""
-    if wanted is None:
+def _pieces(texts: list[bytes], ids: np.ndarray, ties: np.ndarray, places) -> Iterator[tuple]:
+    """What LineSets are made of: (first text, texts, -, lines before); with ``places`` (texts, lines, their numbers, -) of the lines there."""
+    if places is None:
         for lo, _, own, skipped in _line_slices(texts):
             yield lo, own, None, skipped
         return
-    for lo, hi in slices(texts):
-        text, line, own = _wanted_lines(texts[lo:hi], wanted)
-        for at in range(0, len(own), 1 << LINE_BITS):
-            end = at + (1 << LINE_BITS)
-            yield lo + text[at:end], own[at:end], line[at:end], 0
+    text, line, own = _placed_lines(texts, ids, ties, places)
+    for lo, hi in slices(own):
+        for at in range(lo, hi, 1 << LINE_BITS):
+            end = min(hi, at + (1 << LINE_BITS))
+            yield text[at:end], own[at:end], line[at:end], 0
 
 
 #: A row of a block: a word of a line's prefix. size 0: a line known to repeat an earlier one.
@@ -265,15 +265,23 @@ def to_block(planes: np.ndarray, width: int) -> bytes:
     return planes.shape[1].to_bytes(4, "little") + width.to_bytes(4, "little") + np.ascontiguousarray(planes).tobytes()
 
 
-def from_block(raw: bytes) -> dict[str, np.ndarray]:
-    n, width, at, out = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little"), 8, {}
+def from_block(raw: bytes, choose=None) -> dict[str, np.ndarray]:
+    """The block's columns; with ``choose``, of those rows alone whose words and sizes it says yes to."""
+    n, width, at, planes = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little"), 8, {}
     for c, t in COLUMNS.items():
-        if c == "parity":
-            continue
-        k = np.dtype(t).itemsize
-        out[c] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * k, at).reshape(k, n).T).view(t).reshape(n)
+        k = np.dtype(t).itemsize if c != "parity" else 0
+        planes[c] = np.frombuffer(raw, np.uint8, n * k, at).reshape(k, n)
         at += n * k
-    wide = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8 * width, at).reshape(8 * width, n).T).view("<u8").reshape(n, width)
+    planes["parity"] = np.frombuffer(raw, np.uint8, n * 8 * width, at).reshape(8 * width, n)
+
+    def column(c: str) -> np.ndarray:
+        return np.ascontiguousarray(planes[c].T).view(COLUMNS[c]).reshape(planes[c].shape[1], -1)
+
+    if choose is not None:
+        pick = np.flatnonzero(choose(column("word")[:, 0], column("size")[:, 0]))
+        n, planes = len(pick), {c: p[:, pick] for c, p in planes.items()}
+    out = {c: column(c)[:, 0] for c in COLUMNS if c != "parity"} if n else {c: np.empty(0, t) for c, t in COLUMNS.items() if c != "parity"}
+    wide = column("parity") if n else np.empty((0, width), np.uint64)
     # Narrow sketches are all in the fold; wide ones come beside, in rows as wide as the widest.
     out["parity"] = np.bitwise_xor.reduce(wide, axis=1) if n else np.empty(0, np.uint64)
     out["width"] = np.full(n, width, np.uint8)
@@ -292,21 +300,20 @@ def wide_parity(word: np.ndarray, first: np.ndarray, size: np.ndarray, width: in
     return out
 
 
-def _prefix_rows(percent: int, levels, parts: int, words=None):
+def _prefix_rows(percent: int, levels, parts: int, words=None, places=None):
     """(doc_id, text, tie) -> blocks of prefix rows, one for each part and width.
 
-    With ``words``, a bit set of ``plain_keys`` and ``class_keys``, only of words
-    and sizes in it, and with the words of their lines beside the block.
+    With ``words``, a bit set of ``class_keys``, and ``places``, bit sets of
+    documents and of places, only of words, sizes and lines in them, and with the
+    words of the lines beside the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         table = levels.value
         wanted = None if words is None else bit_table(words)
+        there = None if places is None else [bit_table(p) for p in places]
         edges = size_edges(percent)
-
-        def size_class(size: np.ndarray) -> np.ndarray:
-            return np.searchsorted(edges, np.minimum(size, MAX_SIZE), side="right")
-
         #: For each width class: prefix rows (word, line number in heads, place) and parities of its lines.
         held: list[tuple[np.ndarray, ...]] = []
         heads: list[tuple[np.ndarray, ...]] = []
@@ -367,20 +374,20 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+                ids, ties = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
                 texts = _texts(part.column(1))
-                for lo, own, line, skipped in _pieces(texts, wanted):
+                for lo, own, line, skipped in _pieces(texts, ids, ties, there):
                     x = LineSets(own, table, hashes=wanted is not None)
                     if not len(x.line):
                         continue
                     prefix = x.size - need(x.size, percent) + 1
                     pick = np.flatnonzero(x.place < prefix[x.owner])
                     if wanted is not None:
-                        pick = pick[has(*wanted, class_keys(x.word[pick], size_class(x.size)[x.owner[pick]]))]
+                        pick = pick[has(*wanted, class_keys(x.word[pick], size_classes(x.size, edges)[x.owner[pick]]))]
                         hashes.append(x.hash)
                     held.append((x.word[pick], x.owner[pick] + count, x.place[pick]))
-                    row = lo + x.text if wanted is None else lo[x.text]
-                    heads.append((x.set_id, ids[row].astype(np.int64), x.line + skipped if wanted is None else line[x.text], ties[row].astype(np.int64), x.size, x.word[x.first]))
+                    row = lo + x.text if line is None else lo[x.text]
+                    heads.append((x.set_id, ids[row], x.line + skipped if line is None else line[x.text], ties[row], x.size, x.word[x.first]))
                     klass = width_class(x.size)
                     for k, (_, width) in enumerate(WIDTHS):
                         lines = np.flatnonzero(klass == k)
@@ -395,7 +402,7 @@ def _prefix_rows(percent: int, levels, parts: int, words=None):
         if count:
             yield batch_of(flush())
         held, heads, hashes, sketches = [], [], [], []
-        give_back()
+        give_back(1)
 
     return run
 
@@ -567,24 +574,31 @@ FOUND_SCHEMA = "doc_id long, line long, tie long, x_doc long, x_line long, x_tie
 GONE, ONLY, SURE, MAYBE = 0, 1, 2, 3
 
 
-def _match_rows(percent: int, limit: int, open_lines=None):
-    """Blocks sorted by part -> lines that go, and lines with their best candidate and the words by which they have any (``class_keys``).
+def _match_rows(percent: int, limit: int, open_lines=None, words=None):
+    """All blocks of some parts -> lines that go, and lines with their best candidate and the words by which they have any (``class_keys``).
 
     With ``open_lines``, a bit set of places, only those lines are looked at, and
-    all their candidates are verified on the words beside the blocks.
+    all their candidates are verified on the words beside the blocks; with
+    ``words`` too, a bit set of ``class_keys``, blocks are of the first round and
+    all these candidates are given instead, each once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         table = None if open_lines is None else bit_table(open_lines)
+        wanted = None if words is None else bit_table(words)
         edges = size_edges(percent)
 
-        def handle(blocks: list[tuple[bytes, bytes | None]]) -> pa.RecordBatch:
-            got = [from_block(b) for b, _ in blocks]
+        def choose(word: np.ndarray, size: np.ndarray) -> np.ndarray:
+            return (size > 0) & has(*wanted, class_keys(word, size_classes(size, edges)))
+
+        def handle(blocks: list[tuple[dict[str, np.ndarray], bytes | None]]) -> pa.RecordBatch:
+            got = [g for g, _ in blocks]
             wide = np.concatenate([g.pop("wide") for g in got])
             row = {n: np.concatenate([g[n] for g in got]) for n in got[0]}
             row["wide_at"] = np.cumsum(row["width"] > 1) - 1
             row["line"] = row["line"].astype(np.int64)
-            if table is not None:
+            if table is not None and wanted is None:
                 row["n"] = np.concatenate([np.frombuffer(w, "<u4", len(g["word"])) for (_, w), g in zip(blocks, got, strict=True)]).astype(np.int64)
                 row["at"] = np.cumsum(row["n"]) - row["n"]
                 flat = np.concatenate([np.frombuffer(w, "<u8", offset=4 * len(g["word"])) for (_, w), g in zip(blocks, got, strict=True)])
@@ -637,12 +651,20 @@ def _match_rows(percent: int, limit: int, open_lines=None):
                 if table is not None:
                     want = has(*table, place_key(row["doc"], row["line"], row["tie"]))
 
+                    met = np.zeros(len(want), bool)
+
                     def similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                        if wanted is not None:
+                            met[x] = True
+                            return np.zeros(len(x), bool)
                         both = shared_words(flat, row["at"], row["n"], x, y)
                         return 100 * both >= percent * (row["n"][x] + row["n"][y] - both)
 
                     got = match_runs(Rows(row, wide, percent), limit, want, similar)
                     gone.append(line_no[got.sure])
+                    if wanted is not None:
+                        own = other = np.unique(line_no[met])
+                        kind, ends = np.full(len(own), MAYBE), np.zeros(len(own) + 1, np.int64)
                 else:
                     got = match_runs(Rows(row, wide, percent), limit)
                     met = np.flatnonzero(got.made)
@@ -657,25 +679,24 @@ def _match_rows(percent: int, limit: int, open_lines=None):
                     lo, hi = (np.searchsorted(edges, s, side="right") for s in (need(size, percent), np.minimum(100 * size // percent, MAX_SIZE)))
                     keys = class_keys(np.repeat(row["word"][met], hi - lo + 1), ranges(lo, hi - lo + 1))
                     ends = np.concatenate(([0], np.cumsum(hi - lo + 1)))[np.append(begin, len(met))]
-            lost = np.unique(np.concatenate(gone))
+            lost = np.unique(np.concatenate(gone)) if wanted is None else np.empty(0, np.int64)
             line = np.concatenate([lost, own]).astype(np.int64)
             partner = np.concatenate([lost, other]).astype(np.int64)
             kinds = np.concatenate([np.full(len(lost), GONE), kind])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(lost), np.int32), ends.astype(np.int32)])), pa.array(keys.view(np.int64)))
             return pa.RecordBatch.from_arrays([*[pa.array(c[line]) for c in place], *[pa.array(c[partner]) for c in place], pa.array(kinds, pa.int32()), lists], names=FOUND_NAMES)
 
-        at, held = None, []
+        held: dict[int, list] = {}  # a partition has few parts
         for batch in batches:
-            for part, block, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if part != at and held:
-                    yield handle(held)
-                    held = []
-                at = part
-                held.append((block.as_py(), words.as_py()))
-        if held:
-            yield handle(held)
-        held = []
-        give_back()
+            for part, block, beside in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                held.setdefault(part, []).append((block.as_py(), beside.as_py()))
+        for part in sorted(held):
+            blocks = [(from_block(block, None if wanted is None else choose), beside) for block, beside in held.pop(part)]
+            blocks = [(b, beside) for b, beside in blocks if len(b["word"])]
+            if blocks:
+                yield handle(blocks)
+                del blocks
+        give_back(1)
 
     return run
 
@@ -684,27 +705,19 @@ def _needed_lines(doc_bits, line_bits):
     """(doc_id, text, tie) -> (doc_id, line, tie, words: 64-bit hashes) of the lines in the bit sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         doc_table, line_table = bit_table(doc_bits), bit_table(line_bits)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ties = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = batch.column(1)
-            at, numbers, lines = [], [], []
-            for i in np.flatnonzero(has(*doc_table, ids.view(np.uint64))):
-                own = texts[int(i)].as_py().encode("utf-8", "replace").lower().split(b"\n")
-                no = np.flatnonzero(has(*line_table, place_key(ids[i], np.arange(len(own), dtype=np.int64), ties[i])))
-                at += [i] * len(no)
-                numbers += no.tolist()
-                lines += [own[k] for k in no]
+            ids, ties = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+            at, numbers, lines = _placed_lines(_texts(batch.column(1)), ids, ties, (doc_table, line_table))
             w = Words(lines)
             order = np.lexsort((w.hash, w.text))
             h, own = w.hash[order], w.text[order]
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))[: len(h)]
             first = np.searchsorted(own[new], np.arange(len(lines) + 1)).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(first), pa.array(h[new].view(np.int64)))
-            at = np.array(at, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(numbers, pa.int64()), pa.array(ties[at]), words], names=["doc_id", "line", "tie", "words"])
-        give_back()
+        give_back(1)
 
     return run
 
@@ -712,11 +725,21 @@ def _needed_lines(doc_bits, line_bits):
 PLACE, X_PLACE = ["doc_id", "line", "tie"], ["x_doc", "x_line", "x_tie"]
 
 
+def _place_bits(places: DataFrame) -> tuple:
+    """Bit sets of the documents and of the places."""
+    return bit_set(places.select("doc_id").distinct(), "doc_id"), bit_set(places.select(_place_key().alias("own")), "own")
+
+
+def _kept_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` on a fixed RDD: who reads it again reads the files of its last shuffle, not what is before it."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The places of the later lines of pairs that are similar."""
     places = cut(pairs.select(*PLACE).unionAll(pairs.select(*X_PLACE)).distinct())
-    bits = bit_set(places.select("doc_id").distinct(), "doc_id"), bit_set(places.select(_place_key().alias("own")), "own")
-    lines = cut(rows.mapInArrow(_needed_lines(*bits), "doc_id long, line long, tie long, words array<long>"))
+    lines = cut(rows.mapInArrow(_needed_lines(*_place_bits(places)), "doc_id long, line long, tie long, words array<long>"))
     x = lines.select(*[F.col(c).alias(x) for c, x in zip(PLACE, X_PLACE, strict=True)], F.col("words").alias("x_words"))
     both = pairs.join(lines.withColumnRenamed("words", "y_words"), PLACE).join(x, X_PLACE)
     shared = F.size(F.array_intersect("x_words", "y_words"))
@@ -729,10 +752,11 @@ def repeated_lines(rows: DataFrame, *, percent: int = PERCENT, first: int = FIRS
     levels = rows.sparkSession.sparkContext.broadcast(rarity)
     parts = max(8, -(-n_words // PART_WORDS))
 
-    def met(*words) -> DataFrame:
-        return rows.mapInArrow(_prefix_rows(percent, levels, parts, *words), BLOCK_SCHEMA).repartition(parts, "part").sortWithinPartitions("part")
+    def met(parts: int, *only) -> DataFrame:
+        return rows.mapInArrow(_prefix_rows(percent, levels, parts, *only), BLOCK_SCHEMA).repartition(parts, "part")
 
-    found = cut(met().mapInArrow(_match_rows(percent, first), FOUND_SCHEMA))
+    blocks = _kept_shuffle(met(parts))
+    found = cut(blocks.mapInArrow(_match_rows(percent, first), FOUND_SCHEMA)).coalesce(-(-parts // 4))
     known = found.where(F.col("kind") == GONE).select(*PLACE)
     # One candidate for each line: the surest, then the earliest.
     x = F.struct(*X_PLACE)
@@ -745,10 +769,12 @@ def repeated_lines(rows: DataFrame, *, percent: int = PERCENT, first: int = FIRS
     more = cut(best.where("more").select(*PLACE).join(gone, PLACE, "left_anti"))
     if more.limit(1).count():
         keys = found.join(more, PLACE, "left_semi").select(F.explode("words").alias("word")).distinct()
-        plain = F.col("word").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
-        words = bit_set(cut(keys.select(F.explode(F.array("word", plain)).alias("word")).distinct()), "word", WORD_BITS)
+        words = bit_set(cut(keys), "word", WORD_BITS)
         open_lines = bit_set(more.select(_place_key().alias("own")).distinct(), "own")
-        rest = met(words).mapInArrow(_match_rows(percent, first, open_lines), FOUND_SCHEMA)
+        others = blocks.mapInArrow(_match_rows(percent, first, open_lines, words), FOUND_SCHEMA).select(*PLACE)
+        places = cut(others.unionAll(more).distinct())
+        few = min(parts, max(8, -(-places.count() // PART_LINES)))
+        rest = met(few, words, _place_bits(places)).mapInArrow(_match_rows(percent, first, open_lines), FOUND_SCHEMA)
         gone = cut(gone.unionAll(rest.select(*PLACE)).distinct())
     return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone"))
 
