@@ -1,7 +1,7 @@
 import random
 
 import brute
-from tidemark.llm import substring
+from tidemark.llm import bits, substring
 from tidemark.llm.common import ensure_checkpoint_dir
 
 
@@ -77,3 +77,34 @@ def test_odd_rows(docs):
 def test_query(spark, table, docs):
     rows = corpus(11, 20) + [(100 + i, " ".join(f"k{j}" for j in range(i % 2, 70))) for i in range(6)]
     assert collect(substring.op7_substring(spark, table(docs(rows)))) == brute.substrings(rows)
+
+
+def test_jobs_stay_few(spark, docs):
+    """Each job of a batch costs as many tasks as there are partitions: 348 jobs before, 148 now."""
+    rows = corpus(5, 40)
+    sc = spark.sparkContext
+    sc.setJobGroup("op7-jobs", "")
+    try:
+        assert collect(substring.dedup_substrings(docs(rows), window=10, gram=3)) == brute.substrings(rows, 10)
+        assert len(sc.statusTracker().getJobIdsForGroup("op7-jobs")) < 200
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_texts_of_one_id_are_told_apart(docs):
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, a), (5, a), (5, f"x {a} y z"), (5, "short"), (7, f"q {a}"), (7, None)]
+    for batches in (1, 3):
+        got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"] or "") for r in substring.dedup_substrings(docs(rows), batches=batches).collect())
+        assert got == [(1, 60, 0, ""), (5, 1, 0, ""), (5, 60, 60, ""), (5, 63, 60, "x y z"), (7, 0, 0, ""), (7, 61, 60, "q")]
+
+
+def test_bit_sets_lose_no_key(spark):
+    rows = spark.range(3000).selectExpr("id * 7919 - 10000 as a", "id % 5 as b", "xxhash64(id * 7919 - 10000) as h")
+    keys = rows.toPandas()
+    assert (bits.xxhash64(keys["a"].to_numpy()).view("int64") == keys["h"].to_numpy()).all()
+    a, b = (bits.bit_table(x) for x in bits.bit_sets(rows.select("a", "b")))
+    assert bits.among(*a, keys["a"].to_numpy()).all() and bits.among(*b, keys["b"].to_numpy()).all()
+    assert bits.among(*a, keys["a"].to_numpy() + 1).sum() < 60 and bits.among(*b, keys["b"].to_numpy() + 5).sum() == 0
+    (none,) = bits.bit_sets(rows.where("a is null").select("a"))
+    assert not bits.among(*bits.bit_table(none), keys["a"].to_numpy()).any()

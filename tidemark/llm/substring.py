@@ -10,21 +10,20 @@ immutable runs, each sorted by hash:
 * ``spans``: anchor and digest of a span -> least document. A span is all windows
   in a row under one anchor.
 
-A batch merge-joins its anchors with the runs, of which only rows whose anchor is
-in a bit set of the batch's are shuffled. Anchors in two documents or more become
-candidates, which are verified in two steps. Spans of equal 128-bit digests
-repeat each other as a whole, which the runs tell without the history. Only
-where an anchor has several distinct spans, one document of each gives its
-single windows, which are compared by digests of their own; of the history, the
-texts of these documents alone are hashed again. The batch's own runs are then
-added, and runs of one kind are compacted into one when there are ``fanout`` of
-them.
+A batch merge-joins its digests with the runs, texts and spans in one round; of
+the spans' runs only rows whose anchor is in a bit set of the batch's are
+shuffled. Equal 128-bit digests repeat each other as a whole, which the runs tell
+without the history. Only where spans of several documents share an anchor
+but not the digest, one document of each gives its single windows, which are
+compared by digests of their own; the texts of these documents alone are hashed
+again. Digests that no run has are added as a run, and runs of one kind are
+compacted into one when there are ``fanout`` of them.
 
 Candidates reach the tasks as bit sets of at most 2^``MAX_BITS`` bits. A false hit
 only adds rows that match nothing, so results don't depend on it. Within a task
-all but the least document of a span or window are known to repeat it; only
-that one goes through the shuffle, so a passage that a third of all rows share
-costs a row for each task.
+all but the least document of a text, span or window are known to repeat it;
+only that one goes through the shuffle, so a passage that a third of all rows
+share costs a row for each task.
 
 Defined cases: null or empty texts have no words; texts with fewer words than a
 window lose none; a null id is neither matched nor indexed; rows with one id
@@ -42,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bits import bit_set, bit_table, has
+from tidemark.llm.bits import among, bit_sets, bit_table
 from tidemark.llm.common import cut, ensure_checkpoint_dir, give_back, read_table
 from tidemark.llm.hashing import Words, mix, powers, slices
 
@@ -53,6 +52,8 @@ FANOUT = 4
 BATCHES = 5
 #: Spans or windows that a task holds before it sends them on.
 TASK_ROWS = 1_000_000
+#: Digests of texts that a task remembers to tell copies.
+TASK_TEXTS = 200_000
 MAX_SPAN = 1 << 20
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -156,42 +157,6 @@ def _encoded(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "replace") for t in column.to_pylist()]
 
 
-def _sketch_rows(window: int, gram: int):
-    """(doc_id, text) -> (doc_id, n_words, tie, digest, all_sha256, anchors, d1, d2), the last three of its spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                texts = _encoded(part.column(1))
-                n_words, sha, digest, spans = [], [], [], ([], [], [])
-                for lo, hi in slices(texts):
-                    own = texts[lo:hi]
-                    x = Windows(own, window, gram)
-                    digest += text_digests(x.words, hi - lo)
-                    if len(x.anchor):
-                        at, _, d1, d2 = x.spans(np.arange(len(x.anchor)), window)
-                        ends = np.searchsorted(x.text[at], np.arange(hi - lo + 1))
-                        cols = (x.anchor[at], d1, d2)
-                    else:
-                        ends, cols = np.zeros(hi - lo + 1, np.int64), (x.anchor,) * 3
-                    for out, col in zip(spans, cols, strict=True):
-                        out += [col[ends[i] : ends[i + 1]].view(np.int64) for i in range(hi - lo)]
-                    for s in own:
-                        w = s.split()
-                        n_words.append(len(w))
-                        sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
-                tie = np.array([int.from_bytes(d[:8], "big", signed=True) for d in digest], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words, pa.int64()), pa.array(tie, pa.int64()), pa.array(digest, pa.binary()), pa.array(sha, pa.string())]
-                    + [pa.array(c, pa.list_(pa.int64())) for c in spans],
-                    names=["doc_id", "n_words", "tie", "digest", "all_sha256", "anchors", "d1", "d2"],
-                )
-        give_back()
-
-    return run
-
-
 def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Start word and number of windows of a stretch; a span has fewer than 2^24."""
     return start.astype(np.int64) << 24 | count.astype(np.int64)
@@ -221,12 +186,83 @@ def _leasts(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=ROW_NAMES)
 
 
-def _span_rows(window: int, gram: int, anchors, spans=None):
-    """(doc_id, text) -> rows of the spans under the candidate anchors; with ``spans``, of the single windows of those spans."""
+#: Rows of texts: not compared; a smaller document of the task has the text; compared by digest. Rows of spans.
+PLAIN, COPY, ASK, SPAN = range(4)
+#: In place of a stretch: the whole text.
+WHOLE = -(1 << 63)
+
+SKETCH_SCHEMA = f"{ROW_SCHEMA}, n_words long, all_sha256 string, state int"
+
+
+def _sketch_rows(window: int, gram: int):
+    """(doc_id, text) -> a row for each text; rows of the spans of the texts that ask, as ``_leasts`` gives them."""
+    names = [*ROW_NAMES, "n_words", "all_sha256", "state"]
+
+    def spans(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        rows = _leasts(held)
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(np.full(n, SPAN, np.int32))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        total = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                ids, texts = part.column(0).to_pylist(), _encoded(part.column(1))
+                docs = np.array([i or 0 for i in ids], np.int64)
+                n_words, sha, digest, state = [], [], [], []
+                for lo, hi in slices(texts):
+                    x = Windows(texts[lo:hi], window, gram)
+                    digest += text_digests(x.words, hi - lo)
+                    for i in range(lo, hi):
+                        w, doc = texts[i].split(), ids[i]
+                        n_words.append(len(w))
+                        sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+                        if doc is None or len(w) < window:
+                            state.append(PLAIN)
+                        elif seen.get(digest[i], doc) < doc:
+                            state.append(COPY)
+                        else:
+                            state.append(ASK)
+                            seen[digest[i]] = doc
+                    if len(seen) > TASK_TEXTS:
+                        seen.clear()
+                    pick = np.flatnonzero((np.array(state[lo:hi]) == ASK)[x.text])
+                    if len(pick):
+                        first, count, d1, d2 = x.spans(pick, window)
+                        t = x.text[first]
+                        tie = _ties(digest[lo:hi])[t]
+                        held.append((d1.view(np.int64), d2.view(np.int64), x.anchor[first].view(np.int64), docs[lo:hi][t], tie, x.start[first], count))
+                        total += len(first)
+                    if total >= TASK_ROWS:
+                        yield spans(held)
+                        held, total = [], 0
+                d = np.frombuffer(b"".join(digest), ">i8").astype(np.int64).reshape(-1, 2)
+                none, whole = pa.nulls(len(ids), pa.int64()), pa.array(np.full(len(ids), WHOLE, np.int64))
+                tie = pa.array(d[:, 0])
+                yield pa.RecordBatch.from_arrays(
+                    [tie, pa.array(d[:, 1]), none, pa.array(ids, pa.int64()), tie, whole, pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), pa.array(state, pa.int32())], names=names
+                )
+        if held:
+            yield spans(held)
+        give_back()
+
+    return run
+
+
+def _ties(digests: list[bytes]) -> np.ndarray:
+    """The first half of each digest, which tells texts of one id apart."""
+    return np.array([int.from_bytes(d[:8], "big", signed=True) for d in digests], np.int64)
+
+
+def _window_rows(window: int, gram: int, anchors, spans):
+    """(doc_id, text) -> rows of the single windows of the spans under the anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, hot_mask = bit_table(anchors)
-        own, own_mask = (None, None) if spans is None else bit_table(spans)
+        own, own_mask = bit_table(spans)
         held: list[tuple[np.ndarray, ...]] = []
         total = 0
         for batch in batches:
@@ -236,21 +272,19 @@ def _span_rows(window: int, gram: int, anchors, spans=None):
                 texts = _encoded(part.column(1))
                 for lo, hi in slices(texts):
                     x = Windows(texts[lo:hi], window, gram)
-                    pick = np.flatnonzero(has(hot, hot_mask, x.anchor)) if len(x.anchor) else []
+                    pick = np.flatnonzero(among(hot, hot_mask, x.anchor)) if len(x.anchor) else []
                     if not len(pick):
                         continue
                     at, count, d1, d2 = x.spans(pick, window)
-                    if own is not None:
-                        doc = ids[lo:hi][x.text[at]]
-                        good = has(own, own_mask, d1 ^ doc.view(np.uint64))
-                        at, count = at[good], count[good]
-                        at = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        if not len(at):
-                            continue
-                        d1, d2 = x.digests(at, window)
-                        count = np.ones(len(at), np.int64)
+                    good = among(own, own_mask, d1.view(np.int64) ^ ids[lo:hi][x.text[at]])
+                    at, count = at[good], count[good]
+                    at = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    if not len(at):
+                        continue
+                    d1, d2 = x.digests(at, window)
+                    count = np.ones(len(at), np.int64)
                     t = x.text[at]
-                    tie = np.array([int.from_bytes(d[:8], "big", signed=True) for d in text_digests(x.words, hi - lo)], np.int64)
+                    tie = _ties(text_digests(x.words, hi - lo))
                     held.append((d1.view(np.int64), d2.view(np.int64), x.anchor[at].view(np.int64), ids[lo:hi][t], tie[t], x.start[at], count))
                     total += len(at)
                     if total >= TASK_ROWS:
@@ -269,44 +303,45 @@ def _in_bits(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = bit_table(bits)
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(has(table, mask, key)))
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(among(table, mask, key)))
 
     return run
 
 
+RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+
+
 def _strip_rows(window: int):
-    """(doc_id, text, tie, ats) -> (doc_id, tie, n_removed, kept_sha256, kept)."""
+    """(doc_id, text, ties, ats) -> (doc_id, n_words, n_removed, kept_sha256, kept): the text without the stretches that are its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                texts = _encoded(part.column(1))
-                ties, removed, sha, kept = part.column(2).to_pylist(), [], [], []
-                lists = part.column(3)
-                for i, text in enumerate(texts):
+                n_words, removed, sha, kept = [], [], [], []
+                ties, ats = part.column(2), part.column(3)
+                for i, text in enumerate(_encoded(part.column(1))):
                     w = text.split()
-                    d = text_digests(Words([text]), 1)[0]
-                    if int.from_bytes(d[:8], "big", signed=True) != ties[i]:
-                        removed.append(None)
-                        sha.append(None)
-                        kept.append(None)
-                        continue
-                    at = lists[i].values.to_numpy(zero_copy_only=False)
-                    at = np.where(at < 0, ~at, at)
-                    start, length = at >> 24, at & ((1 << 24) - 1)
-                    edge = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + length + window - 1, -1)
-                    gone = np.cumsum(edge)[: len(w)] > 0
+                    tie = _ties(text_digests(Words([text]), 1))[0]
+                    at = ats[i].values.to_numpy(zero_copy_only=False)[ties[i].values.to_numpy(zero_copy_only=False) == tie]
+                    if (at == WHOLE).any():
+                        gone = np.ones(len(w), bool)
+                    else:
+                        at = np.where(at < 0, ~at, at)
+                        start, length = at >> 24, at & ((1 << 24) - 1)
+                        edge = np.zeros(len(w) + 1, np.int64)
+                        np.add.at(edge, start, 1)
+                        np.add.at(edge, start + length + window - 1, -1)
+                        gone = np.cumsum(edge)[: len(w)] > 0
                     rest = b" ".join([x for x, g in zip(w, gone, strict=True) if not g])
+                    n_words.append(len(w))
                     removed.append(int(gone.sum()))
                     sha.append(hashlib.sha256(rest).hexdigest())
-                    kept.append(rest.decode("utf-8"))
+                    kept.append(rest.decode("utf-8") if len(at) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
-                    names=["doc_id", "tie", "n_removed", "kept_sha256", "kept"],
+                    [part.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
     return run
@@ -315,7 +350,7 @@ def _strip_rows(window: int):
 class FingerprintIndex:
     """Runs in a folder that all executors share. Batches must come in ascending order of ids."""
 
-    KINDS = {"texts": ["digest"], "spans": ["anchor", "d1", "d2"]}
+    KINDS = {"texts": ["d1", "d2"], "spans": ["anchor", "d1", "d2"]}
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
         if not 0 < gram <= window:
@@ -341,10 +376,10 @@ class FingerprintIndex:
         return self.spark.read.parquet(*paths) if paths else None
 
     def _write(self, kind: str, df: DataFrame) -> str:
+        """A run of rows that are dealt by key and have each key once."""
         n = len(self.run_paths(kind))
         path = f"{self.path}/{kind}/run-{n:06d}-{uuid.uuid4().hex[:8]}"
-        keys = self.KINDS[kind]
-        self._merged(kind, df).sortWithinPartitions(*keys).write.parquet(path)
+        df.sortWithinPartitions(*self.KINDS[kind]).write.parquet(path)
         return path
 
     def compact(self, kind: str) -> None:
@@ -352,7 +387,7 @@ class FingerprintIndex:
         paths = self.run_paths(kind)
         if len(paths) < 2:
             return
-        self._write(kind, self.spark.read.parquet(*paths))
+        self._write(kind, self._merged(kind, self.spark.read.parquet(*paths)))
         for old in paths:
             p, fs = self._fs(old)
             fs.delete(p, True)
@@ -369,84 +404,73 @@ class FingerprintIndex:
         """Indexes (doc_id, text) rows; a row for each: doc_id, n_words, n_removed, kept_sha256, kept (text, null if all is kept).
 
         ``history`` has the rows indexed before: the texts that share an anchor, but
-        not the span, are looked up in it. ``last`` adds no runs. The result is
-        materialised.
+        not the span, are looked up in it. ``last`` adds no runs. The result needs
+        neither runs nor texts.
         """
         window, gram = self.window, self.gram
         batch = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        known = batch.where("doc_id is not null")
-        sketch = cut(batch.mapInArrow(_sketch_rows(window, gram), "doc_id long, n_words long, tie long, digest binary, all_sha256 string, anchors array<long>, d1 array<long>, d2 array<long>"))
 
-        # Whole texts: the least document of each.
-        old = self.runs("texts")
-        own = sketch.where("doc_id is not null and n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("own"))
-        if old is not None:
-            own = own.join(self._merged("texts", old), "digest", "left")
-        else:
-            own = own.withColumn("least", F.lit(None).cast("long"))
-        texts = cut(own.select(F.col("digest").alias("dg"), F.coalesce("least", "own").alias("least"), F.col("least").isNull().alias("new")))
-        sketch = sketch.join(texts, F.col("digest") == F.col("dg"), "left").drop("dg")
-        first = F.col("new") & (F.col("doc_id") == F.col("least"))
-        sketch = sketch.withColumns({c: F.when(first, F.col(c)) for c in ("anchors", "d1", "d2")})
-        sketch = cut(sketch.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= window)))
-        if not last:
-            self._write("texts", texts.where("new").select(F.col("dg").alias("digest"), "least"))
+        sketch = cut(batch.mapInArrow(_sketch_rows(window, gram), SKETCH_SCHEMA))
+
+        # Texts and spans: the least document of each digest leads it, the others repeat it.
+        rows = sketch.where((F.col("state") == ASK) | (F.col("state") == SPAN) & (F.col("at") >= 0)).select(*ROW_NAMES).withColumn("fresh", F.lit(True))
 
-        # Anchors: candidates are in two documents or more.
-        own = sketch.where("anchors is not null").select("doc_id", F.explode(F.arrays_zip("anchors", "d1", "d2")).alias("s"))
-        own = own.select(F.col("s.anchors").alias("anchor"), F.col("s.d1").alias("d1"), F.col("s.d2").alias("d2"), F.col("doc_id").alias("least"))
-        counts = cut(own.groupBy("anchor").agg((F.min("least") < F.max("least")).alias("shared")))
-        seen, met = self.runs("spans"), None
+        def indexed(found: DataFrame, at: int) -> DataFrame:
+            return found.withColumns({"tie": F.lit(0).cast("long"), "at": F.lit(at).cast("long"), "fresh": F.lit(False)})
+
+        old, seen = self.runs("texts"), self.runs("spans")
+        if old is not None:
+            old = old.select("d1", "d2", F.lit(None).cast("long").alias("anchor"), F.col("least").alias("doc_id"))
+            rows = rows.unionByName(indexed(old, WHOLE))
         if seen is not None:
-            near = seen.select("anchor", "d1", "d2", "least").mapInArrow(_in_bits(bit_set(counts, "anchor")), "anchor long, d1 long, d2 long, least long")
-            met = cut(near.join(counts.select("anchor"), "anchor"))
-        hot = counts.where("shared").select("anchor")
-        hot = cut(hot if met is None else hot.unionAll(met.select("anchor")).distinct())
+            (bits,) = bit_sets(sketch.where("anchor is not null").select("anchor"))
+            near = seen.select("anchor", "d1", "d2", "least").mapInArrow(_in_bits(bits), "anchor long, d1 long, d2 long, doc_id long")
+            rows = rows.unionByName(indexed(near, 0))
+        same = Window.partitionBy("d1", "d2")
+        rows = rows.withColumn("lead", F.row_number().over(same.orderBy("doc_id", "fresh")) == 1)
+        rows = cut(rows.withColumns({"least": F.min("doc_id").over(same), "new": F.min("fresh").over(same)}))
+        leads = rows.where("lead and at >= 0")
         if not last:
-            self._write("spans", own)
-
-        def checked(old: DataFrame | None, *bits) -> DataFrame:
-            rows = known.mapInArrow(_span_rows(window, gram, *bits), ROW_SCHEMA).withColumn("fresh", F.lit(True))
-            if old is not None:
-                rows = rows.unionAll(old.select(*ROW_NAMES).withColumn("fresh", F.lit(False)))
-            return rows.withColumn("least", F.min("doc_id").over(Window.partitionBy("d1", "d2")))
-
-        def repeats(rows: DataFrame) -> DataFrame:
-            return rows.where("fresh and (at < 0 or doc_id > least)").select("doc_id", "tie", "at")
-
-        if met is not None:
-            met = met.withColumnRenamed("least", "doc_id").withColumns({"tie": F.lit(0).cast("long"), "at": F.lit(0).cast("long")})
-        spans = cut(checked(met, bit_set(hot, "anchor")))
-        leads = spans.where("at >= 0 and doc_id = least").select("anchor", "d1", "d2", "doc_id").distinct()
-        split = cut(leads.select("anchor", "d1", "d2").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-        own = cut(leads.join(split, "anchor").select("doc_id", F.col("d1").bitwiseXOR(F.col("doc_id")).alias("own")))
-        bits = bit_set(split, "anchor"), bit_set(own, "own")
-        if history is not None and met is not None:
-            older = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-            older = older.mapInArrow(_in_bits(bit_set(own.select("doc_id").distinct(), "doc_id")), "doc_id long, text string")
-            windows = checked(older.mapInArrow(_span_rows(window, gram, *bits), ROW_SCHEMA).where("at >= 0"), *bits)
-        else:
-            windows = checked(None, *bits)
-        covered = cut(repeats(spans).unionAll(repeats(windows)).groupBy("doc_id", "tie").agg(F.collect_list("at").alias("ats")))
+            self._write("texts", rows.where("lead and new and at < 0").select("d1", "d2", "least"))
+            self._write("spans", leads.where("new").select("anchor", "d1", "d2", "least"))
+
+        # Single windows of the spans that lead, where leads of several documents share an anchor.
+        split = leads.groupBy("anchor").agg((F.min("doc_id") < F.max("doc_id")).alias("shared")).where("shared").select("anchor")
+        own = leads.join(split, "anchor").select("anchor", F.col("d1").bitwiseXOR(F.col("doc_id")).alias("own"), "doc_id")
+        anchors, own, some = bit_sets(own)
+
+        def windows(docs: DataFrame) -> DataFrame:
+            docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+            return docs.mapInArrow(_in_bits(some), "doc_id long, text string").mapInArrow(_window_rows(window, gram, anchors, own), ROW_SCHEMA)
+
+        singles = windows(batch).withColumn("fresh", F.lit(True))
+        if history is not None and seen is not None:
+            singles = singles.unionAll(windows(history).where("at >= 0").withColumn("fresh", F.lit(False)))
+        singles = singles.withColumn("least", F.min("doc_id").over(same))
+        covered = sketch.where((F.col("state") == COPY) | (F.col("state") == SPAN) & (F.col("at") < 0)).select("doc_id", "tie", "at")
+        covered = covered.unionAll(rows.where("fresh and doc_id > least").select("doc_id", "tie", "at"))
+        covered = covered.unionAll(singles.where("fresh and (at < 0 or doc_id > least)").select("doc_id", "tie", "at"))
+        covered = covered.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_list(F.struct("tie", "at")).alias("c"))
+        gone = F.transform(F.filter("c", lambda x: x["at"] == WHOLE), lambda x: x["tie"])
+        covered = covered.select("c_id", F.array_distinct(gone).alias("gone"), F.col("c.tie").alias("ties"), F.col("c.at").alias("ats"))
+        covered = cut(covered.withColumn("part", F.exists("ties", lambda x: ~F.array_contains("gone", x))))
 
         # Only documents that lose a part are read again.
-        some = known.mapInArrow(_in_bits(bit_set(covered.select("doc_id").distinct(), "doc_id")), "doc_id long, text string")
-        parts = covered.withColumnRenamed("doc_id", "c_id")
-        stripped = some.join(parts, F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "tie", "ats").mapInArrow(
-            _strip_rows(window), "doc_id long, tie long, n_removed long, kept_sha256 string, kept string"
-        )
-        stripped = stripped.where("n_removed is not null").dropDuplicates(["doc_id", "tie"]).select(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie"), "n_removed", "kept_sha256", "kept")
-        joined = sketch.join(stripped, (F.col("doc_id") == F.col("s_id")) & (F.col("tie") == F.col("s_tie")), "left")
-        empty = hashlib.sha256(b"").hexdigest()
-        result = cut(
-            joined.select(
-                "doc_id",
-                "n_words",
-                F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-                F.when(F.col("copy"), F.lit(empty)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
-                F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"),
-            )
+        part = covered.where("part").select("c_id", "ties", "ats")
+        (bits,) = bit_sets(part.select("c_id"))
+        again = batch.where("doc_id is not null").mapInArrow(_in_bits(bits), "doc_id long, text string")
+        again = again.join(part, F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "ties", "ats")
+        stripped = cut(again.mapInArrow(_strip_rows(window), RESULT_SCHEMA))
+        rest = sketch.where(F.col("state") < SPAN).join(covered.select("c_id", "gone", "part"), F.col("doc_id") == F.col("c_id"), "left").where("part is null or not part")
+        copy = F.coalesce(F.array_contains("gone", F.col("tie")), F.lit(False))
+        rest = rest.select(
+            "doc_id",
+            "n_words",
+            F.when(copy, F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+            F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("all_sha256")).alias("kept_sha256"),
+            F.when(copy, F.lit("")).alias("kept"),
         )
+        result = rest.unionAll(stripped)
         if not last:
             for kind in self.KINDS:
                 if len(self.run_paths(kind)) >= self.fanout:
